@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from slidejobs.llm import bpe, exact_dedup, packing, token_counts, url_filter
+import corpus_pipeline
+from slidejobs.llm import bpe, chat_tree, exact_dedup, lm_score, near_dedup, packing, quality, token_counts, url_filter, winnowing
 
 
 def queries() -> dict:
     return {
+        "pipeline": corpus_pipeline.run,
+        "op1_lm_score": lm_score.op1_lm_score,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op3_bpe": bpe.op3_bpe,
         "op4_packing": packing.op4_packing,
+        "op5_quality": quality.op5_quality,
         "op6_token_counts": token_counts.op6_token_counts,
+        "op7_chat_tree": chat_tree.op7_chat_tree,
+        "op8_winnowing": winnowing.op8_winnowing,
         "op9_url_filter": url_filter.op9_url_filter,
+        "op10_near_dedup": near_dedup.op10_near_dedup,
     }
 
 
