@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slidejobs.functions.storage import new_path, small, stored, table
+from slidejobs.functions.storage import new_path, stored, table
 from slidejobs.llm.bpe import slices
 
 MARK = "▁"
@@ -102,8 +102,8 @@ def count_tokens(docs: DataFrame, path: str, cache: str, id_col: str = "doc_id",
                 n = counter.count(b.column(1)[part])
                 yield pa.RecordBatch.from_arrays([pa.array([version] * len(n), pa.binary()), b.column(0)[part], pa.array(n)], ["tokenizer", "digest", "n_tokens"])
 
-    # small misses go to the texts; many misses meet them by doc_id, in hash joins that need not sort texts
-    wanted = small(misses).hint("shuffle_hash") if misses.count() > 200_000 else F.broadcast(misses)
+    # texts meet the misses by doc_id, at every size, in hash joins that need not sort texts
+    wanted = misses.hint("shuffle_hash")
     text_of = rows.withColumnRenamed("doc_id", "doc").join(wanted, (F.col("doc") == F.col("doc_id")))
     text_of = text_of.filter(content_digest(F.col("text")) == F.col("wanted")).select("wanted", "text")
     text_of.mapInArrow(run, CACHE).write.mode("append").parquet(cache)
