@@ -2,26 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 from slidejobs.functions.storage import stored
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def _stars(edges: DataFrame, near: list[Column], most: int = 200_000) -> DataFrame:
+    """Edges with the same components and short paths: each run of up to `most` edges that a task reads becomes stars about its smallest nodes.
+
+    near: edges with the same values are read by the same task.
+    """
+    kind = edges.schema["a"].dataType
+    plain = (lambda v: tuple(v.values())) if isinstance(kind, StructType) else (lambda v: v)
+    back = (lambda v: dict(zip(kind.names, v, strict=True))) if isinstance(kind, StructType) else (lambda v: v)
+    arrow = to_arrow_type(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict = {}
+
+        def root(x):
+            while (p := up.setdefault(x, x)) != x:
+                up[x] = x = up[p]
+            return x
+
+        def flush() -> pa.RecordBatch:
+            pairs = [(r, x) for x in list(up) if (r := root(x)) != x]
+            up.clear()
+            return pa.RecordBatch.from_arrays([pa.array([back(p[i]) for p in pairs], arrow) for i in (0, 1)], ["a", "b"])
+
+        n = 0
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = root(plain(x)), root(plain(y))
+                up[max(x, y)] = min(x, y)
+            n += batch.num_rows
+            if n > most:
+                yield flush()
+                n = 0
+        yield flush()
+
+    return edges.repartition(*near).mapInArrow(run, StructType([StructField("a", kind), StructField("b", kind)]))
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", near: list[Column] | None = None) -> DataFrame:
     """node, comp for every node of edges: comp is the smallest node that it is joined with.
 
     Each round every node points to its smallest neighbour if that is smaller, pointers are followed once more,
     and edges are drawn between what was pointed to. Pointers lead downwards, so there are no cycles, and every
     component that isn't one node yet loses at least half of the nodes that are no local minimum. Rounds are written to the
-    shared folder. Null ends are ignored; no edges give no rows.
+    shared folder. near: columns of edges (of a and b) that most components agree in; edges that agree in them are joined first, in memory.
+    Null ends are ignored; no edges give no rows.
     """
-    left = stored(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct(), "edges")
+    left = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b")
+    left = stored(_stars(left, near) if near else left.distinct(), "edges")
     levels: list[DataFrame] = []
     while left.take(1):
         both = left.union(left.select("b", "a"))
         up = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("to"))
-        up = stored(up, "pointers")
         again = up.select(F.col("node").alias("to"), F.col("to").alias("further"))
         up = stored(up.join(again, "to", "left").select("node", F.coalesce("further", "to").alias("to")), "pointers")
         levels.append(up)
