@@ -7,7 +7,8 @@ counts. Digests are joined to the cache; of those that miss, one row each is enc
 A text is counted as the sum of its words where the vocabulary allows that: no piece holds the word mark after
 another character, so no merge crosses into a word's mark. Otherwise the whole text is encoded.
 
-Edge cases: a null text counts as empty: 0 tokens. Repeated rows are counted each, encoded once. Empty tables and empty
+Edge cases: a null text counts as empty: 0 tokens. Rows with equal texts are counted each and encoded once (with its
+copies, if the very row is repeated with its doc_id). Empty tables and empty
 caches give no rows and no hits. Extra columns are ignored. Parts of the cache that a failed job appended twice hold
 equal counts and are read once.
 """
