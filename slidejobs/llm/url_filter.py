@@ -73,7 +73,7 @@ class BlockedBloom:
             yield pa.RecordBatch.from_arrays([pa.array(at)] + [pa.array(words[at, j].view(np.int64)) for j in range(BLOCK_WORDS)], ["block"] + [f"w{j}" for j in range(BLOCK_WORDS)])
 
         schema = "block long, " + ", ".join(f"w{j} long" for j in range(BLOCK_WORDS))
-        merged = keys.mapInArrow(partial, schema).groupBy("block").agg(*[F.bit_or(f"w{j}").alias(f"w{j}") for j in range(BLOCK_WORDS)]).toPandas()
+        merged = keys.mapInArrow(partial, schema).groupBy("block").agg(*[F.bit_or(f"w{j}").alias(f"w{j}") for j in range(BLOCK_WORDS)]).toArrow().to_pandas()
         words = np.zeros((blocks, BLOCK_WORDS), np.uint64)
         for j in range(BLOCK_WORDS):
             words[merged["block"].to_numpy(np.int64), j] = merged[f"w{j}"].to_numpy(np.int64).view(np.uint64)
