@@ -146,13 +146,15 @@ def _groups(fx):
     return an.overlap_groups(_boxes(fx), cell=16)
 
 
-def _grid(fx):
-    return gr.patch_grid(an.group_boxes(fx("fx_vertices"), _groups(fx)), fx("fx_slides"), PATCH, OVERLAP, PADDING)
+def _grid(fx, groups=None):
+    groups = _groups(fx) if groups is None else groups
+    return gr.patch_grid(an.group_boxes(fx("fx_vertices"), groups), fx("fx_slides"), PATCH, OVERLAP, PADDING)
 
 
 def _overlap(fx):
-    spans = an.polygon_fill(fx("fx_vertices"), ["slide", "region"]).join(_groups(fx), ["slide", "region"])
-    return gr.annotation_overlap(_grid(fx), an.merge_spans(spans, ["slide", "group_id"]), ["slide", "group_id"], PATCH)
+    groups = _groups(fx)
+    spans = an.polygon_fill(fx("fx_vertices"), ["slide", "region"]).join(groups, ["slide", "region"])
+    return gr.annotation_overlap(_grid(fx, groups), an.merge_spans(spans, ["slide", "group_id"]), ["slide", "group_id"], PATCH)
 
 
 def _white(fx):

@@ -1,0 +1 @@
+"""No job of this library keeps state over a stream: slides arrive as finished tables."""
