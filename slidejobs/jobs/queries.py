@@ -23,6 +23,46 @@ from slidejobs.sources import annotation_xml as xm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: Columns of the SQL that DuckDB would give another width, and their types.
+TYPES = {
+    "read_annotations_imagescope": "region integer",
+    "read_annotations_asap": "region integer, x integer, y integer",
+    "bounding_boxes": "x bigint, w bigint",
+    "group_boxes": "x bigint, w bigint",
+    "patch_grid": "gy integer, y0 integer, y1 integer",
+    "polygon_fill": "x0 bigint, x1 bigint",
+    "annotation_overlap": "gy integer, y0 integer, y1 integer",
+    "white_fraction": "px bigint, py bigint, n_white bigint",
+    "select_patches": "gy integer, y0 integer, y1 integer, position integer",
+    "flag_patches": "gy integer, y0 integer",
+    "training_patches": "y0 integer, y1 integer, number integer",
+    "render_classes": "place bigint",
+    "blank_white": "place bigint",
+    "stroma_mask": "place bigint",
+    "stroma_pixels": "r bigint, g bigint, b bigint",
+    "mask_and": "y bigint, place bigint",
+    "mask_or": "place bigint",
+    "size_limits": "max_roundness double",
+    "til_mask": "y bigint, place bigint",
+    "label_pixels": "x bigint, y bigint, label integer",
+    "erode_overlaps": "x bigint, y bigint, label integer",
+    "order_patches": "position integer, k integer",
+    "align_patches": "position integer, k integer",
+    "align_patches_by_rank": "position integer, k integer",
+    "place_patches": "k integer, place bigint, v bigint",
+    "external_components": "comp_y bigint, comp_x bigint",
+    "component_area": "comp_y bigint, comp_x bigint",
+    "component_filled_area": "comp_y bigint, comp_x bigint",
+    "component_centroids": "comp_y bigint, comp_x bigint",
+    "global_score": "til_area_filled bigint",
+    "distance_to_clusters": "place bigint",
+    "distance_mask": "place bigint",
+    "spatial_stroma": "place bigint",
+    "centroid_in_stroma": "comp_y bigint, comp_x bigint",
+    "spatial_score": "til_area bigint",
+    "spatial_sweep": "til_area bigint",
+    "class_index": "idx integer",
+}
 #: Scaled to slides of 64 x 64 pixels.
 PATCH, OVERLAP, PADDING, TILE = (24, 16), 4, 2, 8
 AREAS, DISTS = [40, 100], [3, 7]
@@ -34,7 +74,8 @@ def query(sql: str | None = None):
     def add(f: Callable[[Callable[[str], DataFrame]], DataFrame]):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: fixture(spark, sf_dir, name))
         if sql:
-            SQL[f.__name__] = with_views(sql)
+            casts = ", ".join(f"cast({c.split()[0]} as {c.split()[1]}) as {c.split()[0]}" for c in TYPES.get(f.__name__, "").split(", ") if c)
+            SQL[f.__name__] = f"select * replace ({casts}) from ({with_views(sql)})" if casts else with_views(sql)
         return f
 
     return add
