@@ -54,8 +54,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", near: lis
     """node, comp for every node of edges: comp is the smallest node that it is joined with.
 
     Each round every node points to its smallest neighbour if that is smaller, pointers are followed once more,
-    and edges are drawn between what was pointed to. Pointers lead downwards, so there are no cycles, and every
-    component that isn't one node yet loses at least half of the nodes that are no local minimum. Rounds are written to the
+    and edges are drawn between what was pointed to. Pointers lead downwards, so there are no cycles; one end at least of
+    every edge moves to a smaller node, and only nodes that were pointed to go on. Rounds are written to the
     shared folder. near: columns of edges (of a and b) that most components agree in; edges that agree in them are joined first, in memory.
     Null ends are ignored; no edges give no rows.
     """
