@@ -34,7 +34,7 @@ from slidejobs.functions.components import connected_components
 from slidejobs.functions.storage import small, stored, table
 from slidejobs.llm.bpe import over_texts
 
-COORDS, BITS, BLOCK = 64, 2048, 512
+COORDS, BITS, BLOCK = 64, 1024, 512
 _rng = np.random.default_rng(20240229)
 MULTIPLY = _rng.integers(0, 2**63, COORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _rng.integers(0, 2**63, COORDS, np.uint64)
@@ -110,28 +110,28 @@ def unpacked(raw: bytes) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n, set_key, sig (COORDS ints), parity."""
+    """doc_id, n, set_key, sig (COORDS ints), low (their last bytes), parity."""
 
     def make(ids: pa.Array, texts: pa.Array) -> list[pa.Array]:
         sets = shingle_sets(texts, k)
         sigs = np.stack([signature(s) for s in sets]).view(np.int32) if sets else np.zeros((0, COORDS), np.int32)
         key = [hashlib.blake2b(packed(s), digest_size=16).digest() for s in sets]
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sigs.size + 1, COORDS), pa.int32()), pa.array(sigs.ravel()))
-        return [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(key, pa.binary()), lists, pa.array([parity(s) for s in sets], pa.binary())]
+        return [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(key, pa.binary()), lists, pa.array([r.tobytes() for r in sigs.astype(np.uint8)], pa.binary()), pa.array([parity(s) for s in sets], pa.binary())]
 
-    return over_texts(docs, "doc_id long, n long, set_key binary, sig array<int>, parity binary", make, id_col, text_col)
+    return over_texts(docs, "doc_id long, n long, set_key binary, sig array<int>, low binary, parity binary", make, id_col, text_col)
 
 
-def may_link(n_a, n_b, sig_a, sig_b, bits_a, bits_b, matches: int, percent: int) -> np.ndarray:
-    """Rows that keep the match threshold and can be similar enough: |A xor B| * (100 + percent) <= (|A| + |B|) * (100 - percent)."""
-    near = (sig_a == sig_b).sum(axis=-1) >= matches
+def may_link(n_a, n_b, low_a, low_b, bits_a, bits_b, matches: int, percent: int) -> np.ndarray:
+    """Rows that keep the match threshold (by the last bytes of coordinates, which differ only where these do) and can be similar enough: |A xor B| * (100 + percent) <= (|A| + |B|) * (100 - percent)."""
+    near = (low_a == low_b).sum(axis=-1) >= matches
     apart = np.bitwise_count(bits_a ^ bits_b).sum(axis=-1).astype(np.int64)
     apart = np.maximum(apart, np.abs(n_a - n_b))
     return near & (apart * (100 + percent) <= (n_a + n_b) * (100 - percent))
 
 
-def _sig(col: pa.Array) -> np.ndarray:
-    return col.flatten().to_numpy(zero_copy_only=False).reshape(-1, COORDS)
+def _low(col: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(-1, COORDS)
 
 
 def _bits(col: pa.Array) -> np.ndarray:
@@ -161,14 +161,14 @@ class NearDuplicates:
     def screened(self, pairs: DataFrame) -> DataFrame:
         """Of pairs a, b those that may be links."""
         s = self.sketch
-        side = lambda x: s.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "sig", "parity")])
-        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "sig_a", "sig_b", "parity_a", "parity_b")
+        side = lambda x: s.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "low", "parity")])
+        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "low_a", "low_b", "parity_a", "parity_b")
         matches, percent = self.matches, self.percent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 c = b.columns
-                ok = may_link(c[2].to_numpy(), c[3].to_numpy(), _sig(c[4]), _sig(c[5]), _bits(c[6]), _bits(c[7]), matches, percent)
+                ok = may_link(c[2].to_numpy(), c[3].to_numpy(), _low(c[4]), _low(c[5]), _bits(c[6]), _bits(c[7]), matches, percent)
                 yield pa.RecordBatch.from_arrays(c[:2], ["a", "b"]).filter(pa.array(ok))
 
         return both.mapInArrow(run, "a long, b long")
@@ -207,21 +207,21 @@ class NearDuplicates:
         parts = F.ceil(F.col("g") / BLOCK).cast("int")
         rows = posts.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        rows = rows.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc_id", "comp").join(self.sketch, "doc_id")
-        rows = rows.select("token", "lo", "hi", "own", "doc_id", "comp", "n", "sig", "parity")
+        rows = rows.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc_id", "comp").join(self.sketch.drop("sig"), "doc_id")
+        rows = rows.select("token", "lo", "hi", "own", "doc_id", "comp", "n", "low", "parity")
         tasks = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         rows = rows.repartition(tasks, "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "own")
         matches, percent = self.matches, self.percent
 
         def compare(t: pa.Table) -> pa.RecordBatch:
             own, doc, comp, n = (t.column(c).to_numpy() for c in ("own", "doc_id", "comp", "n"))
-            sig, bits = _sig(t.column("sig").combine_chunks()), _bits(t.column("parity").combine_chunks())
+            low, bits = _low(t.column("low")), _bits(t.column("parity"))
             lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
             out_a, out_b = [], []
             for i in np.flatnonzero(own == lo):
                 other = np.flatnonzero((comp != comp[i]) & ((own == hi) if hi != lo else (np.arange(len(own)) > i)))
                 if len(other):
-                    j = other[may_link(n[i], n[other], sig[i], sig[other], bits[i], bits[other], matches, percent)]
+                    j = other[may_link(n[i], n[other], low[i], low[other], bits[i], bits[other], matches, percent)]
                     out_a.append(np.minimum(doc[i], doc[j]))
                     out_b.append(np.maximum(doc[i], doc[j]))
             a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
