@@ -43,7 +43,9 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     lengths = by_length.groupBy("n_len").count().filter("count > 1").select("n_len")
     norm = rows.select("doc_id", "text", normalised(F.col("text")).alias("norm"))
     short = norm.select(F.octet_length("norm").alias("n_len"), F.xxhash64(F.substring("norm", 1, PREFIX_CHARS)).alias("prefix"))
-    prefixes = stored(short.join(lengths, "n_len", "left_semi").groupBy("n_len", "prefix").count().filter("count > 1").select("n_len", "prefix"), "prefixes")
+    # counted by both before the join: a length that many rows share is spread over its prefixes, and copies are summed where they are read
+    prefixes = short.groupBy("n_len", "prefix").count().join(lengths, "n_len", "left_semi")
+    prefixes = stored(prefixes.filter("count > 1").select("n_len", "prefix"), "prefixes")
     n = prefixes.count()
     keyed = norm.select("doc_id", "text", "norm", F.octet_length("norm").alias("n_len"), F.xxhash64(F.substring("norm", 1, PREFIX_CHARS)).alias("prefix"))
     full = lambda df: df.select("doc_id", "n_len", "prefix", F.sha2("norm", 256).alias("text_sha256"), F.char_length("text").alias("chars"))
