@@ -108,7 +108,8 @@ def count_tokens(docs: DataFrame, path: str, cache: str, id_col: str = "doc_id",
     text_of = rows.withColumnRenamed("doc_id", "doc").join(wanted, (F.col("doc") == F.col("doc_id")))
     text_of = text_of.filter(content_digest(F.col("text")) == F.col("wanted")).select("wanted", "text")
     text_of.mapInArrow(run, CACHE).write.mode("append").parquet(cache)
-    return digests.join(known(), "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    counts = stored(known(), "counts")  # apart from the join, so that a digest of many rows can be split there
+    return digests.join(counts, "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def piece_bpe() -> str:
