@@ -1,10 +1,12 @@
 """Cross-entropy difference: loss under a target model less loss under a background model, per word.
 
-Both are bigram models over one vocabulary, with the same discount and the same set of kept bigrams; they differ only in the
-counts: words of the target documents, and words of all documents. Counts are gathered from every document. The vocabulary holds
-the words with the highest counts, `vocabulary` at most, all others are one unknown word; the model keeps the bigrams with the highest
-counts, `bigrams` at most, and backs off to single words for the rest, with the weight that makes each context sum to 1. These
-two bounds make the model's size fixed, whatever the corpus; it is broadcast for scoring.
+Both are bigram models over one vocabulary, with the same discount; they differ only in the counts: words of the target
+documents, and words of all documents. Counts are gathered from every document. The whole model (`whole_scores`, the query)
+holds every word and every bigram of the corpus, however rare, and grows with it: it is a stored table that documents look up
+by joins, never an array. Each context gives its discounts to single words, so that it sums to 1.
+
+`fit` and `score` are the same with a model of fixed size, for a caller who wants one to broadcast: the `vocabulary` words and
+`bigrams` bigrams with the highest counts; other words are one unknown word, other bigrams back off.
 
 Words are [^\\x20\\x09-\\x0D]+ with A-Z as a-z, known by their 64-bit hash. A negative score is nearer to the target.
 
@@ -21,14 +23,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slidejobs.functions.storage import small, stored, table
+from slidejobs.functions.storage import drop_stored, small, stored, table
 from slidejobs.llm.bpe import slices
 
 VOCABULARY, BIGRAMS, DISCOUNT = 16_384, 1 << 20, 0.75
 BUFFER = 3_000_000  # counted pairs that a task holds before it passes them on
+START = 0x5DEECE66D1CE4E5B  # stands for the context at a document's start
+MODEL_ROWS = 500_000  # bigrams of the whole model that a task holds
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -202,8 +206,124 @@ def score(rows: DataFrame, scorer: Scorer) -> DataFrame:
     return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, loss_target double, loss_background double, score double")
 
 
+def contexts_and_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of each word's context and of each word, and where each text's begin."""
+    w, at = word_hashes(texts)
+    h = np.r_[np.int64(START), w[:-1]] if len(w) else w
+    h[at[:-1][at[:-1] < at[1:]]] = START
+    return h, w, at
+
+
+def bigram_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """One hash of both; BIGRAM_KEY is the same in SQL."""
+    return w ^ ((h << 1) | (h.view(np.uint64) >> np.uint64(63)).view(np.int64))
+
+
+BIGRAM_KEY = "w ^ (shiftleft(h, 1) | shiftrightunsigned(h, 63))"
+
+
+def bigram_counts(rows: DataFrame) -> DataFrame:
+    """h, w, n (in all documents), t (in target documents) of every bigram of rows (target, text)."""
+
+    def flush(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        if not parts:
+            return
+        keys, h, w, n, t = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(keys, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(keys[order]) != 0])
+        n, t = np.add.reduceat(n[order], first), np.add.reduceat(t[order], first)
+        h, w = h[order[first]], w[order[first]]
+        order = np.argsort(h)  # equal contexts side by side take less room
+        for i in range(0, len(order), 100_000):
+            o = order[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(x[o]) for x in (h, w, n, t)], ["h", "w", "n", "t"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for b in batches:
+            for part in slices(b.column(1)):
+                h, w, at = contexts_and_words(b.column(1)[part])
+                of_target = np.repeat(b.column(0)[part].to_numpy(zero_copy_only=False).astype(float), np.diff(at))
+                u, first, inverse = np.unique(bigram_keys(h, w), return_index=True, return_inverse=True)
+                if not len(u):
+                    continue
+                parts.append((u, h[first], w[first], np.bincount(inverse, minlength=len(u)), np.bincount(inverse, of_target, minlength=len(u)).astype(np.int64)))
+                size += len(u)
+                if size > BUFFER:
+                    yield from flush(parts)
+                    parts, size = [], 0
+        yield from flush(parts)
+
+    sums = rows.select("target", "text").mapInArrow(run, "h long, w long, n long, t long")
+    return sums.groupBy("h", "w").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+
+
+def whole_model(rows: DataFrame) -> DataFrame:
+    """key, loss_t, loss_n of every bigram of rows (target, text): what it costs under the target and the background model."""
+    free_shuffles = rows.sparkSession._jvm.System.gc  # of what is stored by then
+    pairs = stored(bigram_counts(rows), "bigrams")
+    free_shuffles()
+    contexts = stored(pairs.groupBy("h").agg(F.sum("n").alias("h_n"), F.sum("t").alias("h_t"), F.count("*").alias("f_n"), F.count_if(F.col("t") > 0).alias("f_t")), "contexts")
+    words = stored(pairs.groupBy("w").agg(F.sum("n").alias("w_n"), F.sum("t").alias("w_t")), "words")
+    all_n, all_t, distinct = words.agg(F.sum("w_n"), F.sum("w_t"), F.count("*")).first()
+
+    def parts(c: str) -> tuple[Column, Column]:
+        """Discounted share of the bigram in its context, and what the context leaves to single words."""
+        n, in_context = F.col(c), F.col(f"h_{c}")
+        share = F.when(n > 0, (n - DISCOUNT) / in_context).otherwise(0.0)
+        left = F.when(in_context > 0, DISCOUNT * F.col(f"f_{c}") / in_context).otherwise(1.0)
+        return share.cast("float").alias(f"share_{c}"), left.cast("float").alias(f"left_{c}")
+
+    def loss(c: str, total: int | None) -> Column:
+        word = (F.col(f"w_{c}") + 1) / F.lit(float((total or 0) + distinct + 1))
+        return (-F.log(F.col(f"share_{c}") + F.col(f"left_{c}") * word)).cast("float").alias(f"loss_{c}")
+
+    shares = stored(pairs.join(contexts, "h").select("w", F.expr(BIGRAM_KEY).alias("key"), *parts("n"), *parts("t")), "shares")
+    drop_stored(pairs)
+    drop_stored(contexts)
+    free_shuffles()
+    model = stored(shares.join(words, "w").select("key", loss("t", all_t), loss("n", all_n)), "model")
+    drop_stored(shares)
+    drop_stored(words)
+    free_shuffles()
+    return model
+
+
+def whole_scores(rows: DataFrame) -> DataFrame:
+    """doc_id, n_words, loss_target, loss_background, score of each of rows (doc_id, target, text) under the whole model."""
+    spark = rows.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    model = whole_model(rows)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-model.count() // MODEL_ROWS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices(b.column(2)):
+                row, ids, texts = (b.column(i)[part] for i in range(3))
+                h, w, at = contexts_and_words(texts)
+                key, of = bigram_keys(h, w), np.repeat(np.arange(len(texts)), np.diff(at))
+                order = np.lexsort((key, of))
+                key, of = key[order], of[order]
+                first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (of[1:] != of[:-1])]) if len(key) else np.zeros(0, np.int64)
+                times = np.diff(np.r_[first, len(key)]).astype(np.int32)
+                row = row.to_numpy()
+                # each row once with its id, under a key that spreads and 0 times; then its bigrams
+                yield pa.RecordBatch.from_arrays([pa.array(row), ids, pa.array(row * np.int64(START)), pa.array(np.zeros(len(row), np.int32))], ["row", "doc_id", "key", "times"])
+                for i in range(0, len(first), 100_000):
+                    f = first[i : i + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(row[of[f]]), pa.nulls(len(f), pa.int64()), pa.array(key[f]), pa.array(times[i : i + 100_000])], ["row", "doc_id", "key", "times"])
+
+    # a row is known by its number, so null and repeated ids are scored each
+    found = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, "row long, doc_id long, key long, times int")
+    priced = found.repartition(tasks, "key").join(model.repartition(tasks, "key").hint("shuffle_hash"), "key", "left")
+    cost = lambda c: F.coalesce(F.sum(F.col("times") * F.col(c).cast("double")), F.lit(0.0))
+    sums = priced.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("times").alias("n_words"), cost("loss_t").alias("t"), cost("loss_n").alias("n"))
+    mean = lambda c: F.col(c) / F.greatest("n_words", F.lit(1))
+    out = sums.select("doc_id", "n_words", mean("t").alias("loss_target"), mean("n").alias("loss_background"))
+    return out.withColumn("score", F.col("loss_target") - F.col("loss_background"))
+
+
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents labelled as good; background: all documents."""
     docs = table(spark, sf_dir, "documents")
-    rows = with_target(docs, table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id"))
-    return score(rows, fit(rows))
+    return whole_scores(with_target(docs, table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")))

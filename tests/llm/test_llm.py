@@ -483,3 +483,32 @@ def test_pipeline(spark, tmp_path, docs):
     packed = corpus_pipeline.run(spark, sf).collect()
     packed_ok(packed, packing.CAPACITY)
     assert {r.doc_id for r in packed} == {r.doc_id for r in apart.collect()}
+
+
+def test_lm_score_keeps_every_word_and_bigram(spark, tmp_path):
+    """The query against brute force, where most words and bigrams occur once; repeated rows and null ids are scored each."""
+    texts = [(i, t) for i, t in enumerate(TEXTS)] + [(5, "Rare once only"), (5, "Rare once only"), (None, "lone words here"), (None, "long lone")]
+    spark.createDataFrame(texts, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(len(TEXTS))], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    split = [(i, [None, *WORD.findall((t or "").translate(LOWER))]) for i, t in texts]
+    target = [(i, w) for i, w in split if i is not None and i < len(TEXTS) and i % 2 == 0]
+    size = len({x for _, w in split for x in w[1:]}) + 1
+    losses = []
+    for part in (target, split):
+        big = Counter(p for _, w in part for p in zip(w, w[1:], strict=False))
+        word = Counter(x for _, w in part for x in w[1:])
+        ctx, followers, total = Counter(), Counter(a for a, _ in big), sum(word.values())
+        for (a, _), n in big.items():
+            ctx[a] += n
+
+        def p(a, b, big=big, word=word, ctx=ctx, followers=followers, total=total):
+            u = (word[b] + 1) / (total + size)
+            return u if not ctx[a] else max(big[a, b] - lm_score.DISCOUNT, 0) / ctx[a] + lm_score.DISCOUNT * followers[a] / ctx[a] * u
+
+        losses.append([-sum(math.log(p(a, b)) for a, b in zip(w, w[1:], strict=False)) / max(len(w) - 1, 1) for _, w in split])
+    want = sorted((-1 if i is None else i, len(w) - 1, round(t, 4), round(g, 4)) for (i, w), t, g in zip(split, *losses, strict=True))
+    got = lm_score.op1_lm_score(spark, str(tmp_path)).collect()
+    rows = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.loss_target, r.loss_background) for r in got)
+    assert [r[:2] for r in rows] == [r[:2] for r in want]
+    assert np.allclose([r[2:] for r in rows], [r[2:] for r in want], atol=2e-4)
+    assert all(math.isclose(r.score, r.loss_target - r.loss_background, abs_tol=1e-12) for r in got)
