@@ -2,7 +2,10 @@
 
 Every k-gram of characters has a rolling hash; of each window of w neighbouring k-grams the smallest is chosen, of
 equal ones the rightmost. Chosen hashes are kept with their positions. Two texts that share w + k - 1 characters in a
-row share a chosen hash, at the positions of that passage. A-Z count as a-z and any of [\\x09-\\x0D] as a space, each at its place.
+row share a chosen hash, at the positions of that passage. Texts under 2 (w + k - 1) characters have a smaller window, so that
+either half holds a whole one; its choice holds all that the full window would choose. Where half a text is shorter than k, all
+k-grams are chosen, and all grams of the two longest of k/2, k/4, ... characters that fit into half the text. So a text and its edited
+one always share a chosen hash of the half that stays. A-Z count as a-z and any of [\\x09-\\x0D] as a space, each at its place.
 
 Next documents. Rows are dealt by ranges of doc_id into buckets whose limits are quantiles of the ids. The first row of
 each bucket is sent to the bucket before it as well (a bucket's only neighbour), so one sort within buckets gives every row its
@@ -27,6 +30,7 @@ from pyspark.sql import functions as F
 from slidejobs.functions.storage import stored, table
 
 K, WINDOW = 25, 76
+SHORT = [K >> i for i in range(1, K.bit_length())]  # grams of texts whose half is shorter than K
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _FOLD = np.arange(128, dtype=np.uint32)
 _FOLD[65:91] += 32
@@ -66,11 +70,24 @@ def kgram_hashes(c: np.ndarray, k: int) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
-def winnow(text: str, k: int = K, w: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes that are chosen, by position."""
+def winnow(text: str, k: int | None = None, w: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes that are chosen, by position. Without k and w: K and WINDOW, the module's rule for short texts included."""
     c = code_points(text)
     if not len(c):
         return np.zeros(0, np.int64), np.zeros(0, np.uint32)
+    if k is not None or w is not None:
+        return chosen(c, k or K, w or WINDOW)
+    half = len(c) - len(c) // 2
+    pos, h = chosen(c, K, max(1, min(WINDOW, half - K + 1)))
+    if half >= K:
+        return pos, h
+    grams = [g for g in SHORT if g <= half][:2]
+    pos, h = (np.concatenate(x) for x in zip((pos, h), *[chosen(c, g, 1) for g in grams], strict=True))
+    order = np.argsort(pos, kind="stable")
+    return pos[order], h[order]
+
+
+def chosen(c: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
     h = kgram_hashes(c, k)
     w = min(w, len(h))
     # of equal hashes the rightmost: later positions make smaller keys
@@ -133,7 +150,7 @@ def with_next(rows: DataFrame, per_bucket: int = 1000, most: int = 8192) -> Data
     return dealt.withColumn("side", F.lit(0)).unionByName(copies)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, w: int = WINDOW) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, w: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

@@ -321,6 +321,15 @@ def test_shared_passages_share_a_hash():
         assert own & other
 
 
+def test_half_of_a_short_text_shares_a_hash():
+    for n in range(1, 260):
+        for following in ("", prose(60), "zq"):
+            t = prose(n)[:n]
+            own, new = (set(winnowing.winnow(x)[1].tolist()) for x in (t, winnowing.edited(t, following)))
+            assert own & new
+            assert own >= set(winnowing.winnow(t, winnowing.K, winnowing.WINDOW)[1].tolist())
+
+
 @pytest.mark.parametrize("per_bucket", [1000, 5])
 def test_fingerprints(docs, none, monkeypatch, per_bucket):
     plain = winnowing.with_next
