@@ -113,7 +113,7 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_col: str = "
     """
     spark = pages.sparkSession
     rule_rows = rules.select(F.concat("host", "path").alias("rule"), F.col("verdict").alias("rule_verdict"), F.char_length("path").alias("n"))
-    lengths = sorted(r[0] for r in rule_rows.select("n").distinct().limit(256).collect())
+    lengths = sorted(r[0] for r in rule_rows.select("n").distinct().collect())  # at most the longest listed path
     rule_hash, url_hash = lambda c: F.xxhash64(F.lit("rule"), c), lambda c: F.xxhash64(F.lit("url"), c)
     exact = stored(listed.select(F.col("url").alias("key")).distinct(), "listed")
     bloom = BlockedBloom.of(exact.select(url_hash(F.col("key")).alias("h")).union(rule_rows.select(rule_hash(F.col("rule")))))

@@ -372,6 +372,14 @@ def test_url_filter(spark):
     assert url_filter.judge(pages.limit(0), rules, empty).count() == 0
 
 
+def test_url_filter_takes_every_length_of_rule(spark):
+    paths = ["/" + "a" * i for i in range(300)]
+    rules = spark.createDataFrame([(f"h{i}.org", p, "block") for i, p in enumerate(paths)], "host string, path string, verdict string")
+    pages = spark.createDataFrame([(i, f"http://h{i}.org{p}") for i, p in enumerate(paths)], "page_id long, url string")
+    got = url_filter.judge(pages, rules, spark.createDataFrame([], "url string")).collect()
+    assert {r.page_id: (r.rule, r.verdict) for r in got} == {i: (f"h{i}.org{p}", "block") for i, p in enumerate(paths)}
+
+
 def test_bloom_never_misses(spark):
     keys = spark.range(5000).select(F.xxhash64("id").alias("h"))
     bloom = url_filter.BlockedBloom.of(keys)
