@@ -5,7 +5,9 @@ by a digest of all of it. Each level reads only what it needs from the rows that
 in groups of two or more; no level moves texts.
 
 Edge cases: a null text counts as empty; all empty texts are one group. A row repeated with its doc_id
-counts in group_size like any copy and has the verdict of its doc_id. An empty table gives no rows. Extra
+counts in group_size like any copy and has the verdict of its doc_id. A null doc_id stands last when the row to keep is
+chosen; of rows that only null ids hold, all have a null keep_id and count as kept, and drop_duplicates leaves one. A doc_id
+that several texts share has a verdict for each. An empty table gives no rows. Extra
 columns are ignored, whatever their names.
 """
 
@@ -18,6 +20,7 @@ from slidejobs.functions.storage import small, stored, table
 
 WHITESPACE = " \t\n\x0b\f\r"
 PREFIX_CHARS = 64
+KEY = "_id_and_digest"
 
 
 def normalised(text: Column) -> Column:
@@ -36,7 +39,7 @@ def digest(text: Column) -> Column:
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 200_000) -> DataFrame:
     """Groups of two or more rows with equal normalised texts: text_sha256, keep_id, group_size.
 
-    keep_id is the doc_id of the row with the most code points in its original text, then the smallest doc_id.
+    keep_id is the doc_id of the row with the most code points in its original text, then the smallest doc_id, null last.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     by_length = rows.select(F.octet_length(normalised(F.col("text"))).alias("n_len"))
@@ -53,7 +56,7 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         last = full(keyed.join(small(prefixes, broadcast_rows, n), ["n_len", "prefix"], "left_semi"))
     else:  # digests are moved, never texts
         last = full(keyed).join(prefixes, ["n_len", "prefix"], "left_semi")
-    first = F.min(F.struct((-F.col("chars")).alias("less"), "doc_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), (-F.col("chars")).alias("less"), "doc_id"))
     groups = last.groupBy("n_len", "prefix", "text_sha256").agg(F.count(F.lit(1)).alias("group_size"), first.alias("first"))
     return groups.filter("group_size > 1").select("text_sha256", F.col("first.doc_id").alias("keep_id"), "group_size")
 
@@ -72,20 +75,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, without rows whose text another row keeps; repeats of a kept doc_id go as well.
 
-    Ids to drop and ids that repeat are few beside the rows: they are broadcast while they are counted to be
-    small, and joined by a shuffle beyond.
+    Rows are matched by id and digest, null ids too. Those to drop and those that repeat are few beside the rows: they are broadcast
+    while they are counted to be small, and joined by a shuffle beyond.
     """
     groups = duplicate_groups(docs, id_col, text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("text_sha256"))
-    members = rows.join(groups, "text_sha256").groupBy("doc_id", "keep_id").agg(F.count(F.lit(1)).alias("n"))
+    key = F.concat(F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("")), F.lit(":"), digest(F.col(text_col)))
+    rows = docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("text_sha256"), key.alias(KEY))
+    members = rows.join(groups, "text_sha256").groupBy("doc_id", "keep_id", KEY).agg(F.count(F.lit(1)).alias("n"))
     members = stored(members, "members")
-    gone = members.filter("doc_id <> keep_id").select(F.col("doc_id").alias(id_col))
-    again = members.filter("doc_id = keep_id and n > 1").select(F.col("doc_id").alias(id_col))
-    left = docs.join(small(gone), id_col, "left_anti")
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    gone, again = members.filter(~stays).select(KEY), members.filter(stays & (F.col("n") > 1)).select(KEY)
+    left = docs.withColumn(KEY, key).join(small(gone), KEY, "left_anti")
     if (n := again.count()) == 0:
-        return left
+        return left.drop(KEY)
     again = small(again, count=n)
-    return left.join(again, id_col, "left_anti").unionByName(left.join(again, id_col, "left_semi").dropDuplicates([id_col]))
+    return left.join(again, KEY, "left_anti").unionByName(left.join(again, KEY, "left_semi").dropDuplicates([KEY])).drop(KEY)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

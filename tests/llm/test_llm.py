@@ -80,6 +80,17 @@ def test_exact_dedup(docs, none):
     assert exact_dedup.exact_dedup(none).count() == 0 and exact_dedup.drop_duplicates(none).count() == 0
 
 
+def test_exact_dedup_of_null_and_reused_ids(spark):
+    rows = [(None, "a  b"), (1, "a b"), (2, "ab"), (None, "nobody"), (None, "nobody"), (7, "alone"), (7, "a b"), (8, "twice"), (8, "twice"), (None, "single")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.text_sha256): (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(df).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert {i: got[i, sha("ab")] for i in (None, 1, 2, 7)} == {None: (1, 4, False), 1: (1, 4, True), 2: (1, 4, False), 7: (1, 4, False)}
+    assert got[None, sha("nobody")] == (None, 2, True) and got[7, sha("alone")] == (7, 1, True)
+    left = sorted((r.doc_id or 0, r.text) for r in exact_dedup.drop_duplicates(df).collect())
+    assert left == [(0, "nobody"), (0, "single"), (1, "a b"), (7, "alone"), (8, "twice")]
+
+
 def test_bpe_equals_the_library(docs, none):
     from tokenizers import Tokenizer
 
