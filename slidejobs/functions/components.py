@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,39 +15,47 @@ from pyspark.sql.types import StructField, StructType
 from slidejobs.functions.storage import stored
 
 
+def _roots(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """The smallest node that each of 0..n-1 is joined with: roots of edges are hung below smaller ones, then all pointers are followed."""
+    up = np.arange(n)
+    while len(u):
+        np.minimum.at(up, np.maximum(u, v), np.minimum(u, v))
+        while not np.array_equal(further := up[up], up):
+            up = further
+        u, v = up[u], up[v]
+        u, v = u[u != v], v[u != v]
+    return up
+
+
 def _stars(edges: DataFrame, near: list[Column], most: int = 200_000) -> DataFrame:
     """Edges with the same components and short paths: each run of up to `most` edges that a task reads becomes stars about its smallest nodes.
 
     near: edges with the same values are read by the same task.
     """
     kind = edges.schema["a"].dataType
-    plain = (lambda v: tuple(v.values())) if isinstance(kind, StructType) else (lambda v: v)
-    back = (lambda v: dict(zip(kind.names, v, strict=True))) if isinstance(kind, StructType) else (lambda v: v)
     arrow = to_arrow_type(kind)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        up: dict = {}
-
-        def root(x):
-            while (p := up.setdefault(x, x)) != x:
-                up[x] = x = up[p]
-            return x
-
-        def flush() -> pa.RecordBatch:
-            pairs = [(r, x) for x in list(up) if (r := root(x)) != x]
-            up.clear()
-            return pa.RecordBatch.from_arrays([pa.array([back(p[i]) for p in pairs], arrow) for i in (0, 1)], ["a", "b"])
+    def contract(kept: list[pa.RecordBatch]) -> pa.RecordBatch:
+        nodes = pa.concat_arrays([b.column(i).cast(arrow) for i in (0, 1) for b in kept])
+        fields = nodes.flatten() if isinstance(kind, StructType) else [nodes]
+        wide = pd.DataFrame({str(i): f.to_numpy(zero_copy_only=False) for i, f in enumerate(fields)})
+        code = wide.groupby(list(wide.columns), dropna=False).ngroup().to_numpy()  # in the order of the nodes
+        half = len(code) // 2
+        _, first = np.unique(code, return_index=True)
+        up = _roots(code[:half], code[half:], len(first))
+        below = np.flatnonzero(up != np.arange(len(first)))
+        return pa.RecordBatch.from_arrays([nodes.take(pa.array(first[up[below]])), nodes.take(pa.array(first[below]))], ["a", "b"])
 
-        n = 0
-        for batch in batches:
-            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x, y = root(plain(x)), root(plain(y))
-                up[max(x, y)] = min(x, y)
-            n += batch.num_rows
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, n = [], 0
+        for b in batches:
+            kept.append(b)
+            n += b.num_rows
             if n > most:
-                yield flush()
-                n = 0
-        yield flush()
+                yield contract(kept)
+                kept, n = [], 0
+        if n:
+            yield contract(kept)
 
     return edges.repartition(*near).mapInArrow(run, StructType([StructField("a", kind), StructField("b", kind)]))
 
