@@ -1,20 +1,28 @@
 """MinHash near-dedup by a signature-coordinate inverted join.
 
-Every document has a set of word shingles and a signature of `coords` minimal hashes. Documents are posted under their
-coordinate-value pairs. Two documents are candidates if at least `match_threshold` coordinates are equal; that threshold lies so far
-below the wanted similarity that a true pair misses it with a chance of 1e-7 at most. Two documents with that many
-equal pairs share one among the rarest of each (prefix filter, pairs in the order of their frequency), so only those are
-posted; pairs that stand alone are skipped, and with them most documents.
-
-A posting list is never expanded into its pairs. First its members meet one leader (the smallest id), then, where a list
-still has members of several components, a few leaders more, and at last members of different components meet in
-blocks of bounded size. Candidates that keep the match threshold and a bound on the size of the difference of both sets
-(from parity bitmaps, never too strict) are confirmed on the full sets of shingle hashes (48 bits). Documents with equal
-sets are one class from the start, and only the class is posted.
+Every document has a set of word shingles (64-bit hashes) and a signature of COORDS minimal hashes. Documents are posted
+under their coordinate-value pairs. Two documents are candidates if at least `match_threshold` coordinates are equal; that
+threshold lies so far below the wanted similarity that a true pair misses it with a chance of 1e-7 at most. Two documents with
+that many equal pairs share one among the rarest of each (prefix filter, pairs in the order of their frequency), so only those
+are posted; pairs that stand alone are skipped, and with them most documents.
+
+A posting list is never expanded into its pairs. Its members meet one leader (the smallest id), and a list whose members are
+one component by then is closed. Short lists (PAIRS members at most) that are still open let members of different components meet.
+Documents of longer open lists are posted again, under the rarest shingles of their full sets: as many as a partner must share
+at least one of. Each posting knows how many shingles of its document are rarer, which bounds the size of any partner from
+both sides, so members of the smaller components meet only members of a size that can still reach the similarity. Copies of one
+text that differ in words of their own fall out there, since their own words fill the prefix.
+
+Candidates that keep the match threshold and a bound on the size of the difference of both sets (from parity bitmaps, never too
+strict) are confirmed on the full sets. Documents with equal sets are one class from the start, and only the class is
+posted. Lists that many documents share are joined by broadcast; there are at most HEAVY of them, for each document has a
+bounded number of postings.
 
 Edge cases: a null or empty text, or one of white space, has an empty set and is linked with nothing. A text of fewer
-words than a shingle is one shingle of all its words. Rows that repeat a doc_id get one row each, with the same
-component. An empty table gives no rows. Extra columns are ignored.
+words than a shingle is one shingle of all its words. Rows that repeat a doc_id with its text get one row each, with the same
+component; a doc_id that several texts share has a component for each text. A null doc_id is linked like any other, but never
+names a component unless no other id is in it: then component_id is null and the row is kept. An empty table gives no rows.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,9 +40,13 @@ from pyspark.sql import functions as F
 
 from slidejobs.functions.components import connected_components
 from slidejobs.functions.storage import small, stored, table
-from slidejobs.llm.bpe import over_texts
+from slidejobs.llm.bpe import over_texts, slices
 
-COORDS, BITS, BLOCK = 64, 1024, 512
+COORDS, BITS = 64, 1024
+PAIRS = 16  # members of an open list up to which different components meet directly
+HEAVY, LONG = 100_000, 64  # lists that may be broadcast; the shortest that are
+CELL = 1.1  # sizes in one cell differ by this factor at most
+NO_ID = 1 << 62  # nodes from here on stand for rows without an id of their own
 _rng = np.random.default_rng(20240229)
 MULTIPLY = _rng.integers(0, 2**63, COORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _rng.integers(0, 2**63, COORDS, np.uint64)
@@ -58,7 +70,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
-    """For each text the sorted distinct 48-bit hashes of its shingles."""
+    """For each text the sorted distinct 64-bit hashes of its shingles."""
     split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     words = split.flatten()
     at = split.offsets.to_numpy().astype(np.int64)
@@ -73,7 +85,7 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     rolled = np.zeros(max(len(h) - k + 1, 0), np.uint64)
     for j in range(k):
         rolled = rolled * STEP + h[j : j + len(rolled)]
-    rolled = mix(rolled) >> np.uint64(16)
+    rolled = mix(rolled)
     out = []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         if b - a >= k:
@@ -84,7 +96,7 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
             one = SHORT
             for x in h[a:b]:
                 one = np.uint64((int(one) * int(STEP) + int(x)) & (2**64 - 1))
-            out.append(mix(np.array([one])) >> np.uint64(16))
+            out.append(mix(np.array([one])))
     return out
 
 
@@ -99,27 +111,34 @@ def parity(s: np.ndarray) -> bytes:
     return np.packbits((np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
 
 
-def packed(s: np.ndarray) -> bytes:
-    return s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def unpacked(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return wide.view("<u8").ravel()
+def with_nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs and the column _node: the id, or for rows with a null or repeated id a number from id and text."""
+    own, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
+    again = stored(docs.select(own.alias("_again")).filter("_again is not null").groupBy("_again").count().filter("count > 1").select("_again"), "repeated-ids")
+    named = F.lit(NO_ID) + F.xxhash64(own, text).bitwiseAND(NO_ID // 2 - 1)
+    if (n := again.count()) == 0:
+        return docs.withColumn("_node", F.coalesce(own, named))
+    return docs.join(small(again, count=n), own == F.col("_again"), "left").withColumn("_node", F.when(own.isNull() | F.col("_again").isNotNull(), named).otherwise(own)).drop("_again")
 
 
 def sketches(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n, set_key, sig (COORDS ints), low (their last bytes), parity."""
+    """doc_id, node, n, set_key, sig (COORDS ints), low (their last bytes), parity of rows with _node."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("_node").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    names = ["doc_id", "node", "n", "set_key", "sig", "low", "parity"]
 
-    def make(ids: pa.Array, texts: pa.Array) -> list[pa.Array]:
-        sets = shingle_sets(texts, k)
-        sigs = np.stack([signature(s) for s in sets]).view(np.int32) if sets else np.zeros((0, COORDS), np.int32)
-        key = [hashlib.blake2b(packed(s), digest_size=16).digest() for s in sets]
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sigs.size + 1, COORDS), pa.int32()), pa.array(sigs.ravel()))
-        return [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(key, pa.binary()), lists, pa.array([r.tobytes() for r in sigs.astype(np.uint8)], pa.binary()), pa.array([parity(s) for s in sets], pa.binary())]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices(b.column(2)):
+                sets = shingle_sets(b.column(2)[part], k)
+                sigs = np.stack([signature(s) for s in sets]).view(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sigs.size + 1, COORDS), pa.int32()), pa.array(sigs.ravel()))
+                binary = lambda x: pa.array(x, pa.binary())
+                key, low = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], [r.tobytes() for r in sigs.astype(np.uint8)]
+                cols = [b.column(0)[part], b.column(1)[part], pa.array([len(s) for s in sets], pa.int64()), binary(key), lists, binary(low), binary([parity(s) for s in sets])]
+                yield pa.RecordBatch.from_arrays(cols, names)
 
-    return over_texts(docs, "doc_id long, n long, set_key binary, sig array<int>, low binary, parity binary", make, id_col, text_col)
+    return rows.mapInArrow(run, "doc_id long, node long, n long, set_key binary, sig array<int>, low binary, parity binary")
 
 
 def may_link(n_a, n_b, low_a, low_b, bits_a, bits_b, matches: int, percent: int) -> np.ndarray:
@@ -141,27 +160,38 @@ def _bits(col: pa.Array) -> np.ndarray:
 class NearDuplicates:
     """The search over one table of documents."""
 
-    def __init__(self, docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", leaders: int = 6):
-        self.docs, self.k, self.percent, self.id_col, self.text_col, self.leaders = docs, k, percent, id_col, text_col, leaders
+    def __init__(self, docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"):
+        self.k, self.percent, self.text_col = k, percent, text_col
+        self.docs = with_nodes(docs, id_col, text_col)
         self.matches = match_threshold(COORDS, percent)
-        self.rows = stored(sketches(docs, k, id_col, text_col), "sketches")
-        self.reps = stored(self.rows.filter("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-        own = self.reps.select("set_key", F.col("rep").alias("doc_id"))
-        self.sketch = stored(self.rows.join(own, ["set_key", "doc_id"], "left_semi").drop("set_key").dropDuplicates(["doc_id"]), "representatives")
+        self.rows = stored(sketches(self.docs, k, id_col, text_col), "sketches")
+        self.reps = stored(self.rows.filter("n > 0").groupBy("set_key").agg(F.min("node").alias("rep"), F.min("doc_id").alias("first")), "classes")
+        own = self.reps.select("set_key", F.col("rep").alias("node"))
+        self.sketch = stored(self.rows.drop("doc_id").join(own, ["set_key", "node"], "left_semi").drop("set_key").dropDuplicates(["node"]), "representatives")
+        self.heavy = max(self.sketch.count() * COORDS // HEAVY, LONG)  # no more than HEAVY pairs are held by more documents
+
+    @staticmethod
+    def joined(rows: DataFrame, lists: DataFrame, key: str, heavy: int) -> DataFrame:
+        """rows with what lists say of their key. Lists of more than `heavy` rows by their count c are few: they are broadcast, and no task gets all rows of one."""
+        few = F.broadcast(lists.filter(F.col("c") > heavy))
+        on = [x for x in (key, "c") if x in rows.columns]
+        if "c" in on:
+            return rows.filter(F.col("c") > heavy).join(few, on).unionByName(rows.filter(F.col("c") <= heavy).join(lists.filter(F.col("c") <= heavy), on))
+        return rows.join(few, on).unionByName(rows.join(few, on, "left_anti").join(lists.filter(F.col("c") <= heavy), on))
 
     def postings(self) -> DataFrame:
-        """token, doc_id: each document under its rarest pairs, as far as the prefix goes; pairs of one document are skipped."""
-        pairs = self.sketch.select("doc_id", F.posexplode("sig").alias("i", "v"))
-        pairs = pairs.select("doc_id", F.expr("shiftleft(cast(i as bigint), 32) | (cast(v as bigint) & 4294967295L)").alias("token"))
-        often = pairs.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-        shared = pairs.join(often, "token").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("t"))
-        prefix = shared.filter(F.size("t") >= self.matches).select("doc_id", F.explode(F.expr(f"slice(t, 1, size(t) - {self.matches - 1})")).alias("t"))
-        return prefix.select("t.token", "doc_id")
+        """token, c, node: each document under its rarest pairs (held by c documents), as far as the prefix goes; pairs of one document are skipped."""
+        pairs = self.sketch.select("node", F.posexplode("sig").alias("i", "v"))
+        pairs = pairs.select("node", F.expr("shiftleft(cast(i as bigint), 32) | (cast(v as bigint) & 4294967295L)").alias("token"))
+        often = stored(pairs.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "frequencies")
+        shared = self.joined(pairs, often, "token", self.heavy).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("t"))
+        prefix = shared.filter(F.size("t") >= self.matches).select("node", F.explode(F.expr(f"slice(t, 1, size(t) - {self.matches - 1})")).alias("t"))
+        return prefix.select("t.token", "t.c", "node")
 
     def screened(self, pairs: DataFrame) -> DataFrame:
         """Of pairs a, b those that may be links."""
         s = self.sketch
-        side = lambda x: s.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "low", "parity")])
+        side = lambda x: s.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "low", "parity")])
         both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "low_a", "low_b", "parity_a", "parity_b")
         matches, percent = self.matches, self.percent
 
@@ -173,21 +203,24 @@ class NearDuplicates:
 
         return both.mapInArrow(run, "a long, b long")
 
+    def sets(self, nodes: DataFrame, name: str) -> DataFrame:
+        """node, s: the shingle hashes, as bytes, of the documents of nodes (_id)."""
+        texts = self.docs.join(small(nodes), F.col("_node") == F.col("_id"), "left_semi")
+        k = self.k
+        return stored(over_texts(texts, "node long, s binary", lambda i, t: [i, pa.array([s.tobytes() for s in shingle_sets(t, k)], pa.binary())], "_node", self.text_col).dropDuplicates(["node"]), name)
+
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Of pairs a, b those whose full sets are similar enough."""
         pairs = stored(pairs, "candidates")
         ids = stored(pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("_id")), "involved")
-        texts = self.docs.join(small(ids), F.col(self.id_col) == F.col("_id"), "left_semi")
-        k, percent = self.k, self.percent
-        sets = over_texts(texts, "doc_id long, s binary", lambda i, t: [i, pa.array([packed(s) for s in shingle_sets(t, k)], pa.binary())], self.id_col, self.text_col)
-        sets = stored(sets, "sets")
-        both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").select("a", "b", "sa", "sb")
+        sets, percent = self.sets(ids, "sets"), self.percent
+        both = pairs.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").select("a", "b", "sa", "sb")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 ok = []
-                for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                    x, y = unpacked(x), unpacked(y)
+                for x, y in zip(b.column(2), b.column(3), strict=True):
+                    x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                     common = len(np.intersect1d(x, y, assume_unique=True))
                     ok.append(100 * common >= percent * (len(x) + len(y) - common))
                 yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -195,90 +228,87 @@ class NearDuplicates:
         return stored(both.mapInArrow(run, "a long, b long"), "links")
 
     def labelled(self, posts: DataFrame, links: DataFrame) -> DataFrame:
-        """Postings (token, doc_id, comp, g) of the lists that still hold several components; g: their length."""
+        """Postings (token, c, node, comp, g) of the lists that still hold several components; g: their length."""
         comp = connected_components(links)
-        rows = posts.select("token", "doc_id").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        rows = stored(rows.withColumn("comp", F.coalesce("comp", "doc_id")), "labelled")
-        lists = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("g")).filter("lo <> hi")
-        return stored(rows.join(lists.select("token", "g"), "token"), "open")
-
-    def blocks(self, posts: DataFrame) -> DataFrame:
-        """Candidate pairs of different components out of the same list, compared block by block."""
-        parts = F.ceil(F.col("g") / BLOCK).cast("int")
-        rows = posts.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        rows = rows.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc_id", "comp").join(self.sketch.drop("sig"), "doc_id")
-        rows = rows.select("token", "lo", "hi", "own", "doc_id", "comp", "n", "low", "parity")
-        tasks = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        rows = rows.repartition(tasks, "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "own")
-        matches, percent = self.matches, self.percent
+        rows = stored(posts.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "labelled")
+        lists = rows.groupBy("token", "c").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("g")).filter("lo <> hi").select("token", "c", "g")
+        return stored(self.joined(rows, lists, "token", self.heavy), "open")
 
-        def compare(t: pa.Table) -> pa.RecordBatch:
-            own, doc, comp, n = (t.column(c).to_numpy() for c in ("own", "doc_id", "comp", "n"))
-            low, bits = _low(t.column("low")), _bits(t.column("parity"))
-            lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
-            out_a, out_b = [], []
-            for i in np.flatnonzero(own == lo):
-                other = np.flatnonzero((comp != comp[i]) & ((own == hi) if hi != lo else (np.arange(len(own)) > i)))
-                if len(other):
-                    j = other[may_link(n[i], n[other], low[i], low[other], bits[i], bits[other], matches, percent)]
-                    out_a.append(np.minimum(doc[i], doc[j]))
-                    out_b.append(np.maximum(doc[i], doc[j]))
-            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    def by_shingles(self, members: DataFrame) -> DataFrame:
+        """Candidate pairs of different components among members (node, comp), by the rarest shingles of their full sets."""
+        q = self.percent
+        sets = self.sets(members.select(F.col("node").alias("_id")), "member-sets")
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kept: list[pa.RecordBatch] = []  # rows of a block pair that may go on
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                key = np.stack([b.column(i).to_numpy() for i in range(3)], axis=1)
-                cuts = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, len(key)] if len(key) else np.zeros(0, int)
-                for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    part = b.slice(x, y - x)
-                    if kept and any(kept[-1].column(i)[0] != part.column(i)[0] for i in range(3)):
-                        yield compare(pa.Table.from_batches(kept))
-                        kept = []
-                    kept.append(part)
-            if kept:
-                yield compare(pa.Table.from_batches(kept))
-
-        return rows.mapInArrow(run, "a long, b long").distinct()
+                for node, s in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    s = np.frombuffer(s.as_buffer(), np.int64)
+                    for i in range(0, len(s), 100_000):
+                        part = s[i : i + 100_000]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), node)), pa.array(np.full(len(part), len(s))), pa.array(part)], ["node", "n", "s"])
+
+        shingles = stored(sets.mapInArrow(spread, "node long, n long, s long"), "shingles")
+        often = stored(shingles.groupBy("s").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "frequencies")
+        heavy = max(shingles.count() // HEAVY, LONG)
+        t = self.joined(shingles, often, "s", heavy).groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("t"))
+        # a partner shares one at least of the n - ceil(q n / 100) + 1 rarest; those of this document alone count, but need no posting
+        t = t.withColumn("own", F.col("n") - F.size("t")).withColumn("room", F.col("n") - F.ceil(F.col("n") * q / 100) + 1 - F.col("own")).filter("room > 0")
+        posts = t.select("node", "n", "own", F.posexplode(F.expr("slice(t, 1, cast(room as int))")).alias("i", "t"))
+        posts = posts.select("node", "n", (F.col("own") + F.col("i")).alias("i"), "t.c", "t.s").join(members, "node")
+        posts = stored(posts, "shingle-postings")
+        # lists of one component are closed; in others all but the members of the largest look for partners
+        lists = posts.groupBy("s", "c", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("s", "c").agg(F.max_by("comp", F.struct("m", "comp")).alias("largest"), F.count(F.lit(1)).alias("comps"))
+        posts = stored(self.joined(posts, lists.filter("comps > 1").drop("comps"), "s", heavy), "shingle-lists")
+        cell = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(CELL))).cast("int")
+        most = F.floor((F.col("n") - F.col("i")) * (100 + q) / q - F.col("n"))
+        least = F.greatest(F.ceil(F.col("n") * q / 100), F.lit(1))
+        x = posts.filter("comp <> largest").withColumn("most", most).filter(F.col("most") >= least).withColumn("cell", F.explode(F.sequence(cell(least), cell(F.col("most")))))
+        x = x.select("s", "cell", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("i").alias("ix"))
+        y = posts.select("s", cell(F.col("n")).alias("cell"), F.col("node").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("i").alias("iy"))
+        fits = F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")) * (100 + q) >= (F.col("nx") + F.col("ny")) * q
+        met = x.join(y, ["s", "cell"]).filter((F.col("cx") != F.col("cy")) & fits)
+        return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
     def links(self) -> DataFrame:
         """Pairs a < b of class representatives that are similar enough: enough of them to join every component."""
-        pair = lambda df: df.select(F.least("lead", "doc_id").alias("a"), F.greatest("lead", "doc_id").alias("b")).filter("a <> b")
+        pair = lambda df: df.select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).filter("a <> b")
         posts = stored(self.postings(), "postings")
-        lead = posts.groupBy("token").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("g")).filter("g > 1").drop("g")
-        met = pair(posts.join(lead, "token")).groupBy("a", "b").count()  # counts of collisions among the rarest
+        lead = posts.groupBy("token", "c").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("g")).filter("g > 1").drop("g")
+        met = pair(self.joined(posts, lead, "token", self.heavy)).groupBy("a", "b").count()  # counts of collisions among the rarest
         found = self.confirmed(self.screened(met.select("a", "b")))
         left = self.labelled(posts, found)
-        if left.take(1):  # more leaders, by hashes that agree between lists
-            firsts = [F.min(F.struct(F.xxhash64(F.lit(i), "doc_id").alias("h"), "doc_id", "comp")).alias(f"l{i}") for i in range(self.leaders)]
-            lead = left.groupBy("token").agg(*firsts).select("token", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"l{i}.doc_id"), F.col(f"l{i}.comp")) for i in range(self.leaders)]))).alias("l"))
-            lead = lead.select("token", F.col("l.doc_id").alias("lead"), F.col("l.comp").alias("lead_comp"))
-            met = pair(left.join(lead, "token").filter("comp <> lead_comp")).distinct()
-            found = found.union(self.confirmed(self.screened(met)))
-            left = self.labelled(left, found)
-        if left.take(1):
-            found = found.union(self.confirmed(self.blocks(left)))
-        return found
+        if not left.take(1):
+            return found
+        few = left.filter(F.col("g") <= PAIRS).select("token", "node", "comp")
+        met = few.join(few.select("token", F.col("node").alias("lead"), F.col("comp").alias("lead_comp")), "token").filter("node < lead and comp <> lead_comp")
+        met = pair(met).distinct()
+        members = stored(left.filter(F.col("g") > PAIRS).select("node", "comp").distinct(), "members")
+        if members.take(1):
+            met = met.union(self.by_shingles(members)).distinct()
+        return found.union(self.confirmed(self.screened(met)))
 
     def result(self) -> DataFrame:
-        """doc_id, n_shingles, component_id, kept for each row."""
+        """doc_id, node, n_shingles, component_id, kept for each row."""
         comp = connected_components(self.links())
-        rep = self.reps.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("comp", "rep").alias("comp"))
-        found = self.rows.select("doc_id", "n", "set_key").join(rep, "set_key", "left")
+        rep = self.reps.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", "first", F.coalesce("comp", "rep").alias("comp"))
+        if self.rows.filter(F.col("node") >= NO_ID).take(1):  # a node is not always an id
+            rep = stored(rep, "labels")
+            smallest = rep.groupBy("comp").agg(F.min("first").alias("id"))
+            rep = rep.join(smallest, "comp").select("set_key", F.col("id").alias("comp"))
+        found = self.rows.select("doc_id", "node", "n", "set_key").join(rep.select("set_key", "comp"), "set_key", "left")
         smallest = F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("doc_id"))
-        return found.select("doc_id", F.col("n").alias("n_shingles"), smallest.alias("component_id"), (smallest == F.col("doc_id")).alias("kept"))
+        return found.select("doc_id", "node", F.col("n").alias("n_shingles"), smallest.alias("component_id"), smallest.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return NearDuplicates(docs, k, percent, id_col, text_col).result()
+    return NearDuplicates(docs, k, percent, id_col, text_col).result().drop("node")
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, of which one document of each component stays."""
-    gone = stored(near_duplicates(docs, k, percent, id_col, text_col).filter("not kept").select(F.col("doc_id").alias(id_col)).distinct(), "near-copies")
-    return docs.join(small(gone), id_col, "left_anti")
+    """The rows of docs, all columns, of which one document of each component stays: the one with the smallest id, null last."""
+    search = NearDuplicates(docs, k, percent, id_col, text_col)
+    gone = stored(search.result().filter("not kept").select(F.col("node").alias("_node")).distinct(), "near-copies")
+    return search.docs.join(small(gone), "_node", "left_anti").drop("_node")
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
