@@ -1,38 +1,47 @@
 """Cross-entropy difference: loss under a target model less loss under a background model, per word.
 
-Both are bigram models over one vocabulary, with the same discount; they differ only in the counts: words of the target
-documents, and words of all documents. Counts are gathered from every document. The whole model (`whole_scores`, the query)
-holds every word and every bigram of the corpus, however rare, and grows with it: it is a stored table that documents look up
-by joins, never an array. Each context gives its discounts to single words, so that it sums to 1.
+Both are bigram models over one vocabulary with the same smoothing; they differ only in the counts: those of the target
+documents, and those of all documents. The models hold every word and every bigram of the corpus, however rare, and grow with it.
+A document is scored by what the other documents hold: its own counts are taken from both models first.
 
-`fit` and `score` are the same with a model of fixed size, for a caller who wants one to broadcast: the `vocabulary` words and
-`bigrams` bigrams with the highest counts; other words are one unknown word, other bigrams back off.
+    p(word) = (count(word) + 1) / (words + V + 1)                     V: different words
+    p(word | before) = (count(before, word) + PRIOR p(word)) / (count(before) + PRIOR)
 
-Words are [^\\x20\\x09-\\x0D]+ with A-Z as a-z, known by their 64-bit hash. A negative score is nearer to the target.
+Words are [^\\x20\\x09-\\x0D]+ with A-Z as a-z, known by 64-bit hashes. A boundary stands before and after the words of a document
+and counts as one word. A negative score is nearer to the target.
 
-Edge cases: a null or empty text, or one of white space, has no words, losses 0 and score 0. Repeated rows are counted and
-scored each. Without target documents the target model is the uniform one. An empty table gives no rows. Extra columns are
-ignored.
+The counts never meet in one place. Documents are dealt to chunks of bounded size. A chunk asks for each of its different words and
+bigrams once, with its own counts; what it asks is dealt to buckets by ranges of the hash, so a word of every document costs a bucket one
+number a chunk. A bucket sums them up and answers with what the other chunks hold, in the order of the question. The chunk then has all counts that its
+documents need. Texts are moved once; nothing is broadcast, and no task holds more than a chunk or a bucket.
+
+Edge cases: a null or empty text, or one of white space, has no words, losses 0 and score 0, and is no part of a model.
+Repeated rows are counted and scored each; of a doc_id that stands among the target's, all rows are in the target; null ids never are.
+Without target documents the target model is the uniform one. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slidejobs.functions.storage import drop_stored, small, stored, table
+from slidejobs.functions.storage import table
 from slidejobs.llm.bpe import slices
 
-VOCABULARY, BIGRAMS, DISCOUNT = 16_384, 1 << 20, 0.75
-BUFFER = 3_000_000  # counted pairs that a task holds before it passes them on
-START = 0x5DEECE66D1CE4E5B  # stands for the context at a document's start
-MODEL_ROWS = 500_000  # bigrams of the whole model that a task holds
+PRIOR = 4.0
+CHUNK_BYTES = 3 << 20  # of text in a chunk, about
+BOUNDARY = np.int64(0x5DEECE66D1CE4E5B)  # stands for a document's start and end
+STEP = np.uint64(0x9E3779B97F4A7C15)
+ALL = np.array([0x2545F4914F6CDD1D], np.uint64)  # the key under which all words are counted
+ASKED = "bucket int, chunk int, keys binary, n binary, t binary"
+ANSWERED = "chunk int, bucket int, n binary, t binary"
+SCORED = "doc_id long, n_words long, loss_target double, loss_background double, score double"
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -49,281 +58,142 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return h[code.indices.to_numpy()], at - np.r_[0, np.cumsum(blank)][at]
 
 
-class Counter:
-    """Sums by key, in sorted arrays."""
-
-    def __init__(self):
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.size = 0
-
-    def add(self, keys: np.ndarray, of_target: np.ndarray) -> None:
-        u, inverse = np.unique(keys, return_inverse=True)
-        n = np.bincount(inverse, minlength=len(u))
-        t = np.bincount(inverse, of_target, minlength=len(u)).astype(np.int64)
-        self.parts.append((u, np.stack([n, t], axis=1)))
-        self.size += len(u)
-        if self.size > BUFFER:
-            self.merge()
-
-    def merge(self) -> None:
-        if len(self.parts) > 1:
-            keys, sums = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-            order = np.argsort(keys, kind="stable")
-            keys, sums = keys[order], sums[order]
-            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            self.parts = [(keys[first], np.add.reduceat(sums, first))]
-        self.size = len(self.parts[0][0]) if self.parts else 0
-
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        self.merge()
-        for keys, sums in self.parts:
-            for i in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000]), pa.array(sums[i : i + 100_000, 0]), pa.array(sums[i : i + 100_000, 1])], ["key", "n", "t"])
-        self.parts, self.size = [], 0
-
-
-def counted(rows: DataFrame, keys_of: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """key, n (in all documents), t (in target documents) over rows (target, text). keys_of gives the keys and their starts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = Counter()
-        for b in batches:
-            for part in slices(b.column(1)):
-                keys, at = keys_of(b.column(1)[part])
-                c.add(keys, np.repeat(b.column(0)[part].to_numpy(zero_copy_only=False).astype(float), np.diff(at)))
-                if c.size > BUFFER:
-                    yield from c.flush()
-        yield from c.flush()
-
-    sums = rows.select("target", "text").mapInArrow(run, "key long, n long, t long")
-    return sums.groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-
-
-def most_frequent(counts: DataFrame, most: int) -> pd.DataFrame:
-    """The rows with n >= c for the least c (2 at least, in steps of about 1 %) that leaves `most` rows at most."""
-    step = F.floor(F.log2("n") * 64).cast("int")
-    tally = dict(counts.filter("n > 1").groupBy(step.alias("s")).count().collect())  # 64 rows for each doubling
-    held, least = 0, max(tally, default=0) + 1
-    while least - 1 >= 0 and least - 1 >= min(tally, default=0) and held + tally.get(least - 1, 0) <= most:
-        least -= 1
-        held += tally.get(least, 0)
-    return counts.filter("n > 1").filter(step >= least).toArrow().to_pandas().sort_values("key", ignore_index=True)
-
-
-class Vocabulary:
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = hashes  # sorted; ids 1.. in this order, 0: unknown word
-        self.size = len(hashes) + 1
-        self.start = self.size  # the context at a document's start
-
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.zeros(len(h), np.int64)
-        i = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[i] == h, i + 1, 0)
-
-    def bigrams(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """context * (size + 1) + word for each word."""
-        h, at = word_hashes(texts)
-        w = self.ids(h)
-        before = np.r_[self.start, w[:-1]] if len(w) else w
-        first = at[:-1][at[:-1] < at[1:]]
-        before[first] = self.start
-        return before * (self.size + 1) + w, at
-
-
-class Model:
-    """Log probabilities of one of the two models."""
-
-    def __init__(self, size: int, pairs: np.ndarray, counts: np.ndarray, contexts: np.ndarray, words: np.ndarray):
-        """pairs: kept bigrams, counts: theirs; contexts, words: counts of each as context and as word."""
-        self.word = np.log((words + 1) / (words.sum() + size))
-        h, w = pairs // (size + 1), pairs % (size + 1)
-        kept = np.maximum(counts - DISCOUNT, 0) / np.maximum(contexts[h], 1)
-        rest = 1 - np.bincount(h, kept, minlength=size + 1)
-        rest = np.where(contexts > 0, np.maximum(rest, 1e-12), 1.0)
-        self.back = np.log(rest)
-        self.pair = np.log(kept + rest[h] * np.exp(self.word[w])).astype(np.float32)
-
-
-class Scorer:
-    def __init__(self, vocabulary: Vocabulary, pairs: np.ndarray, target: Model, background: Model):
-        self.vocabulary, self.pairs, self.models = vocabulary, pairs, (target, background)
-
-    def losses(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Number of words, and mean loss under either model."""
-        key, at = self.vocabulary.bigrams(texts)
-        n = np.diff(at)
-        i = np.minimum(np.searchsorted(self.pairs, key), max(len(self.pairs) - 1, 0))
-        hit = self.pairs[i] == key if len(self.pairs) else np.zeros(len(key), bool)
-        out = []
-        for m in self.models:
-            p = m.back[key // (self.vocabulary.size + 1)] + m.word[key % (self.vocabulary.size + 1)]
-            p[hit] = m.pair[i[hit]]
-            out.append(-np.diff(np.r_[0, np.cumsum(p)][at]) / np.maximum(n, 1))
-        return n, *out
-
-
-def with_target(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, target, text of each row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ids = stored(target_ids.select(F.col(target_ids.columns[0]).alias("doc_id")).distinct(), "target-ids").withColumn("_t", F.lit(True))
-    return rows.join(small(ids), "doc_id", "left").select("doc_id", F.coalesce("_t", F.lit(False)).alias("target"), "text")
-
-
-def fit(rows: DataFrame, vocabulary: int = VOCABULARY, bigrams: int = BIGRAMS) -> Scorer:
-    """rows: target, text."""
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
-    words = stored(counted(rows, word_hashes), "words")
-    top = most_frequent(words, vocabulary)
-    voc = Vocabulary(top["key"].to_numpy(np.int64))
-    pairs = stored(counted(rows, voc.bigrams), "bigrams")
-    kept = most_frequent(pairs, bigrams)
-    size = voc.size
-    sums = lambda key: pairs.groupBy(key.alias("k")).agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toArrow().to_pandas()  # noqa: E731  vocabulary + 2 rows at most
-    ctx, word = sums(F.floor(F.col("key") / (size + 1)).cast("long")), sums(F.pmod("key", F.lit(size + 1)))
-    key = kept["key"].to_numpy(np.int64)
-
-    def model(col: str) -> Model:
-        c, w = np.zeros(size + 1), np.zeros(size)
-        c[ctx["k"].to_numpy(np.int64)] = ctx[col].to_numpy(float)
-        w[word["k"].to_numpy(np.int64)] = word[col].to_numpy(float)
-        return Model(size, key, kept[col].to_numpy(float), c, w)
-
-    return Scorer(voc, key, model("t"), model("n"))
-
-
-def score(rows: DataFrame, scorer: Scorer) -> DataFrame:
-    """doc_id, n_words, loss_target, loss_background, score of each row (doc_id, text)."""
-    held = rows.sparkSession.sparkContext.broadcast(scorer)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in slices(b.column(1)):
-                n, t, g = held.value.losses(b.column(1)[part])
-                yield pa.RecordBatch.from_arrays([b.column(0)[part], pa.array(n), pa.array(t), pa.array(g), pa.array(t - g)], ["doc_id", "n_words", "loss_target", "loss_background", "score"])
-
-    return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, loss_target double, loss_background double, score double")
-
-
-def contexts_and_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of each word's context and of each word, and where each text's begin."""
-    w, at = word_hashes(texts)
-    h = np.r_[np.int64(START), w[:-1]] if len(w) else w
-    h[at[:-1][at[:-1] < at[1:]]] = START
-    return h, w, at
-
-
-def bigram_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """One hash of both; BIGRAM_KEY is the same in SQL."""
-    return w ^ ((h << 1) | (h.view(np.uint64) >> np.uint64(63)).view(np.int64))
-
-
-BIGRAM_KEY = "w ^ (shiftleft(h, 1) | shiftrightunsigned(h, 63))"
-
-
-def bigram_counts(rows: DataFrame) -> DataFrame:
-    """h, w, n (in all documents), t (in target documents) of every bigram of rows (target, text)."""
-
-    def flush(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        if not parts:
-            return
-        keys, h, w, n, t = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(keys, kind="stable")
-        first = np.flatnonzero(np.r_[True, np.diff(keys[order]) != 0])
-        n, t = np.add.reduceat(n[order], first), np.add.reduceat(t[order], first)
-        h, w = h[order[first]], w[order[first]]
-        order = np.argsort(h)  # equal contexts side by side take less room
-        for i in range(0, len(order), 100_000):
-            o = order[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(x[o]) for x in (h, w, n, t)], ["h", "w", "n", "t"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
-        for b in batches:
-            for part in slices(b.column(1)):
-                h, w, at = contexts_and_words(b.column(1)[part])
-                of_target = np.repeat(b.column(0)[part].to_numpy(zero_copy_only=False).astype(float), np.diff(at))
-                u, first, inverse = np.unique(bigram_keys(h, w), return_index=True, return_inverse=True)
-                if not len(u):
-                    continue
-                parts.append((u, h[first], w[first], np.bincount(inverse, minlength=len(u)), np.bincount(inverse, of_target, minlength=len(u)).astype(np.int64)))
-                size += len(u)
-                if size > BUFFER:
-                    yield from flush(parts)
-                    parts, size = [], 0
-        yield from flush(parts)
-
-    sums = rows.select("target", "text").mapInArrow(run, "h long, w long, n long, t long")
-    return sums.groupBy("h", "w").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-
-
-def whole_model(rows: DataFrame) -> DataFrame:
-    """key, loss_t, loss_n of every bigram of rows (target, text): what it costs under the target and the background model."""
-    free_shuffles = rows.sparkSession._jvm.System.gc  # of what is stored by then
-    pairs = stored(bigram_counts(rows), "bigrams")
-    free_shuffles()
-    contexts = stored(pairs.groupBy("h").agg(F.sum("n").alias("h_n"), F.sum("t").alias("h_t"), F.count("*").alias("f_n"), F.count_if(F.col("t") > 0).alias("f_t")), "contexts")
-    words = stored(pairs.groupBy("w").agg(F.sum("n").alias("w_n"), F.sum("t").alias("w_t")), "words")
-    all_n, all_t, distinct = words.agg(F.sum("w_n"), F.sum("w_t"), F.count("*")).first()
-
-    def parts(c: str) -> tuple[Column, Column]:
-        """Discounted share of the bigram in its context, and what the context leaves to single words."""
-        n, in_context = F.col(c), F.col(f"h_{c}")
-        share = F.when(n > 0, (n - DISCOUNT) / in_context).otherwise(0.0)
-        left = F.when(in_context > 0, DISCOUNT * F.col(f"f_{c}") / in_context).otherwise(1.0)
-        return share.cast("float").alias(f"share_{c}"), left.cast("float").alias(f"left_{c}")
-
-    def loss(c: str, total: int | None) -> Column:
-        word = (F.col(f"w_{c}") + 1) / F.lit(float((total or 0) + distinct + 1))
-        return (-F.log(F.col(f"share_{c}") + F.col(f"left_{c}") * word)).cast("float").alias(f"loss_{c}")
-
-    shares = stored(pairs.join(contexts, "h").select("w", F.expr(BIGRAM_KEY).alias("key"), *parts("n"), *parts("t")), "shares")
-    drop_stored(pairs)
-    drop_stored(contexts)
-    free_shuffles()
-    model = stored(shares.join(words, "w").select("key", loss("t", all_t), loss("n", all_n)), "model")
-    drop_stored(shares)
-    drop_stored(words)
-    free_shuffles()
-    return model
-
-
-def whole_scores(rows: DataFrame) -> DataFrame:
-    """doc_id, n_words, loss_target, loss_background, score of each of rows (doc_id, target, text) under the whole model."""
-    spark = rows.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
-    model = whole_model(rows)
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-model.count() // MODEL_ROWS))
+def mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Long integers, byte by byte: of small ones seven eighths are a run of zeros."""
+    return x.astype("<i8", copy=False).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unplanes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+class Chunk:
+    """The words and bigrams of some documents: of each event its document, bigram, word before and word, as places in `keys`."""
+
+    def __init__(self, rows: pa.Table):
+        """rows: doc_id, text and target; rows with target set give only an id that belongs to the target."""
+        named = rows.column("target").to_numpy()
+        targets = rows.filter(pa.array(named)).column("doc_id").to_numpy()
+        docs = rows.filter(pa.array(~named))
+        self.ids = pa.concat_arrays([pa.array([], pa.int64()), *docs.column("doc_id").chunks])
+        self.target = np.isin(self.ids.fill_null(0).to_numpy(zero_copy_only=False), targets) & self.ids.is_valid().to_numpy(zero_copy_only=False)
+        words, sizes = [], []
+        for texts in docs.column("text").chunks:
+            for part in slices(texts):
+                h, at = word_hashes(texts[part])
+                words.append(h)
+                sizes.append(np.diff(at))
+        h, self.n_words = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (words, sizes))
+        events = np.where(self.n_words > 0, self.n_words + 1, 0)
+        self.of = np.repeat(np.arange(len(events)), events)  # each event's document
+        last = np.cumsum(events)[events > 0] - 1
+        is_end = np.zeros(len(self.of), bool)
+        is_end[last] = True
+        w = np.empty(len(self.of), np.int64)
+        w[is_end], w[~is_end] = BOUNDARY, h
+        before = np.r_[BOUNDARY, w[:-1]] if len(w) else w  # what stands before a first word is the last document's boundary
+        w, before = w.view(np.uint64), before.view(np.uint64)
+        word, pair = mix(w), mix(before * STEP + ((w << np.uint64(31)) | (w >> np.uint64(33))))
+        self.keys, place = np.unique(np.concatenate([word, pair, ALL]), return_inverse=True)
+        self.word, self.pair, self.all = place[: len(w)], place[len(w) : -1], place[-1]
+        self.before = np.r_[self.word[last[:1]], self.word[:-1]] if len(w) else self.word
+
+    def prepare(self) -> None:
+        self.owned = [self.own(x, y) for x, y in ((self.pair, self.pair), (self.before, self.word), (self.word, self.word))]
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each key: how often it is here, and in documents of the target. One key counts all words."""
+        of_target = self.target[self.of].astype(float)
+        both = lambda x: (np.bincount(x, minlength=len(self.keys)), np.bincount(x, of_target, minlength=len(self.keys)).astype(np.int64))
+        (a, at), (b, bt), (c, ct) = both(self.word), both(self.pair), both(np.full(len(self.of), self.all))
+        return a + b + c, at + bt + ct
+
+    def own(self, place: np.ndarray, counted: np.ndarray) -> np.ndarray:
+        """How often the document of each event holds places[i] among what was counted."""
+        wide = np.int64(len(self.keys) + 1)
+        held, times = np.unique(self.of * wide + counted, return_counts=True)
+        at = np.minimum(np.searchsorted(held, self.of * wide + place), max(len(held) - 1, 0))
+        return np.where(held[at] == self.of * wide + place, times[at], 0) if len(held) else np.zeros(0, np.int64)
+
+    def losses(self, n: np.ndarray, member: np.ndarray, size: int) -> np.ndarray:
+        """Mean loss of each document under the model with counts n of the keys; member: the document is part of it."""
+        less = member[self.of].astype(np.int64)
+        pair, before, word = (n[x] - less * own for x, own in zip((self.pair, self.before, self.word), self.owned, strict=True))
+        rest = n[self.all] - less * np.bincount(self.of, minlength=len(member))[self.of]
+        p = (word + 1) / (rest + size + 1)
+        loss = -np.log((pair + PRIOR * p) / (before + PRIOR))
+        return np.bincount(self.of, loss, minlength=len(self.n_words)) / (self.n_words + 1)
+
+
+def spread(docs: DataFrame, target_ids: DataFrame, chunks: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """chunk, doc_id, text, target: the rows of docs (target false), and the ids of the target (true) in the chunk of their documents."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.lit(False).alias("target"))
+    ids = target_ids.select(F.col(target_ids.columns[0]).cast("long").alias("doc_id"), F.lit("").alias("text"), F.lit(True).alias("target")).filter("doc_id is not null")
+    chunk = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(chunks)).cast("int")
+    return rows.unionByName(ids).select(chunk.alias("chunk"), "doc_id", "text", "target")
+
+
+def sizes(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
+    """Different words of all documents, the boundary among them (by HyperLogLog, 0.5 %: it stands in the smoothing only), and bytes of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in slices(b.column(2)):
-                row, ids, texts = (b.column(i)[part] for i in range(3))
-                h, w, at = contexts_and_words(texts)
-                key, of = bigram_keys(h, w), np.repeat(np.arange(len(texts)), np.diff(at))
-                order = np.lexsort((key, of))
-                key, of = key[order], of[order]
-                first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (of[1:] != of[:-1])]) if len(key) else np.zeros(0, np.int64)
-                times = np.diff(np.r_[first, len(key)]).astype(np.int32)
-                row = row.to_numpy()
-                # each row once with its id, under a key that spreads and 0 times; then its bigrams
-                yield pa.RecordBatch.from_arrays([pa.array(row), ids, pa.array(row * np.int64(START)), pa.array(np.zeros(len(row), np.int32))], ["row", "doc_id", "key", "times"])
-                for i in range(0, len(first), 100_000):
-                    f = first[i : i + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(row[of[f]]), pa.nulls(len(f), pa.int64()), pa.array(key[f]), pa.array(times[i : i + 100_000])], ["row", "doc_id", "key", "times"])
-
-    # a row is known by its number, so null and repeated ids are scored each
-    found = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, "row long, doc_id long, key long, times int")
-    priced = found.repartition(tasks, "key").join(model.repartition(tasks, "key").hint("shuffle_hash"), "key", "left")
-    cost = lambda c: F.coalesce(F.sum(F.col("times") * F.col(c).cast("double")), F.lit(0.0))
-    sums = priced.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("times").alias("n_words"), cost("loss_t").alias("t"), cost("loss_n").alias("n"))
-    mean = lambda c: F.col(c) / F.greatest("n_words", F.lit(1))
-    out = sums.select("doc_id", "n_words", mean("t").alias("loss_target"), mean("n").alias("loss_background"))
-    return out.withColumn("score", F.col("loss_target") - F.col("loss_background"))
+            for part in slices(b.column(0)):
+                w = pa.array(np.unique(word_hashes(b.column(0)[part])[0]))
+                yield pa.RecordBatch.from_arrays([w, pa.array(np.zeros(len(w), np.int64))], ["w", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([pc.sum(pc.binary_length(b.column(0)[part])).as_py()])], ["w", "bytes"])
+
+    words = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "w long, bytes long")
+    different, total = words.agg(F.approx_count_distinct("w", 0.005), F.sum("bytes")).first()
+    return different + 1, total or 0
+
+
+def scores(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """doc_id, n_words, loss_target, loss_background, score of each row of docs; target_ids: one column of ids."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    size, total = sizes(docs, text_col)
+    chunks = total // chunk_bytes + 1
+    buckets = max(min(chunks, 64), chunks // 8)
+    rows = spread(docs, target_ids, chunks, id_col, text_col)
+
+    def ask(rows: pa.Table) -> pa.Table:
+        c = Chunk(rows)
+        n, t = c.counts()
+        ends = np.searchsorted((c.keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+        parts = [(i, slice(a, b)) for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)) if a < b]
+        cols = [[i for i, _ in parts], [rows.column("chunk")[0].as_py()] * len(parts)]
+        cols = [pa.array(x, pa.int32()) for x in cols] + [pa.array(x, pa.binary()) for x in zip(*[(planes(np.diff(c.keys[s], prepend=np.uint64(0)).view(np.int64)), planes(n[s]), planes(t[s])) for _, s in parts], strict=True)]
+        return pa.table(cols, ["bucket", "chunk", "keys", "n", "t"])
+
+    def answer(asked: pa.Table) -> pa.Table:
+        keys = [np.cumsum(unplanes(x.as_buffer()).view(np.uint64)) for x in asked.column("keys")]
+        known, place = np.unique(np.concatenate(keys), return_inverse=True)
+        cuts = np.cumsum([len(x) for x in keys])[:-1]
+        sums = []
+        for col in ("n", "t"):
+            own = np.concatenate([unplanes(x.as_buffer()) for x in asked.column(col)])
+            sums.append(np.bincount(place, own, minlength=len(known)).astype(np.int64)[place] - own)  # what others hold, mostly nothing
+        cols = [pa.array([planes(x) for x in np.split(y, cuts)], pa.binary()) for y in sums]
+        return pa.table([asked.column("chunk"), asked.column("bucket"), *cols], ["chunk", "bucket", "n", "t"])
+
+    def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        c = Chunk(rows)
+        answers = answers.sort_by("bucket")
+        n, t = (own + np.concatenate([unplanes(x.as_buffer()) for x in answers.column(col)]) for own, col in zip(c.counts(), ("n", "t"), strict=True))
+        c.prepare()
+        target, background = c.losses(t, c.target, size), c.losses(n, np.ones(len(c.target), bool), size)
+        return pa.table([c.ids, pa.array(c.n_words), pa.array(target), pa.array(background), pa.array(target - background)], ["doc_id", "n_words", "loss_target", "loss_background", "score"])
+
+    answers = rows.groupBy("chunk").applyInArrow(ask, ASKED).groupBy("bucket").applyInArrow(answer, ANSWERED)
+    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, SCORED)
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents labelled as good; background: all documents."""
-    docs = table(spark, sf_dir, "documents")
-    return whole_scores(with_target(docs, table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")))
+    return scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id"))

@@ -435,58 +435,31 @@ def test_near_dedup(docs, none, k):
         assert near_dedup.near_duplicates(none).count() == 0
 
 
-def test_near_dedup_of_a_large_group(spark, monkeypatch):
-    """A group of near copies on both sides of the limit, in small blocks."""
-    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+@pytest.mark.parametrize("pairs,heavy", [(2, 100), (16, 100_000)])
+def test_near_dedup_of_a_large_group(spark, monkeypatch, pairs, heavy):
+    """A group of near copies on both sides of the limit, longer than lists whose members meet directly; few and many broadcast lists."""
+    monkeypatch.setattr(near_dedup, "PAIRS", pairs)
+    monkeypatch.setattr(near_dedup, "HEAVY", heavy)
+    monkeypatch.setattr(near_dedup, "LONG", 1)
     ids = {i: near(BASE, i % 14) for i in range(160)} | {1000 + i: prose(50) for i in range(40)}
     df = spark.createDataFrame(list(ids.items()), "doc_id long, text string")
-    got = near_dedup.NearDuplicates(df, k=2, leaders=1).result().collect()
+    asked = []
+    whole = near_dedup.NearDuplicates.by_shingles
+    monkeypatch.setattr(near_dedup.NearDuplicates, "by_shingles", lambda self, members: asked.append(members.count()) or whole(self, members))
+    got = near_dedup.near_duplicates(df, k=2).collect()
+    assert asked and asked[0] > 20
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_near(2, ids)
 
 
-def test_lm_score(docs, none):
-    rows = lm_score.with_target(docs, docs.filter("doc_id % 2 = 0").select("doc_id"))
-    scorer = lm_score.fit(rows, vocabulary=150, bigrams=400)
-    got = lm_score.score(rows, scorer).collect()
-    assert len(got) == len(TEXTS) + 1
-    # the same by plain counting
-    known = {int(h): i + 1 for i, h in enumerate(scorer.vocabulary.hashes)}
-    size, start = scorer.vocabulary.size, scorer.vocabulary.size
-    assert size <= 151 and len(scorer.pairs) <= 400
-    every = [(i, t) for i, t in [*IDS.items(), (143, IDS[143])]]
-    seqs = {}
-    for i, t in every:
-        h, _ = lm_score.word_hashes(pa.array([t]))
-        assert len(h) == len(WORD.findall(t))
-        seqs[i] = [known.get(int(x), 0) for x in h]
-    for which in (0, 1):
-        big, ctx, uni = Counter(), Counter(), Counter()
-        for i, _ in every:
-            if which or i % 2 == 0:
-                for a, b in zip([start, *seqs[i]], seqs[i], strict=False):
-                    big[a, b] += 1
-                    ctx[a] += 1
-                    uni[b] += 1
-        kept = {(int(p) // (size + 1), int(p) % (size + 1)) for p in scorer.pairs}
-        total = sum(uni.values())
-
-        def prob(a, b, big=big, ctx=ctx, uni=uni, kept=kept, total=total):
-            u = (uni[b] + 1) / (total + size)
-            if not ctx[a]:
-                return u
-            rest = max(1e-12, 1 - sum(max(big[a, c] - lm_score.DISCOUNT, 0) for c in range(size) if (a, c) in kept) / ctx[a])
-            return (max(big[a, b] - lm_score.DISCOUNT, 0) / ctx[a] if (a, b) in kept else 0) + rest * u
-
-        for a in (start, 0, 1, 2):
-            assert sum(prob(a, b) for b in range(size)) == pytest.approx(1)
-        for r in got[::7]:
-            s = seqs[r.doc_id]
-            want = -sum(math.log(prob(a, b)) for a, b in zip([start, *s], s, strict=False)) / max(len(s), 1)
-            assert (r.loss_background if which else r.loss_target) == pytest.approx(want, rel=1e-4)
-    assert all(r.score == pytest.approx(r.loss_target - r.loss_background) for r in got)
-    assert {(r.n_words, r.score) for r in got if not IDS[r.doc_id].strip()} == {(0, 0.0)}
-    empty = none.select("doc_id", "text", F.lit(True).alias("target"))
-    assert lm_score.score(empty, lm_score.fit(empty)).count() == 0
+def test_near_dedup_of_null_and_reused_ids(spark):
+    other, third = prose(40), prose(40)
+    rows = [(None, BASE), (None, BASE + " end"), (9, BASE + " tail"), (None, other), (None, other), (4, third), (4, BASE), (3, third + " x"), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(df, k=5).collect())
+    assert got == Counter({(None, 4, False): 2, (9, 4, False): 1, (4, 4, True): 1, (None, None, True): 4, (4, 3, False): 1, (3, 3, True): 1})
+    left = near_dedup.drop_near_duplicates(df, k=5)
+    assert left.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter([(4, BASE), (3, third + " x"), (None, other), (None, other), (None, None), (None, "")])
 
 
 def test_pipeline(spark, tmp_path, docs):
@@ -513,30 +486,58 @@ def test_pipeline(spark, tmp_path, docs):
     assert {r.doc_id for r in packed} == {r.doc_id for r in apart.collect()}
 
 
-def test_lm_score_keeps_every_word_and_bigram(spark, tmp_path):
+def brute_losses(texts, in_target, size):
+    """Mean losses of each text under the target and the background model, its own counts left out."""
+    split = [WORD.findall((t or "").translate(LOWER)) for t in texts]
+    chains = [[None, *w, None] if w else [] for w in split]
+    count = lambda c: (Counter(zip(c, c[1:], strict=False)), Counter(c[1:]))
+    own = [count(c) for c in chains]
+    out = []
+    for member in (in_target, [True] * len(texts)):
+        pairs, words = Counter(), Counter()
+        for m, (p, w) in zip(member, own, strict=True):
+            if m:
+                pairs.update(p)
+                words.update(w)
+        total = sum(words.values())
+        losses = []
+        for c, m, (p, w) in zip(chains, member, own, strict=True):
+            loss, rest = 0.0, total - m * sum(w.values())
+            for a, b in zip(c, c[1:], strict=False):
+                u = (words[b] - m * w[b] + 1) / (rest + size + 1)
+                loss -= math.log((pairs[a, b] - m * p[a, b] + lm_score.PRIOR * u) / (words[a] - m * w[a] + lm_score.PRIOR))
+            losses.append(loss / max(len(c) - 1, 1))
+        out.append(losses)
+    return [len(w) for w in split], *out
+
+
+@pytest.mark.parametrize("chunk_bytes", [2000, 1 << 22])
+def test_lm_score_keeps_every_word_and_bigram(spark, tmp_path, monkeypatch, chunk_bytes):
     """The query against brute force, where most words and bigrams occur once; repeated rows and null ids are scored each."""
-    texts = [(i, t) for i, t in enumerate(TEXTS)] + [(5, "Rare once only"), (5, "Rare once only"), (None, "lone words here"), (None, "long lone")]
-    spark.createDataFrame(texts, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(len(TEXTS))], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
-    split = [(i, [None, *WORD.findall((t or "").translate(LOWER))]) for i, t in texts]
-    target = [(i, w) for i, w in split if i is not None and i < len(TEXTS) and i % 2 == 0]
-    size = len({x for _, w in split for x in w[1:]}) + 1
-    losses = []
-    for part in (target, split):
-        big = Counter(p for _, w in part for p in zip(w, w[1:], strict=False))
-        word = Counter(x for _, w in part for x in w[1:])
-        ctx, followers, total = Counter(), Counter(a for a, _ in big), sum(word.values())
-        for (a, _), n in big.items():
-            ctx[a] += n
-
-        def p(a, b, big=big, word=word, ctx=ctx, followers=followers, total=total):
-            u = (word[b] + 1) / (total + size)
-            return u if not ctx[a] else max(big[a, b] - lm_score.DISCOUNT, 0) / ctx[a] + lm_score.DISCOUNT * followers[a] / ctx[a] * u
-
-        losses.append([-sum(math.log(p(a, b)) for a, b in zip(w, w[1:], strict=False)) / max(len(w) - 1, 1) for _, w in split])
-    want = sorted((-1 if i is None else i, len(w) - 1, round(t, 4), round(g, 4)) for (i, w), t, g in zip(split, *losses, strict=True))
-    got = lm_score.op1_lm_score(spark, str(tmp_path)).collect()
+    texts = [(i, t) for i, t in enumerate(TEXTS)] + [(5, "Rare once only"), (5, "Rare once only"), (None, "lone words here"), (None, "long lone"), (None, "long lone")]
+    rows = [(i, t, 0.5, 3, "n", True) for i, t in texts]
+    spark.createDataFrame(rows, "doc_id long, text string, score double, chunk int, w string, target boolean").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, int(i % 2 == 0)) for i in range(len(TEXTS))] + [(None, 1), (4, 1), (77777, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    size, total = lm_score.sizes(docs)
+    words = {x for _, t in texts for x in WORD.findall((t or "").translate(LOWER))}
+    assert abs(size - len(words) - 1) <= 0.02 * size and total == sum(len((t or "").encode()) for _, t in texts)
+    n, t, g = brute_losses([t for _, t in texts], [i is not None and i < len(TEXTS) and i % 2 == 0 for i, _ in texts], size)
+    want = sorted((-1 if i is None else i, *x) for (i, _), *x in zip(texts, n, t, g, strict=True))
+    if chunk_bytes == 2000:
+        got = lm_score.scores(docs, spark.read.parquet(f"{tmp_path}/labels.parquet").filter("quality = 1").select("doc_id"), chunk_bytes=chunk_bytes).collect()
+    else:
+        got = lm_score.op1_lm_score(spark, str(tmp_path)).collect()
     rows = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.loss_target, r.loss_background) for r in got)
     assert [r[:2] for r in rows] == [r[:2] for r in want]
-    assert np.allclose([r[2:] for r in rows], [r[2:] for r in want], atol=2e-4)
+    assert np.allclose([r[2:] for r in rows], [r[2:] for r in want], atol=1e-9)
     assert all(math.isclose(r.score, r.loss_target - r.loss_background, abs_tol=1e-12) for r in got)
+
+
+def test_lm_score_without_target_or_documents(docs, none):
+    no_ids = none.select("doc_id")
+    got = lm_score.scores(docs, no_ids).collect()
+    size = lm_score.sizes(docs)[0]
+    assert len(got) == len(TEXTS) + 1 and all(math.isclose(r.loss_target, math.log(size + 1) * (r.n_words > 0)) for r in got)
+    assert lm_score.scores(none, no_ids).count() == 0
