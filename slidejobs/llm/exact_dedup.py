@@ -2,7 +2,7 @@
 
 Rows are grouped by the length of the normalised text, then by a hash of its first characters, then
 by a digest of all of it. Each level reads only what it needs from the rows that the level before left
-in groups of two or more; no level moves texts.
+in groups of two or more; no level moves texts. Surviving keys go to the rows by broadcast, or as a bitmap of bounded size where they are many.
 
 Edge cases: a null text counts as empty; all empty texts are one group. A row repeated with its doc_id
 counts in group_size like any copy and has the verdict of its doc_id. A null doc_id stands last when the row to keep is
@@ -20,7 +20,7 @@ from slidejobs.functions.storage import small, stored, table
 
 WHITESPACE = " \t\n\x0b\f\r"
 PREFIX_CHARS = 64
-KEY = "_id_and_digest"
+CELLS = 1 << 28  # of the bitmap that stands for keys too many to broadcast
 
 
 def normalised(text: Column) -> Column:
@@ -36,8 +36,20 @@ def digest(text: Column) -> Column:
     return F.sha2(normalised(text), 256)
 
 
-def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 200_000) -> DataFrame:
-    """Groups of two or more rows with equal normalised texts: text_sha256, keep_id, group_size.
+def may_survive(keyed: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """The rows of keyed whose length and prefix may stand in prefixes, by a bitmap of CELLS bits that is broadcast in pieces of 4 KB, 32 MB in all.
+
+    At 100 million keys it still holds back two thirds of the rows that have none.
+    """
+    cell = F.pmod(F.xxhash64("n_len", "prefix"), F.lit(CELLS))
+    bits = prefixes.groupBy(F.bitmap_bucket_number(cell).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(cell)).alias("bits"))
+    met = keyed.withColumn("piece", F.bitmap_bucket_number(cell)).withColumn("at", F.bitmap_bit_position(cell)).join(F.broadcast(bits), "piece")
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.expr("cast(at div 8 + 1 as int)"), F.lit(1))), 16, 10).cast("int")
+    return met.filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(at % 8 as int))")) != 0).drop("piece", "at", "bits")
+
+
+def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 200_000) -> tuple[DataFrame, DataFrame]:
+    """Groups of two or more rows with equal normalised texts (text_sha256, keep_id, group_size), and the rows that were digested (doc_id, text_sha256 and more).
 
     keep_id is the doc_id of the row with the most code points in its original text, then the smallest doc_id, null last.
     """
@@ -54,16 +66,17 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     full = lambda df: df.select("doc_id", "n_len", "prefix", F.sha2("norm", 256).alias("text_sha256"), F.char_length("text").alias("chars"))
     if n <= broadcast_rows:  # the keys go to the rows, and only rows that survive are digested
         last = full(keyed.join(small(prefixes, broadcast_rows, n), ["n_len", "prefix"], "left_semi"))
-    else:  # digests are moved, never texts
-        last = full(keyed).join(prefixes, ["n_len", "prefix"], "left_semi")
+    else:  # a filter of bounded size goes to the rows; what passes is digested and joined with the keys, so digests are moved, never texts
+        last = full(may_survive(keyed, prefixes)).join(prefixes, ["n_len", "prefix"], "left_semi")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), (-F.col("chars")).alias("less"), "doc_id"))
     groups = last.groupBy("n_len", "prefix", "text_sha256").agg(F.count(F.lit(1)).alias("group_size"), first.alias("first"))
-    return groups.filter("group_size > 1").select("text_sha256", F.col("first.doc_id").alias("keep_id"), "group_size")
+    groups = groups.filter("group_size > 1").select("text_sha256", F.col("first.doc_id").alias("keep_id"), "group_size")
+    return groups, last
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    groups = duplicate_groups(docs, id_col, text_col)
+    groups, _ = duplicate_groups(docs, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("text_sha256"))
     keep = F.coalesce("keep_id", "doc_id")
     return rows.join(groups, "text_sha256", "left").select(
@@ -75,21 +88,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, without rows whose text another row keeps; repeats of a kept doc_id go as well.
 
-    Rows are matched by id and digest, null ids too. Those to drop and those that repeat are few beside the rows: they are broadcast
-    while they are counted to be small, and joined by a shuffle beyond.
+    Only rows that survive the length and the prefix are digested. Rows are matched by id, null ids too, and those that
+    match by digest. Those to drop and those that repeat are few beside the rows: they are broadcast while they are counted to be small, and joined
+    by a shuffle beyond.
     """
-    groups = duplicate_groups(docs, id_col, text_col)
-    key = F.concat(F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("")), F.lit(":"), digest(F.col(text_col)))
-    rows = docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("text_sha256"), key.alias(KEY))
-    members = rows.join(groups, "text_sha256").groupBy("doc_id", "keep_id", KEY).agg(F.count(F.lit(1)).alias("n"))
-    members = stored(members, "members")
-    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    gone, again = members.filter(~stays).select(KEY), members.filter(stays & (F.col("n") > 1)).select(KEY)
-    left = docs.withColumn(KEY, key).join(small(gone), KEY, "left_anti")
+    groups, last = duplicate_groups(docs, id_col, text_col)
+    members = last.join(groups, "text_sha256").groupBy("doc_id", "keep_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"))
+    members = stored(members.select(F.col("doc_id").alias("_group_id"), "keep_id", F.col("text_sha256").alias("_group_sha"), "n"), "members")
+    stays = F.col("_group_id").eqNullSafe(F.col("keep_id"))
+    gone, again = members.filter(~stays).select("_group_id", "_group_sha"), members.filter(stays & (F.col("n") > 1)).select("_group_id", "_group_sha")
+    # not an equality to Spark, so that the digest is taken of rows with a listed id only
+    same = F.col(id_col).eqNullSafe(F.col("_group_id")) & (F.position(F.col("_group_sha"), digest(F.col(text_col))) == 1)
+    left = docs.join(small(gone), same, "left_anti")
     if (n := again.count()) == 0:
-        return left.drop(KEY)
+        return left
     again = small(again, count=n)
-    return left.join(again, KEY, "left_anti").unionByName(left.join(again, KEY, "left_semi").dropDuplicates([KEY])).drop(KEY)
+    repeated = left.join(again, same, "left_semi").withColumn("_group_sha", digest(F.col(text_col))).dropDuplicates([id_col, "_group_sha"]).drop("_group_sha")
+    return left.join(again, same, "left_anti").unionByName(repeated)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,7 +72,7 @@ def test_exact_dedup(docs, none):
     for r in got:
         key = re.sub(r"[\x20\x09-\x0D]", "", IDS[r.doc_id])
         assert (r.keep_id, r.group_size, r.kept, r.text_sha256) == (min(groups[key])[1], len(groups[key]), r.doc_id == min(groups[key])[1], hashlib.sha256(key.encode()).hexdigest())
-    few = {(r.text_sha256, r.keep_id, r.group_size) for r in exact_dedup.duplicate_groups(docs, broadcast_rows=0).collect()}
+    few = {(r.text_sha256, r.keep_id, r.group_size) for r in exact_dedup.duplicate_groups(docs, broadcast_rows=0)[0].collect()}
     assert few == {(r.text_sha256, r.keep_id, r.group_size) for r in got if r.group_size > 1}
     left = exact_dedup.drop_duplicates(docs)
     assert left.columns == docs.columns
@@ -541,3 +541,26 @@ def test_lm_score_without_target_or_documents(docs, none):
     size = lm_score.sizes(docs)[0]
     assert len(got) == len(TEXTS) + 1 and all(math.isclose(r.loss_target, math.log(size + 1) * (r.n_words > 0)) for r in got)
     assert lm_score.scores(none, no_ids).count() == 0
+
+
+def test_null_ids_keep_their_rows(spark, tmp_path):
+    """Every operator gives each row with a null id its own result."""
+    texts = [(None, "null one " * 20), (None, "null two " * 30), (None, "null two " * 30), (3, "three is here " * 9), (9, "the last one of all " * 8), (None, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = bpe.encode_decode(df, bpe.word_bpe()).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in texts)
+    counts = token_counts.count_tokens(df, token_counts.piece_bpe(), f"file://{tmp_path}/cache").collect()
+    assert Counter(r.doc_id for r in counts) == Counter(i for i, _ in texts)
+    assert sorted((r.n_bytes, r.n_tokens is None) for r in counts) == sorted((len(t or ""), False) for _, t in texts)
+    prints = winnowing.fingerprints(df).collect()
+    assert Counter((r.doc_id, r.n_chars) for r in prints) == Counter((i, len(t or "")) for i, t in texts)
+    packed = packing.pack_documents(df).collect()
+    assert sorted(r.length for r in packed) == sorted(r.n_tokens + 1 for r in got)
+    labels = spark.createDataFrame([(3, 1), (9, 0)], "doc_id long, quality int")
+    assert quality.scores(df, quality.train(df, labels)).count() == len(texts)
+    pages = spark.createDataFrame([(None, "http://a.org/x"), (None, None), (None, "http://a.org/x")], "page_id long, url string")
+    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
+    assert Counter((r.host, r.verdict) for r in url_filter.judge(pages, rules, pages.limit(0)).collect()) == Counter({("a.org", "allow"): 2, ("", "allow"): 1})
+    turns = [(None, 0, "user", "hi"), (None, 1, "assistant", "there"), (4, 0, "user", "hi"), (4, None, "assistant", "all"), (4, None, "assistant", "all")]
+    chats = chat_tree.read_back(*chat_tree.build(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))).collect()
+    assert {(r.conv_id, r.n_turns, r.loss_chars) for r in chats} == {(None, 2, 5), (4, 3, 6)}
