@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from slidejobs.functions.storage import stored, table
 
 BEGIN, END = "<|im_start|>", "<|im_end|>"
+NO_ID = 2**63 - 1  # stands for a null conv_id
 NODE = ["p1", "p2"]
 
 
@@ -56,7 +57,7 @@ def read_segment(s: str) -> tuple[str, str]:
 
 def turns_of(conversations: DataFrame) -> DataFrame:
     """conv_id, k (1..), role, text, p1, p2 (the turns up to here), tree (the first turn)."""
-    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = conversations.select(F.coalesce(F.col("conv_id").cast("long"), F.lit(NO_ID)).alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = rows.withColumn("k", F.row_number().over(order).cast("long"))
     up_to = W.partitionBy("conv_id").orderBy("k").rowsBetween(W.unboundedPreceding, 0)
@@ -120,7 +121,7 @@ def build(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     along = steps.select("steps").mapInArrow(follow, "p1 long, p2 long, position long, attend array<struct<`from`: long, `to`: long>>")
     nodes = emitted.drop("ord", "range", "length", "depth").join(places, NODE).join(along, NODE)
     nodes = stored(nodes.select("tree", "start", "length", "depth", "position", "attend", "segment", "loss_from", "loss_to"), "nodes")
-    members = ids.join(places.select(*NODE, "start"), NODE).select("conv_id", "k", "tree", "start")
+    members = ids.join(places.select(*NODE, "start"), NODE).select(F.nullif("conv_id", F.lit(NO_ID)).alias("conv_id"), "k", "tree", "start")
     return nodes, members
 
 

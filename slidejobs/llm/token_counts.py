@@ -8,7 +8,7 @@ A text is counted as the sum of its words where the vocabulary allows that: no p
 another character, so no merge crosses into a word's mark. Otherwise the whole text is encoded.
 
 Edge cases: a null text counts as empty: 0 tokens. Rows with equal texts are counted each and encoded once (with its
-copies, if the very row is repeated with its doc_id). Empty tables and empty
+copies, if the very row is repeated with its doc_id). Null ids are counted like others. Empty tables and empty
 caches give no rows and no hits. Extra columns are ignored. Parts of the cache that a failed job appended twice hold
 equal counts and are read once.
 """
@@ -30,6 +30,8 @@ from slidejobs.llm.bpe import slices
 MARK = "▁"
 CACHE = "tokenizer binary, digest binary, n_tokens long"
 
+MISSES = 1_000_000  # rows of some 60 bytes that a task may hold to be joined with
+
 
 class PieceCounter:
     """Counts of a sentencepiece model. One per Python worker."""
@@ -86,14 +88,15 @@ def count_tokens(docs: DataFrame, path: str, cache: str, id_col: str = "doc_id",
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
     version = PieceCounter.at(path).version
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    digests = stored(rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), content_digest(F.col("text")).alias("digest")), "digests")
+    rows = rows.withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))  # null ids are spread by their texts
+    digests = stored(rows.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), content_digest(F.col("text")).alias("digest")), "digests")
 
     def known() -> DataFrame:
         held = spark.read.schema(CACHE).parquet(cache).filter(F.col("tokenizer") == F.lit(version))
         return held.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
     spark.createDataFrame([], CACHE).write.mode("append").parquet(cache)
-    first = digests.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    first = digests.groupBy("digest").agg(F.min("key").alias("first"))
     misses = stored(first.join(known(), "digest", "left_anti").withColumnRenamed("digest", "wanted"), "misses")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,9 +106,10 @@ def count_tokens(docs: DataFrame, path: str, cache: str, id_col: str = "doc_id",
                 n = counter.count(b.column(1)[part])
                 yield pa.RecordBatch.from_arrays([pa.array([version] * len(n), pa.binary()), b.column(0)[part], pa.array(n)], ["tokenizer", "digest", "n_tokens"])
 
-    # texts meet the misses by doc_id, at every size, in hash joins that need not sort texts
-    wanted = misses.hint("shuffle_hash")
-    text_of = rows.withColumnRenamed("doc_id", "doc").join(wanted, (F.col("doc") == F.col("doc_id")))
+    # texts meet the misses by id, at every size; a hash join need not sort texts, while each task builds a table of a bounded number of misses
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = misses.hint("shuffle_hash") if misses.count() <= MISSES * tasks else misses
+    text_of = rows.join(wanted, F.col("key") == F.col("first"))
     text_of = text_of.filter(content_digest(F.col("text")) == F.col("wanted")).select("wanted", "text")
     text_of.mapInArrow(run, CACHE).write.mode("append").parquet(cache)
     counts = stored(known(), "counts")  # apart from the join, so that a digest of many rows can be split there

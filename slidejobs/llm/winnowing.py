@@ -13,7 +13,7 @@ next one, and texts move once.
 
 Edge cases: null counts as empty; an empty text has an empty fingerprint. A text shorter than k has one hash, of all of it.
 Two empty fingerprints are alike (1.0), an empty one and another are not (0.0). Rows with one doc_id follow each other in the order of
-their texts' hashes. A table of one row is its own next row; an empty table gives no rows. Extra columns are ignored.
+their texts' hashes; null ids come last. A table of one row is its own next row; an empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from slidejobs.functions.storage import stored, table
 
 K, WINDOW = 25, 76
+NO_ID = 2**63 - 1  # stands for a null id, so that it is the last
 SHORT = [K >> i for i in range(1, K.bit_length())]  # grams of texts whose half is shorter than K
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _FOLD = np.arange(128, dtype=np.uint32)
@@ -154,7 +155,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     dealt = with_next(rows)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = dealt.repartition(tasks, "bucket").sortWithinPartitions("bucket", "side", "doc_id", "tie").select("bucket", "side", "doc_id", "text")
@@ -185,7 +186,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         own = np.unique(h)
         return (doc_id, len(text), hashlib.sha256(new.encode()).hexdigest(), as_text(pos, h), as_text(new_pos, new_h), likeness(own, np.unique(new_h)), likeness(own, np.unique(prints[1])))
 
-    return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    out = dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
