@@ -21,9 +21,9 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
         (),
     ),
     "fx_regions": (
-        """select o_custkey % (select count(*) from [supplier]) as slide, o_orderkey as region, cast((o_orderkey * 7) % 48 as int) as x0,
-           cast((o_orderkey * 11) % 48 as int) as y0, cast(4 + o_orderkey % 12 as int) as w, cast(4 + o_custkey % 11 as int) as h
-           from [orders] where o_orderkey % 25 = 0""",
+        """select o_custkey % (select count(*) from [supplier]) as slide, o_orderkey as region, cast((o_orderkey * 7) % 54 as int) as x0,
+           cast((o_orderkey // 54 * 11 + o_custkey) % 54 as int) as y0, cast(2 + o_orderkey % 8 as int) as w, cast(2 + o_custkey % 7 as int) as h
+           from [orders]""",
         (),
     ),
     "fx_vertices": (

@@ -94,6 +94,10 @@ def slide_inventory(fx):
     return an.slide_inventory(fx("fx_slides").sparkSession.sql(_PATHS.replace("fx_slides", "{s}"), s=fx("fx_slides")))
 
 
+#: Every third slide has one layer only.
+_LAYER = "case when slide % 3 = 0 then 1 else region % 2 + 1 end"
+
+
 def _xml(fx, layered: bool, asap: bool = False) -> DataFrame:
     """One file per slide from fx_vertices; regions divisible by 3 have a vertex that can't be read (the first flavour only)."""
     point = F.concat(F.lit('<Coordinate X="' if asap else '<Vertex X="'), "x", F.lit('" Y="'), "y", F.lit('"/>'))
@@ -101,7 +105,7 @@ def _xml(fx, layered: bool, asap: bool = False) -> DataFrame:
     if not asap:
         regions = regions.withColumn("v", F.concat("v", F.when(F.col("region") % 3 == 0, '<Vertex X="none" Y="1"/>').otherwise("")))
     open_, close = ("<Annotation><Coordinates>", "</Coordinates></Annotation>") if asap else ("<Region><Vertices>", "</Vertices></Region>")
-    one = regions.withColumn("layer", (F.col("region") % 2 + 1) if layered else F.lit(1)).withColumn("v", F.concat(F.lit(open_), "v", F.lit(close)))
+    one = regions.withColumn("layer", F.expr(_LAYER) if layered else F.lit(1)).withColumn("v", F.concat(F.lit(open_), "v", F.lit(close)))
     each = one.groupBy("slide", "layer").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("region", "v"))), lambda v: v.v), "").alias("v"))
     if asap:
         return each.select(F.col("slide").cast("string").alias("path"), F.concat(F.lit("<ASAP_Annotations><Annotations>"), "v", F.lit("</Annotations></ASAP_Annotations>")).alias("content"))
@@ -110,8 +114,8 @@ def _xml(fx, layered: bool, asap: bool = False) -> DataFrame:
     return files.select(F.col("slide").cast("string").alias("path"), F.concat(F.lit("<Annotations>"), "v", F.lit("</Annotations>")).alias("content"))
 
 
-_NUMBERED = """n as (select slide, region, layer, row_number() over (partition by slide order by layer, region) - 1 as num from
-  (select slide, region, cast(region % 2 + 1 as int) as layer from fx_regions))"""
+_NUMBERED = f"""n as (select slide, region, layer, row_number() over (partition by slide order by layer, region) - 1 as num from
+  (select slide, region, cast({_LAYER} as int) as layer from fx_regions))"""
 
 
 @query(f"with {_NUMBERED} select cast(slide as varchar) as path, layer as layer_id, num as region, seq, x, y from n join fx_vertices v using (slide, region)")
@@ -125,15 +129,15 @@ def read_annotations_asap(fx):
     return xm.read_asap(_xml(fx, False, asap=True), level=1)
 
 
-@query("select cast(slide as varchar) as path, 'tumour' as class, count(*) as n from fx_vertices where region % 2 = 0 group by 1")
+@query(f"select cast(slide as varchar) as path, 'tumour' as class, count(*) as n from fx_vertices where {_LAYER} = 1 group by 1")
 def read_annotation_layer(fx):
     v = xm.read_imagescope(_xml(fx, True))
     layers = v.sparkSession.createDataFrame([(1, "tumour"), (2, "skip"), (3, "stroma")], "layer_id int, class string")
     return xm.annotation_layers(v, layers).groupBy("path", "class").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""with l as (select * from (values (1, 'tumour'), (2, 'other')) t(layer_id, class)), f as (select distinct slide from fx_regions)
-  select cast(slide as varchar) as path, layer_id, class from f, l where not exists (select 1 from fx_regions r where r.slide = f.slide and r.region % 2 + 1 = l.layer_id)""")
+@query(f"""with l as (select * from (values (1, 'tumour'), (2, 'other')) t(layer_id, class)), f as (select distinct slide from fx_regions)
+  select cast(slide as varchar) as path, layer_id, class from f, l where not exists (select 1 from fx_regions r where r.slide = f.slide and case when r.slide % 3 = 0 then 1 else r.region % 2 + 1 end = l.layer_id)""")
 def missing_annotation_layers(fx):
     files = _xml(fx, True)
     layers = files.sparkSession.createDataFrame([(1, "tumour"), (2, "other"), (3, "skip")], "layer_id int, class string")
@@ -364,9 +368,9 @@ def stroma_pixels(fx):
     return out.groupBy("slide").agg(F.sum("r").alias("r"), F.sum(F.col("g") * 3).alias("g"), F.sum(F.col("b") * 5).alias("b"), F.count(F.lit(1)).alias("n"))
 
 
-@query("select slide, tx * 8 + x as x, ty * 8 + y as y from fx_tiles, (select range as x from range(8)), (select range as y from range(8)) where cls = 0 and slide % 5 = 0")
+@query("select slide, tx * 8 + x as x, ty * 8 + y as y from fx_tiles, (select range as x from range(8)), (select range as y from range(8)) where cls = 0")
 def epithelium_mask(fx):
-    spans = ma.tile_spans(ma.class_mask(fx("fx_tiles").filter("slide % 5 = 0"), 0), ["slide"], TILE)
+    spans = ma.tile_spans(ma.class_mask(fx("fx_tiles"), 0), ["slide"], TILE)
     return ma.to_pixels(spans).select("slide", F.col("x").cast("long"), F.col("y").cast("long"))
 
 
@@ -534,18 +538,17 @@ def place_patches(fx):
     return _placed(fx).groupBy("slide", "k").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x") * 100 + F.col("y")).alias("place"), F.sum("v").alias("v"))
 
 
-#: Pixels have few layers: the running mean is written out for the first twelve.
 def _blend(source: str, order: str) -> str:
-    chain = ["a1 as (select *, vs[1] as m from lists)"] + [f"a{i} as (select * replace (case when len(vs) >= {i} then (m * {i - 1} + vs[{i}]) // {i} else m end as m) from a{i - 1})" for i in range(2, 13)]
-    return f"lists as (select slide, x, y, list(cast(v as bigint) order by {order}) as vs from {source} group by 1, 2, 3), " + ", ".join(chain)
+    return f"""lists as (select slide, x, y, list(cast(v as bigint) order by {order}) as vs from {source} group by 1, 2, 3),
+  blended as (select slide, x, y, list_reduce(vs, lambda m, v, i: (m * (i - 1) + v) // i) as m from lists)"""
 
 
-@query(f"with {_blend('fx_layers', 'k, k2, k3')} select slide, x, y, m as v from a12")
+@query(f"with {_blend('fx_layers', 'k, k2, k3')} select slide, x, y, m as v from blended")
 def blend_mosaic(fx):
     return mo.blend_mosaic(fx("fx_layers"), ["k", "k2", "k3"])
 
 
-@query(f"with {_PLACED}, {_blend('placed', 'k')} select slide, x, y, m as v from a12")
+@query(f"with {_PLACED}, {_blend('placed', 'k')} select slide, x, y, m as v from blended")
 def blend_patches_with_seams(fx):
     ext = mo.canvas_extent(_manifest(fx))
     al = mo.align_patches(_manifest(fx), _readable(fx)).join(_manifest(fx).select("slide", "position", "w", "h"), ["slide", "position"]).join(ext.select("slide", "min_x", "min_y"), "slide")

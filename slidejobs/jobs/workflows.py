@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slidejobs.functions.storage import small
 from slidejobs.operators import annotations as an
 from slidejobs.operators import grid as gr
 from slidejobs.operators import masks as ma
@@ -46,9 +47,9 @@ def spatial_sweep(slides: DataFrame, tiles: DataFrame, til: DataFrame, areas: Da
 
 def training_set(vertices: DataFrame, layers: DataFrame, slides: DataFrame, pixels: DataFrame, sizes: DataFrame, seed: int = 0) -> DataFrame:
     """Annotated layers to numbered patches of each size, with class index and split."""
-    v = vertices.join(F.broadcast(layers.filter("class <> 'skip'")), "layer_id")
+    v = vertices.join(small(layers.filter("class <> 'skip'")), "layer_id")
     classes = v.select("slide", "region", "class").distinct()
     cut = gr.training_patches(an.bounding_boxes(v, ["slide", "region"]), an.polygon_fill(v, ["slide", "region"]), slides, sizes)
     kept = gr.number_training_patches(gr.patch_white(cut.filter("overlap >= 0.7"), pixels, 220).join(classes, ["slide", "region"]))
     keyed = kept.withColumn("item", F.xxhash64("slide", "class", "size", "number").bitwiseAND(F.lit(2**40 - 1)))
-    return tr.split_dataset(keyed, seed).join(F.broadcast(tr.class_index(kept)), "class").drop("item")
+    return tr.split_dataset(keyed, seed).join(small(tr.class_index(kept)), "class").drop("item")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from slidejobs.functions.storage import small, stored
 from slidejobs.operators.annotations import merge_spans
 from slidejobs.operators.grid import gray
 from slidejobs.operators.masks import to_pixels
@@ -20,6 +21,7 @@ def percentile_normalize(pixels: DataFrame, keys: list[str], low: float = 0.01,
     counts = long.groupBy(*keys, F.col("p.c").alias("c"), F.col("p.v").alias("v")).agg(F.count(F.lit(1)).alias("n"))
     q = counts.groupBy(*keys).agg(*[F.expr(f"percentile(v, array({low}, {high}), n) filter (where c = '{c}')").alias(f"q{c}") for c in "rgb"])
     scaled = [F.try_divide(F.col(c) - F.col(f"q{c}")[0], F.col(f"q{c}")[1] - F.col(f"q{c}")[0]).alias(c) for c in "rgb"]
+    q = small(stored(q, "percentiles"))  # one row for each key
     return pixels.join(q, keys).select(*keys, "x", "y", *scaled)
 
 
@@ -85,8 +87,14 @@ def label_pixels(spans: DataFrame, keys: list[str], contour: str = "contour") ->
 
 
 def erode_overlaps(labels: DataFrame, keys: list[str]) -> DataFrame:
-    """Labelled pixels whose 3 x 3 neighbourhood holds no other label."""
-    near = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]))
-    seen = labels.withColumn("d", near).select(*keys, (F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y"), "label", (F.col("d.dx") == 0) & (F.col("d.dy") == 0))
-    seen = seen.toDF(*keys, "x", "y", "label", "own").groupBy(*keys, "x", "y").agg(F.min("label").alias("lo"), F.max("label").alias("label"), F.max("own").alias("own"))
-    return seen.filter("own and lo = label").select(*keys, "x", "y", "label")
+    """Labelled pixels whose 3 x 3 neighbourhood holds no other label.
+
+    Runs of one label meet the runs of other labels in their own and the neighbouring rows; only the pixels next to such a run are made twice.
+    """
+    line = W.partitionBy(*keys, "y", "label").orderBy("x")
+    px = labels.select(*keys, "y", "label", "x", (F.col("x") - F.row_number().over(line)).alias("run"))
+    runs = px.groupBy(*keys, "y", "label", "run").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("run")
+    other = runs.select(*keys, F.explode(F.array(F.col("y") - 1, F.col("y"), F.col("y") + 1)).alias("y"), F.col("label").alias("l"), F.col("x0").alias("o0"), F.col("x1").alias("o1"))
+    met = runs.join(other, [*keys, "y"]).filter("label <> l and o0 <= x1 + 1 and x0 <= o1 + 1")
+    gone = met.select(*keys, "y", F.explode(F.sequence(F.greatest("x0", F.col("o0") - 1), F.least("x1", F.col("o1") + 1))).alias("x")).distinct()
+    return labels.select(*keys, "x", "y", "label").join(gone, [*keys, "x", "y"], "left_anti")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from slidejobs.functions.storage import small
+
 _POINTS = "array<struct<_X: string, _Y: string>>"
 _REGIONS = f"struct<Region: array<struct<Vertices: struct<Vertex: {_POINTS}>>>>"
 IMAGESCOPE = f"Annotation array<struct<_Id: int, Regions: {_REGIONS}>>"
@@ -47,10 +49,10 @@ def read_asap(files: DataFrame, level: int = 0) -> DataFrame:
 
 def annotation_layers(vertices: DataFrame, layers: DataFrame) -> DataFrame:
     """Vertices of the layers that have a class; layers (layer_id, class) with class 'skip' are left out."""
-    return vertices.join(F.broadcast(layers.filter("class <> 'skip'")), "layer_id")
+    return vertices.join(small(layers.filter("class <> 'skip'")), "layer_id")
 
 
 def missing_layers(files: DataFrame, vertices: DataFrame, layers: DataFrame) -> DataFrame:
     """path, layer_id, class of wanted layers that a file lacks. layers has a few rows."""
-    wanted = files.select("path").distinct().crossJoin(F.broadcast(layers.filter("class <> 'skip'")))
+    wanted = files.select("path").distinct().crossJoin(small(layers.filter("class <> 'skip'")))
     return wanted.join(vertices.select("path", "layer_id").distinct(), ["path", "layer_id"], "left_anti")

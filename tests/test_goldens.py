@@ -232,3 +232,23 @@ def test_sinks(spark, tmp_path):
     sinks.write_table(rows, f"{tmp_path}/m")
     sinks.write_table(rows.filter("slide = 2").withColumn("position", rows.position + 5), f"{tmp_path}/m", replace=True)
     assert sorted((r.slide, r.position) for r in spark.read.parquet(f"{tmp_path}/m").collect()) == [(1, 0), (2, 5)]
+
+
+def test_white_share_of_sparse_pixels(spark):
+    """Missing pixels count as not white, wherever they are."""
+    white = [(1, x, 0, 250, 250, 250) for x in (0, 1, 2)] + [(1, 5, 1, 250, 250, 250), (1, 6, 1, 0, 0, 0)]
+    px = spark.createDataFrame(white, "slide int, x int, y int, r int, g int, b int")
+    patches = spark.createDataFrame([(1, 0, 0, 4, 1), (1, 4, 0, 8, 2), (2, 0, 0, 4, 4)], "slide int, x0 int, y0 int, x1 int, y1 int")
+    got = {(r.slide, r.x0): r.white for r in gr.patch_white(patches, px).collect()}
+    assert got == {(1, 0): 0.75, (1, 4): 0.125, (2, 0): 0.0}
+
+
+def test_one_slide_is_many_tasks(spark, monkeypatch):
+    """A slide's edges are dealt by bands, and components that cross them are still one."""
+    monkeypatch.setattr(rg, "BAND", 4)
+    rows = [(1, y, 0, 0) for y in range(40)] + [(1, y, 9, 9) for y in range(0, 40, 2)]
+    lab = rg.label_spans(spark.createDataFrame(rows, "slide int, y int, x0 int, x1 int"), ["slide"])
+    comps = {}
+    for r in lab.collect():
+        comps.setdefault((r.comp.y, r.comp.x0), []).append(r.y)
+    assert sorted(len(v) for v in comps.values()) == [1] * 20 + [40]
