@@ -70,8 +70,8 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         last = full(may_survive(keyed, prefixes)).join(prefixes, ["n_len", "prefix"], "left_semi")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), (-F.col("chars")).alias("less"), "doc_id"))
     groups = last.groupBy("n_len", "prefix", "text_sha256").agg(F.count(F.lit(1)).alias("group_size"), first.alias("first"))
-    groups = groups.filter("group_size > 1").select("text_sha256", F.col("first.doc_id").alias("keep_id"), "group_size")
-    return groups, last
+    groups = stored(groups.filter("group_size > 1").select("text_sha256", F.col("first.doc_id").alias("keep_id"), "group_size"), "groups")
+    return small(groups), last  # by broadcast, as long as they are few, so that no task gets all rows of one group
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
