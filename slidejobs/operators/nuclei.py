@@ -91,10 +91,11 @@ def erode_overlaps(labels: DataFrame, keys: list[str]) -> DataFrame:
 
     Runs of one label meet the runs of other labels in their own and the neighbouring rows; only the pixels next to such a run are made twice.
     """
+    labels = stored(labels.select(*keys, "x", "y", "label"), "labels")  # read three times
     line = W.partitionBy(*keys, "y", "label").orderBy("x")
     px = labels.select(*keys, "y", "label", "x", (F.col("x") - F.row_number().over(line)).alias("run"))
     runs = px.groupBy(*keys, "y", "label", "run").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("run")
     other = runs.select(*keys, F.explode(F.array(F.col("y") - 1, F.col("y"), F.col("y") + 1)).alias("y"), F.col("label").alias("l"), F.col("x0").alias("o0"), F.col("x1").alias("o1"))
     met = runs.join(other, [*keys, "y"]).filter("label <> l and o0 <= x1 + 1 and x0 <= o1 + 1")
     gone = met.select(*keys, "y", F.explode(F.sequence(F.greatest("x0", F.col("o0") - 1), F.least("x1", F.col("o1") + 1))).alias("x")).distinct()
-    return labels.select(*keys, "x", "y", "label").join(gone, [*keys, "x", "y"], "left_anti")
+    return labels.join(gone, [*keys, "x", "y"], "left_anti")
