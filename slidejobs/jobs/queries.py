@@ -144,6 +144,27 @@ def missing_annotation_layers(fx):
     return xm.missing_layers(files, xm.read_imagescope(files), layers)
 
 
+def _mixed(fx) -> DataFrame:
+    """Slides divisible by 5 are of the second flavour; files of slides divisible by 7 are cut short, and empty ones come beside them."""
+    one, two = _xml(fx, True).filter("path % 5 <> 0"), _xml(fx, False, asap=True).filter("path % 5 = 0")
+    both = one.unionByName(two)
+    cut = F.when(F.expr("path % 7 = 0"), F.expr("substr(content, 1, length(content) - 20)")).otherwise(F.concat(F.lit('<?xml version="1.0"?><!-- <no root> -->'), "content"))
+    return both.withColumn("content", cut).unionByName(both.filter("path % 7 = 1").select(F.concat(F.lit("empty-"), "path").alias("path"), F.lit(" ").alias("content")))
+
+
+@query(f"""with {_NUMBERED} select cast(slide as varchar) as path, 'imagescope' as flavour, layer as layer_id, num as region, seq, x, y from n join fx_vertices v using (slide, region) where slide % 5 <> 0 and slide % 7 <> 0
+  union all select cast(v.slide as varchar), 'asap', null, num, seq, x, y from fx_vertices v
+  join (select slide, region, row_number() over (partition by slide order by region) - 1 as num from fx_regions) m using (slide, region) where v.slide % 5 = 0 and v.slide % 7 <> 0""")
+def read_annotations(fx):
+    return xm.read_annotations(_mixed(fx))
+
+
+@query("""with f as (select distinct slide from fx_regions) select cast(slide as varchar) as path, 'malformed' as reason from f where slide % 7 = 0
+  union all select concat('empty-', slide), 'empty' from f where slide % 7 = 1""")
+def rejected_annotations(fx):
+    return xm.rejected_annotations(_mixed(fx))
+
+
 @query("select slide, tx, ty from fx_tiles where not (tx % 3 = 0 and ty % 2 = 0)")
 def pending_work(fx):
     t = fx("fx_tiles").select("slide", "tx", "ty")
@@ -241,6 +262,15 @@ def polygon_fill(fx):
     return an.polygon_fill(fx("fx_vertices"), ["slide", "region"])
 
 
+_CONCAT = f"{_GROUPS}, cat as (select slide, group_id, region * 10 + seq as seq, x, y from fx_vertices join grp using (slide, region)), {_fill('cat', 'slide, group_id')}"
+
+
+@query(f"with recursive {_CONCAT} select slide, group_id, y, count(*) as n, sum(x) as place from fill group by 1, 2, 3")
+def concat_fill(fx):
+    spans = an.polygon_fill(an.concat_vertices(fx("fx_vertices"), _groups(fx)), ["slide", "group_id"])
+    return ma.to_pixels(spans).groupBy("slide", "group_id", "y").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("place"))
+
+
 @query(f"with recursive {_OVERLAP} select * replace (round(overlap, 6) as overlap) from ov")
 def annotation_overlap(fx):
     return _overlap(fx).withColumn("overlap", F.round("overlap", 6))
@@ -527,10 +557,13 @@ _PLACED = f"""{_MAN}, {_EXT}, al as (select slide, position, x0, y0, w, h, row_n
   placed as (select al.slide, x0 - min_x + cast(px.v as int) as x, y0 - min_y + cast(py.v as int) as y, k, (px.v * 7 + py.v * 13 + position * 29) % 256 as v from al join ext using (slide), unnest(range(w)) px(v), unnest(range(h)) py(v))"""
 
 
-def _placed(fx):
+def _patch_pixels(fx):
     px = _manifest(fx).filter("colored").withColumn("px", F.explode(F.sequence(F.lit(0), F.col("w") - 1))).withColumn("py", F.explode(F.sequence(F.lit(0), F.col("h") - 1)))
-    px = px.select("slide", "position", "px", "py", ((F.col("px") * 7 + F.col("py") * 13 + F.col("position") * 29) % 256).alias("v"))
-    return mo.place_patches(px, mo.align_patches(_manifest(fx), _readable(fx)), mo.canvas_extent(_manifest(fx)))
+    return px.select("slide", "position", "px", "py", ((F.col("px") * 7 + F.col("py") * 13 + F.col("position") * 29) % 256).alias("v"))
+
+
+def _placed(fx):
+    return mo.place_patches(_patch_pixels(fx), mo.align_patches(_manifest(fx), _readable(fx)), mo.canvas_extent(_manifest(fx)))
 
 
 @query(f"with {_PLACED} select slide, k, count(*) as n, sum(x * 100 + y) as place, sum(v) as v from placed group by 1, 2")
@@ -548,6 +581,27 @@ def blend_mosaic(fx):
     return mo.blend_mosaic(fx("fx_layers"), ["k", "k2", "k3"])
 
 
+_PADDED = f"""{_PLACED}, mx as (select slide, max(w) as mw, max(h) as mh from al group by 1),
+  padded as (select * from placed union all select slide, x0 - min_x + cast(px.v as int), y0 - min_y + cast(py.v as int), k, 0 from al join ext using (slide) join mx using (slide), unnest(range(mw)) px(v), unnest(range(mh)) py(v) where px.v >= w or py.v >= h)"""
+
+
+def _sizes(fx):
+    return _manifest(fx).join(_readable(fx), ["slide", "position"]).select("slide", "position", "w", "h")
+
+
+@query(f"with {_PADDED}, {_blend('padded', 'k')} select slide, x, y, m as v from blended")
+def blend_padded_patches(fx):
+    placed = mo.place_patches(mo.pad_patches(_patch_pixels(fx), _sizes(fx)), mo.align_patches(_manifest(fx), _readable(fx)), mo.canvas_extent(_manifest(fx)))
+    return mo.blend_mosaic(placed, ["k"])
+
+
+@query(f"""with {_MAN}, ext as (select slide, min(x0) as min_x, min(y0) as min_y, max(x0) - min(x0) + max(w) as width, max(y0) - min(y0) + max(h) as height from man where colored and position % 2 = 0 group by 1)
+  select slide, position from man join good using (slide, position) left join ext using (slide)
+  where not coalesce(x0 >= min_x and y0 >= min_y and x0 - min_x + w <= width and y0 - min_y + h <= height, false)""")
+def out_of_canvas(fx):
+    return mo.out_of_canvas(mo.align_patches(_manifest(fx), _readable(fx)), _sizes(fx), mo.canvas_extent(_manifest(fx).filter("position % 2 = 0")))
+
+
 @query(f"with {_PLACED}, {_blend('placed', 'k')} select slide, x, y, m as v from blended")
 def blend_patches_with_seams(fx):
     ext = mo.canvas_extent(_manifest(fx))

@@ -69,6 +69,11 @@ def group_boxes(vertices: DataFrame, groups: DataFrame) -> DataFrame:
     return bounding_boxes(vertices.join(groups, ["slide", "region"]), ["slide", "group_id"])
 
 
+def concat_vertices(vertices: DataFrame, groups: DataFrame) -> DataFrame:
+    """slide, group_id, seq, x, y: the vertices of a group's regions as one outline, region after region; polygon_fill fills it by the even-odd rule."""
+    return vertices.join(groups, ["slide", "region"]).select("slide", "group_id", F.struct("region", "seq").alias("seq"), "x", "y")
+
+
 def merge_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
     """Spans (keys, y, x0, x1; ends included) that overlap or touch become one."""
     row = W.partitionBy(*keys, "y").orderBy("x0", "x1")

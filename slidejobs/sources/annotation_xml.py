@@ -20,6 +20,12 @@ def read_files(spark, folder: str) -> DataFrame:
     return found.select("path", F.col("content").cast("string").alias("content"))
 
 
+def list_files(spark, folder: str, extensions: tuple[str, ...] = ("svs", "xml")) -> DataFrame:
+    """path of the files in a folder with these extensions; contents aren't read. slide_inventory matches slides and annotations among them."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(extensions) + "}").option("recursiveFileLookup", "true").load(folder)
+    return found.select("path")
+
+
 def _numbered(regions: DataFrame) -> DataFrame:
     """Regions of a file are numbered 0.. in document order."""
     return regions.withColumn("region", F.row_number().over(W.partitionBy("path").orderBy("i", "j")) - 1)
@@ -47,6 +53,28 @@ def read_asap(files: DataFrame, level: int = 0) -> DataFrame:
     return points.select("path", "region", "seq", number("_X").alias("x"), number("_Y").alias("y"))
 
 
+def by_flavour(files: DataFrame) -> DataFrame:
+    """path, content, flavour: 'asap' by the root tag ASAP_Annotations, 'imagescope' for any other root, null where the text isn't a whole XML document."""
+    root = F.regexp_extract("content", r"^(?s)\uFEFF?(?:\s|<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*>)*<([\w.:-]+)", 1)
+    bad = F.from_xml("content", "_bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})["_bad"].isNotNull()
+    flavour = F.when(root == "ASAP_Annotations", "asap").when(root != "", "imagescope")
+    return files.select("path", "content", F.when(~F.coalesce(bad, F.lit(False)), flavour).alias("flavour"))
+
+
+def read_annotations(files: DataFrame, level: int = 0) -> DataFrame:
+    """path, flavour, layer_id (null where the flavour has no layers), region, seq, x, y of files of both flavours; rejected_annotations names the rest."""
+    known = by_flavour(files)
+    layered = read_imagescope(known.filter("flavour = 'imagescope'"), level).withColumn("flavour", F.lit("imagescope"))
+    plain = read_asap(known.filter("flavour = 'asap'"), level).withColumns({"flavour": F.lit("asap"), "layer_id": F.lit(None).cast("int")})
+    return layered.unionByName(plain).select("path", "flavour", "layer_id", "region", "seq", "x", "y")
+
+
+def rejected_annotations(files: DataFrame) -> DataFrame:
+    """path, reason of files that hold no annotations: 'empty' or 'malformed'."""
+    reason = F.when(F.length(F.trim(F.coalesce("content", F.lit("")))) == 0, "empty").otherwise("malformed")
+    return by_flavour(files).filter("flavour is null").select("path", reason.alias("reason"))
+
+
 def annotation_layers(vertices: DataFrame, layers: DataFrame) -> DataFrame:
     """Vertices of the layers that have a class; layers (layer_id, class) with class 'skip' are left out."""
     return vertices.join(small(layers.filter("class <> 'skip'")), "layer_id")
