@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from slidejobs.fixtures import fixture, with_views
+from slidejobs.jobs import workflows as wf
 from slidejobs.operators import annotations as an
 from slidejobs.operators import distance as di
 from slidejobs.operators import grid as gr
@@ -591,8 +592,7 @@ def _sizes(fx):
 
 @query(f"with {_PADDED}, {_blend('padded', 'k')} select slide, x, y, m as v from blended")
 def blend_padded_patches(fx):
-    placed = mo.place_patches(mo.pad_patches(_patch_pixels(fx), _sizes(fx)), mo.align_patches(_manifest(fx), _readable(fx)), mo.canvas_extent(_manifest(fx)))
-    return mo.blend_mosaic(placed, ["k"])
+    return mo.stitch_patches(_patch_pixels(fx), _manifest(fx), _readable(fx), pad=True)
 
 
 @query(f"""with {_MAN}, ext as (select slide, min(x0) as min_x, min(y0) as min_y, max(x0) - min(x0) + max(w) as width, max(y0) - min(y0) + max(h) as height from man where colored and position % 2 = 0 group by 1)
@@ -604,10 +604,7 @@ def out_of_canvas(fx):
 
 @query(f"with {_PLACED}, {_blend('placed', 'k')} select slide, x, y, m as v from blended")
 def blend_patches_with_seams(fx):
-    ext = mo.canvas_extent(_manifest(fx))
-    al = mo.align_patches(_manifest(fx), _readable(fx)).join(_manifest(fx).select("slide", "position", "w", "h"), ["slide", "position"]).join(ext.select("slide", "min_x", "min_y"), "slide")
-    rect = al.select("slide", "k", (F.col("x0") - F.col("min_x")).alias("x0"), (F.col("y0") - F.col("min_y")).alias("y0"), (F.col("x0") - F.col("min_x") + F.col("w")).alias("x1"), (F.col("y0") - F.col("min_y") + F.col("h")).alias("y1"))
-    return mo.blend_mosaic(mo.seam_pixels(_placed(fx), rect), ["k"], seam="seam")
+    return mo.stitch_patches(_patch_pixels(fx), _manifest(fx), _readable(fx))
 
 
 # ---- components and scores ----
@@ -674,15 +671,32 @@ def component_centroids(fx):
     return m.select("slide", F.col("comp.y").alias("comp_y"), F.col("comp.x0").alias("comp_x"), "cx", "cy")
 
 
-@query(f"""{_COMP}, {_STROMA}, t as (select slide, count(*) as til_area from til group by 1), s as (select slide, count(*) as stroma_area from st group by 1),
+#: From til, st (pixels) and their components.
+_SCORE = """t as (select slide, count(*) as til_area from til group by 1), s as (select slide, count(*) as stroma_area from st group by 1),
   o as (select slide, count(*) as til_count, sum(a2) / 2.0 as til_area_contour, sum(n) as til_area_filled from ccell join csize using (slide, comp) group by 1),
   j as (select f.slide, coalesce(til_area, 0) as til_area, coalesce(stroma_area, 0) as stroma_area, coalesce(til_count, 0) as til_count, coalesce(til_area_contour, 0.0) as til_area_contour, coalesce(til_area_filled, 0) as til_area_filled
     from fx_slides f left join t using (slide) left join s using (slide) left join o using (slide))
-  select slide, round(til_area / nullif(stroma_area, 0), 6) as til_score, til_count, til_area, til_area_contour, til_area_filled, stroma_area, round((til_area_filled - til_area) / nullif(til_area, 0) * 100, 6) as area_diff_percent from j""")
+  select slide, round(til_area / nullif(stroma_area, 0), 6) as til_score, til_count, til_area, til_area_contour, til_area_filled, stroma_area, round((til_area_filled - til_area) / nullif(til_area, 0) * 100, 6) as area_diff_percent from j"""
+
+
+@query(f"{_COMP}, {_STROMA}, {_SCORE}")
 def global_score(fx):
     return sc.global_score(fx("fx_slides"), _til(fx), _tile_spans(fx, 2)).withColumns({c: F.round(c, 6) for c in ("til_score", "area_diff_percent")})
 
 
+def _named(name: str, source: str) -> str:
+    return _blend(source, "k").replace("lists", f"{name}_lists").replace("blended", name)
+
+
+@query(f"""with recursive {_PLACED}, sp as (select slide, x, y, k, case when v % 3 <> 0 then 255 else 0 end as v from placed), tp as (select slide, x, y, k, case when v % 11 = 0 then 255 else 0 end as v from placed),
+  {_named("sm", "sp")}, {_named("tm", "tp")}, st as (select slide, x, y from sm where m = 255), til as (select slide, x, y from tm where m > 0), {_components("til")}, {_SCORE}""")
+def stitched_global_score(fx):
+    px = _patch_pixels(fx)
+    mask = lambda rule: px.withColumn("v", F.when(F.expr(rule), 255).otherwise(0))
+    out = wf.stitched_global_scores(fx("fx_slides"), _manifest(fx), _readable(fx), mask("v % 3 <> 0"), mask("v % 11 = 0"))
+    return out.withColumns({c: F.round(c, 6) for c in ("til_score", "area_diff_percent")})
+
+
 _CLUSTER = f"""{_EPI}, {_components('epi', 'e')}, cl as (select p.slide, area, p.comp, p.x, p.y from epx p join ecell c using (slide, comp), (values (40), (100)) a(area) where a2 >= 2 * area)"""
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slidejobs.functions.storage import small
+from slidejobs.functions.storage import small, stored
 from slidejobs.operators import annotations as an
 from slidejobs.operators import grid as gr
 from slidejobs.operators import masks as ma
+from slidejobs.operators import mosaic as mo
 from slidejobs.operators import nuclei as nu
 from slidejobs.operators import scores as sc
 from slidejobs.operators import tiles as ti
@@ -39,6 +40,18 @@ def global_scores(slides: DataFrame, tiles: DataFrame, outlines: DataFrame, stro
     return sc.global_score(slides, til, stroma)
 
 
+def stitched_global_scores(slides: DataFrame, manifest: DataFrame, readable: DataFrame, stroma_px: DataFrame, til_px: DataFrame, pad: bool = False, done: DataFrame | None = None) -> DataFrame:
+    """Masks of patches (slide, position, px, py, v: 0 or 255) to the global score of each slide, over their mosaics.
+
+    Seams where patches disagree hold values between: they count as TIL (over 0), not as stroma (255 exactly).
+    """
+    if done is not None:
+        slides = an.pending_work(slides, done, ["slide"])
+        manifest = manifest.join(slides.select("slide"), "slide", "left_semi")
+    spans = lambda px, on: ma.to_spans(mo.stitch_patches(px, manifest, readable, pad).filter(on), ["slide"])
+    return sc.global_score(slides, stored(spans(til_px, "v > 0"), "til"), spans(stroma_px, "v = 255"))
+
+
 def spatial_sweep(slides: DataFrame, tiles: DataFrame, til: DataFrame, areas: DataFrame, dists: DataFrame, tile: int = ti.TILE) -> DataFrame:
     """Scores by cluster size and distance, of classified tiles and TIL spans."""
     spans = lambda cls: ma.tile_spans(ma.class_mask(tiles, cls), ["slide"], tile)

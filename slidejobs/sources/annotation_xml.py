@@ -21,7 +21,7 @@ def read_files(spark, folder: str) -> DataFrame:
 
 
 def list_files(spark, folder: str, extensions: tuple[str, ...] = ("svs", "xml")) -> DataFrame:
-    """path of the files in a folder with these extensions; contents aren't read. slide_inventory matches slides and annotations among them."""
+    """path of the files in a folder with these extensions; contents aren't read, empty files are passed over. slide_inventory matches slides and annotations among them."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(extensions) + "}").option("recursiveFileLookup", "true").load(folder)
     return found.select("path")
 

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from slidejobs.functions.components import connected_components
 from slidejobs.operators import annotations as an
@@ -13,7 +14,7 @@ from slidejobs.operators import regions as rg
 from slidejobs.operators import scores as sc
 from slidejobs.operators import tiles as ti
 from slidejobs.operators import training as tr
-from slidejobs.sources import rasters, sinks
+from slidejobs.sources import annotation_xml, rasters, sinks
 
 
 def boxes(spark, rows):
@@ -234,6 +235,38 @@ def test_sinks(spark, tmp_path):
     assert sorted((r.slide, r.position) for r in spark.read.parquet(f"{tmp_path}/m").collect()) == [(1, 0), (2, 5)]
 
 
+def test_folders_of_slides_and_kinds(spark, tmp_path):
+    for slide in ("S1", "S2"):
+        (tmp_path / slide / "binary_masks").mkdir(parents=True)
+        (tmp_path / slide / "binary_masks" / "position_4.tif").write_bytes(b"x")
+        (tmp_path / f"{slide}.svs").write_bytes(b"x")
+    (tmp_path / "S1" / "patches").mkdir()
+    (tmp_path / "S1" / "patches" / "position_5.tif").write_bytes(b"x")
+    (tmp_path / "S1.xml").write_text("<Annotations/>")
+    of = lambda kind: sorted((r.slide, r.position) for r in rasters.patch_files_of_kind(spark, str(tmp_path), kind).collect())
+    assert of("stroma_mask") == of("binary") == [("S1", 4), ("S2", 4)] and of("he") == [("S1", 5)]
+    with pytest.raises(ValueError):
+        rasters.patch_files_of_kind(spark, str(tmp_path), "other")
+    assert sorted(r.path.rsplit("/", 1)[1] for r in annotation_xml.list_files(spark, str(tmp_path)).collect()) == ["S1.svs", "S1.xml", "S2.svs"]
+
+
+def test_score_files(spark):
+    s = spark.createDataFrame([("b", 1, 0.5), ("a", 1, None), ("b", 2, 0.1)], "slide string, dist int, til_score double")
+    got = {(r["index"], r.Directory, r.dist) for r in sinks.keyed_scores(s, "Directory", ".tif", ["dist"]).collect()}
+    assert got == {(0, "a.tif", 1), (1, "b.tif", 1), (0, "b.tif", 2)}
+    assert [tuple(r) for r in sinks.keyed_scores(s.filter("dist = 2").drop("dist"), "WSI").collect()] == [(0, "b", 0.1)]
+
+
+def test_padding_darkens_and_places_off_the_canvas_are_named(spark):
+    man = spark.createDataFrame([(1, 1, 0, 0, 2, 1, True), (1, 2, 1, 0, 1, 1, True)], "slide long, position int, x0 int, y0 int, w int, h int, colored boolean")
+    px = spark.createDataFrame([(1, 1, 0, 0, 100), (1, 1, 1, 0, 100), (1, 2, 0, 0, 50)], "slide long, position int, px int, py int, v int")
+    cells = lambda pad: {(r.x, r.y): r.v for r in mo.stitch_patches(px, man, man, pad).collect()}
+    assert cells(False) == {(0, 0): 100, (1, 0): 75} and cells(True) == {(0, 0): 100, (1, 0): 75, (2, 0): 0}
+    extent = mo.canvas_extent(man).withColumn("width", F.lit(1))
+    assert [r.position for r in mo.out_of_canvas(man, man, extent).collect()] == [1, 2]
+    assert mo.out_of_canvas(man, man, mo.canvas_extent(man)).count() == 0
+
+
 def test_white_share_of_sparse_pixels(spark):
     """Missing pixels count as not white, wherever they are."""
     white = [(1, x, 0, 250, 250, 250) for x in (0, 1, 2)] + [(1, 5, 1, 250, 250, 250), (1, 6, 1, 0, 0, 0)]
