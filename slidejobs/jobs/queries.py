@@ -63,6 +63,10 @@ TYPES = {
     "spatial_score": "til_area bigint",
     "spatial_sweep": "til_area bigint",
     "class_index": "idx integer",
+    "read_annotations": "region integer",
+    "concat_fill": "place bigint",
+    "out_of_canvas": "position integer",
+    "stitched_global_score": "til_area_filled bigint",
 }
 #: Scaled to slides of 64 x 64 pixels.
 PATCH, OVERLAP, PADDING, TILE = (24, 16), 4, 2, 8
