@@ -79,7 +79,7 @@ BASE = (
 )
 ADDED = (
     Kind("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", is_iban, 50, "iban|bank|account|konto|compte|cuenta", apart=True),
-    Kind("tel", r"(?:\G|(?<![+0-9]))[+0-9]*[ .-]?\(?[0-9]{3}\)?[ .-]? ?[0-9]{3}[ .-][0-9]{4}[0-9]*", is_national, 20, "phone|tel|call|mobil|fax|ruf", apart=True),
+    Kind("tel", r"(?:\G|(?<![+0-9]))(?:[+0-9]+[ .-]?)?\(?[0-9]{3}\)?[ .-]? ?[0-9]{3}[ .-][0-9]{4}[0-9]*", is_national, 20, "phone|tel|call|mobil|fax|ruf", apart=True),
 )
 #: The plain patterns that the ones above are equal to.
 TERMS = {
@@ -88,7 +88,7 @@ TERMS = {
     "card": r"[0-9]([\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"[A-Z]{2}[0-9]{2}( ?[A-Z0-9]{4}){2,7}( ?[A-Z0-9]{1,3})?",
-    "tel": r"[+0-9]*[ .-]?\(?[0-9]{3}\)?[ .-]? ?[0-9]{3}[ .-][0-9]{4}[0-9]*",
+    "tel": r"([+0-9]+[ .-]?)?\(?[0-9]{3}\)?[ .-]? ?[0-9]{3}[ .-][0-9]{4}[0-9]*",
 }
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from slidejobs.llm import bpe, chat_tree, exact_dedup, filter_audit, lm_score, near_dedup, packing, pii, quality, token_counts, url_filter, winnowing
+from slidejobs.llm import bpe, chat_tree, collocations, exact_dedup, filter_audit, lm_score, near_dedup, packing, pii, quality, token_counts, url_filter, winnowing
 
 
 def queries() -> dict:
@@ -20,9 +20,10 @@ def queries() -> dict:
         "op9_url_filter": url_filter.op9_url_filter,
         "op10_near_dedup": near_dedup.op10_near_dedup,
         "op11_filter_audit": filter_audit.op11_filter_audit,
+        "op12_collocations": collocations.op12_collocations,
         "op13_pii": pii.op13_pii,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.SQL, "op9_url_filter": url_filter.SQL, "op11_filter_audit": filter_audit.SQL, "op13_pii": pii.SQL}
+    return {"op2_exact_dedup": exact_dedup.SQL, "op9_url_filter": url_filter.SQL, "op11_filter_audit": filter_audit.SQL, "op12_collocations": collocations.SQL, "op13_pii": pii.SQL}
