@@ -28,7 +28,8 @@ from slidejobs.llm.bpe import slices
 from slidejobs.llm.wordscan import SMALL, Blocks, byte_class, hashes, raw_bytes, words
 
 LEAST, MOST_WORDS, TOP, PERCENT = 10, 3, 2000, 50
-SHARD_BYTES = 8 << 20  # of text in a shard, about
+SHARD_BYTES = 4 << 20  # of text in a shard, about
+AT_ONCE = 1 << 16  # phrases in a batch
 FILTER_BITS = 27  # the filter has 2 to the power of this many bits
 PIECE_BITS = 1 << 15  # in one row of the filter
 GAP, END = 1, 2
@@ -56,12 +57,12 @@ class Shard:
             langs.append(of[n + text])
             n += len(texts)
         code = pa.concat_arrays(strings).dictionary_encode()
-        self.words, self.word = code.dictionary, code.indices.to_numpy().astype(np.int64)
-        self.lang = np.concatenate(langs).astype(np.int64)
+        self.words, self.word = code.dictionary, code.indices.to_numpy()
+        self.lang = np.concatenate(langs)
         last = np.flatnonzero(~np.concatenate(joined))
         here = np.arange(len(self.word))
         self.left = last[np.searchsorted(last, here)] - here + 1 if len(here) else here
-        self.ids = self.word * len(self.langs) + self.lang
+        self.ids = self.word.astype(np.int64) * len(self.langs) + self.lang
 
     def suffixes(self, depth: int, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places in the order of the first words of what follows in the piece, `depth` of them at least, and how many of those each shares with the place before."""
@@ -97,8 +98,10 @@ class Shard:
             first = order[begins]
             whole = self.left[first] >= n
             first, counts = first[whole], counts[whole]
-            phrase = pc.binary_join_element_wise(*[self.words.take(pa.array(self.word[first + d])) for d in range(n)], " ") if n > 1 else self.words.take(pa.array(self.word[first]))
-            yield self.keyed(phrase, self.lang[first], counts)
+            for i in range(0, len(first), AT_ONCE):
+                f = first[i : i + AT_ONCE]
+                phrase = [self.words.take(pa.array(self.word[f + d])) for d in range(n)]
+                yield self.keyed(pc.binary_join_element_wise(*phrase, " ") if n > 1 else phrase[0], self.lang[f], counts[i : i + AT_ONCE])
 
     def totals(self) -> pa.RecordBatch:
         """The words of each language, under an empty phrase."""
