@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from slidejobs.fixtures import fixture, with_views
 from slidejobs.jobs import workflows as wf
 from slidejobs.operators import annotations as an
+from slidejobs.operators import blocks as bl
 from slidejobs.operators import distance as di
 from slidejobs.operators import grid as gr
 from slidejobs.operators import masks as ma
@@ -37,6 +38,8 @@ TYPES = {
     "select_patches": "gy integer, y0 integer, y1 integer, position integer",
     "flag_patches": "gy integer, y0 integer",
     "training_patches": "y0 integer, y1 integer, number integer",
+    "classify_pixels": "cls integer",
+    "block_histograms": "v integer",
     "render_classes": "place bigint",
     "blank_white": "place bigint",
     "stroma_mask": "place bigint",
@@ -56,9 +59,9 @@ TYPES = {
     "component_filled_area": "comp_y bigint, comp_x bigint",
     "component_centroids": "comp_y bigint, comp_x bigint",
     "global_score": "til_area_filled bigint",
-    "distance_to_clusters": "place bigint",
-    "distance_mask": "place bigint",
-    "spatial_stroma": "place bigint",
+    "distance_to_clusters": "x integer, y integer, d2 bigint",
+    "distance_mask": "y integer, x0 integer, x1 integer",
+    "spatial_stroma": "y integer, x0 integer, x1 integer",
     "centroid_in_stroma": "comp_y bigint, comp_x bigint",
     "spatial_score": "til_area bigint",
     "spatial_sweep": "til_area bigint",
@@ -86,6 +89,11 @@ def query(sql: str | None = None):
     return add
 
 
+def _runs(source: str, keys: str) -> str:
+    """Pixels (keys, x, y) of a table as spans, in SQL."""
+    return f"(select {keys}, y, min(x) as x0, max(x) as x1 from (select {keys}, x, y, x - row_number() over (partition by {keys}, y order by x) as run from {source}) group by {keys}, y, run)"
+
+
 # ---- sources ----
 
 _PATHS = """select concat('/data/', slide % 7, '/S', slide, '.svs') as path from fx_slides
@@ -352,6 +360,41 @@ def tile_predict(fx):
     return ti.tile_predict(fx("fx_scores").withColumn("good", (F.col("tx") + F.col("ty")) % 5 != 0)).select("slide", "tx", "ty", "cls")
 
 
+#: Rasters whose sizes leave cut tiles, and blocks at their edges.
+_PART = "part as (select slide, cast(slide % 20 + 44 as int) as width, cast(slide % 7 + 58 as int) as height from fx_slides), pp as (select p.* from fx_pixels p join part using (slide) where x < width and y < height)"
+
+
+def _part(fx) -> tuple[DataFrame, DataFrame]:
+    """Blocks and sizes."""
+    part = fx("fx_slides").select("slide", (F.col("slide") % 20 + 44).cast("int").alias("width"), (F.col("slide") % 7 + 58).cast("int").alias("height"))
+    return bl.to_blocks(fx("fx_pixels"), part, ["slide"], 3 * TILE), part
+
+
+@query(f"with {_PART} select slide, x, y, cast(r as int) as r, cast(g as int) as g, cast(b as int) as b from pp")
+def block_pixels(fx):
+    return bl.block_pixels(_part(fx)[0], ["slide"])
+
+
+def _brightest():
+    """A scorer for three classes: the sum of each channel."""
+    import numpy as np
+
+    return lambda tiles: np.rint(tiles * 255).sum(axis=(1, 2))
+
+
+@query(f"""with {_PART}, s as (select slide, x // 8 as tx, y // 8 as ty, sum(r) as r, sum(g) as g, sum(b) as b, sum(case when least(r, g, b) > 230 then 1 else 0 end) * 100 <= count(*) * 90 as good from pp group by 1, 2, 3)
+  select part.slide, cast(tx.v as int) as tx, cast(ty.v as int) as ty, case when (tx.v + 1) * 8 > width or (ty.v + 1) * 8 > height then 0 when not good then -1 when r >= g and r >= b then 0 when g >= b then 1 else 2 end as cls
+  from part, unnest(range((width + 7) // 8)) tx(v), unnest(range((height + 7) // 8)) ty(v) left join s on s.slide = part.slide and s.tx = tx.v and s.ty = ty.v""")
+def classify_pixels(fx):
+    blocks, part = _part(fx)
+    return bl.classify_blocks(blocks, part, ["slide"], _brightest, TILE)
+
+
+@query(f"""with {_PART} select slide, 'r' as c, r as v, count(*) as n from pp group by all union all select slide, 'g', g, count(*) from pp group by all union all select slide, 'b', b, count(*) from pp group by all""")
+def block_histograms(fx):
+    return bl.block_histograms(_part(fx)[0], ["slide"])
+
+
 _VOTES = """v as (select t.slide, t.tx, t.ty, t.cls, n.cls as o from fx_tiles t join fx_tiles n on n.slide = t.slide and abs(n.tx - t.tx) <= 1 and abs(n.ty - t.ty) <= 1 and (n.tx, n.ty) <> (t.tx, t.ty)),
   c as (select slide, tx, ty, cls, o, count(*) as n, sum(count(*)) over (partition by slide, tx, ty) as of from v group by 1, 2, 3, 4, 5),
   j as (select slide, tx, ty, cls, max(of) as of, coalesce(max(n) filter (where o = cls), 0) as alike, arg_max(o, n * 10 + case o when 0 then 3 when 1 then 2 when 2 then 1 else 0 end) as win from c group by 1, 2, 3, 4)"""
@@ -724,19 +767,17 @@ _DIST = f"""with recursive {_CLUSTER}, off as (select a - 7 as dx, b - 7 as dy f
   dd as (select slide, area, cast(x + dx as int) as x, cast(y + dy as int) as y, min(dx * dx + dy * dy) as d2 from cl, off where x + dx between 0 and 63 and y + dy between 0 and 63 group by 1, 2, 3, 4)"""
 
 
-@query(f"{_DIST} select slide, area, d2, count(*) as n, sum(x * 64 + y) as place from dd group by 1, 2, 3")
+@query(f"{_DIST} select slide, area, x, y, d2 from dd")
 def distance_to_clusters(fx):
-    d = di.distance_to_clusters(_clusters(fx), fx("fx_slides"), 7, ["slide", "area"])
-    return d.groupBy("slide", "area", "d2").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x") * 64 + F.col("y")).alias("place"))
+    return di.distance_to_clusters(_clusters(fx), fx("fx_slides"), 7, ["slide", "area"], block=24)
 
 
 _MASK = f"{_DIST}, dm as (select slide, area, dist, x, y from dd, (values (3), (7)) t(dist) where d2 <= dist * dist)"
 
 
-@query(f"{_MASK} select slide, area, dist, count(*) as n, sum(x * 64 + y) as place from dm group by 1, 2, 3")
+@query(f"{_MASK} select * from {_runs('dm', 'slide, area, dist')}")
 def distance_mask(fx):
-    m = ma.to_pixels(di.distance_mask(_clusters(fx), fx("fx_slides"), _params(fx)[1], ["slide", "area"]))
-    return m.groupBy("slide", "area", "dist").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x") * 64 + F.col("y")).alias("place"))
+    return di.distance_mask(_clusters(fx), fx("fx_slides"), _params(fx)[1], ["slide", "area"])
 
 
 _ZONE = f"{_MASK}, {_STROMA}, zn as (select dm.* from dm join st using (slide, x, y))"
@@ -746,9 +787,9 @@ def _zone(fx):
     return ma.mask_and(di.distance_mask(_clusters(fx), fx("fx_slides"), _params(fx)[1], ["slide", "area"]), _tile_spans(fx, 2), ["slide"])
 
 
-@query(f"{_ZONE} select slide, area, dist, count(*) as n, sum(x * 64 + y) as place from zn group by 1, 2, 3")
+@query(f"{_ZONE} select * from {_runs('zn', 'slide, area, dist')}")
 def spatial_stroma(fx):
-    return ma.to_pixels(_zone(fx)).groupBy("slide", "area", "dist").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x") * 64 + F.col("y")).alias("place"))
+    return an.merge_spans(_zone(fx), ["slide", "area", "dist"])
 
 
 _KEPT = f"{_ZONE}, {_TIL}, {_components('til')}, {_CENTRE}, kept as (select c.slide, z.area, z.dist, c.comp, c.n from cen c join zn z on z.slide = c.slide and z.x = c.cx and z.y = c.cy)"
