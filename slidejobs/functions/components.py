@@ -15,7 +15,7 @@ from pyspark.sql.types import StructField, StructType
 from slidejobs.functions.storage import stored
 
 
-def _roots(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+def roots(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
     """The smallest node that each of 0..n-1 is joined with: roots of edges are hung below smaller ones, then all pointers are followed."""
     up = np.arange(n)
     while len(u):
@@ -42,7 +42,7 @@ def _stars(edges: DataFrame, near: list[Column], most: int = 200_000) -> DataFra
         code = wide.groupby(list(wide.columns), dropna=False).ngroup().to_numpy()  # in the order of the nodes
         half = len(code) // 2
         _, first = np.unique(code, return_index=True)
-        up = _roots(code[:half], code[half:], len(first))
+        up = roots(code[:half], code[half:], len(first))
         below = np.flatnonzero(up != np.arange(len(first)))
         return pa.RecordBatch.from_arrays([nodes.take(pa.array(first[up[below]])), nodes.take(pa.array(first[below]))], ["a", "b"])
 

@@ -32,7 +32,7 @@ TYPES = {
     "bounding_boxes": "x bigint, w bigint",
     "group_boxes": "x bigint, w bigint",
     "patch_grid": "gy integer, y0 integer, y1 integer",
-    "polygon_fill": "x0 bigint, x1 bigint",
+    "polygon_fill": "y integer, x0 integer, x1 integer",
     "annotation_overlap": "gy integer, y0 integer, y1 integer",
     "white_fraction": "px bigint, py bigint, n_white bigint",
     "select_patches": "gy integer, y0 integer, y1 integer, position integer",
@@ -158,22 +158,27 @@ def missing_annotation_layers(fx):
 
 
 def _mixed(fx) -> DataFrame:
-    """Slides divisible by 5 are of the second flavour; files of slides divisible by 7 are cut short, and empty ones come beside them."""
+    """Slides divisible by 5 are of the second flavour; files of slides divisible by 7 are cut short, and empty ones, web pages and documents with another root come beside them."""
     one, two = _xml(fx, True).filter("path % 5 <> 0"), _xml(fx, False, asap=True).filter("path % 5 = 0")
     both = one.unionByName(two)
     cut = F.when(F.expr("path % 7 = 0"), F.expr("substr(content, 1, length(content) - 20)")).otherwise(F.concat(F.lit('<?xml version="1.0"?><!-- <no root> -->'), "content"))
-    return both.withColumn("content", cut).unionByName(both.filter("path % 7 = 1").select(F.concat(F.lit("empty-"), "path").alias("path"), F.lit(" ").alias("content")))
+    return both.withColumn("content", cut).unionByName(both.filter("path % 7 = 1").select(F.concat(F.lit("empty-"), "path").alias("path"), F.lit(" ").alias("content"))).unionByName(
+        both.filter("path % 7 = 2").select(F.concat(F.lit("page-"), "path").alias("path"), F.lit("<html><body>Region</body></html>").alias("content"))
+    ).unionByName(two.filter("path % 7 = 3").select(F.concat(F.lit("other-"), "path").alias("path"), F.regexp_replace(F.regexp_replace("content", "ASAP_Annotations", "Other"), "Annotations?>", "Deep>").alias("content")))
 
 
 @query(f"""with {_NUMBERED} select cast(slide as varchar) as path, 'imagescope' as flavour, layer as layer_id, num as region, seq, x, y from n join fx_vertices v using (slide, region) where slide % 5 <> 0 and slide % 7 <> 0
   union all select cast(v.slide as varchar), 'asap', null, num, seq, x, y from fx_vertices v
-  join (select slide, region, row_number() over (partition by slide order by region) - 1 as num from fx_regions) m using (slide, region) where v.slide % 5 = 0 and v.slide % 7 <> 0""")
+  join (select slide, region, row_number() over (partition by slide order by region) - 1 as num from fx_regions) m using (slide, region) where v.slide % 5 = 0 and v.slide % 7 <> 0
+  union all select concat('other-', v.slide), 'asap', null, num, seq, x, y from fx_vertices v
+  join (select slide, region, row_number() over (partition by slide order by region) - 1 as num from fx_regions) m using (slide, region) where v.slide % 5 = 0 and v.slide % 7 = 3""")
 def read_annotations(fx):
     return xm.read_annotations(_mixed(fx))
 
 
 @query("""with f as (select distinct slide from fx_regions) select cast(slide as varchar) as path, 'malformed' as reason from f where slide % 7 = 0
-  union all select concat('empty-', slide), 'empty' from f where slide % 7 = 1""")
+  union all select concat('empty-', slide), 'empty' from f where slide % 7 = 1
+  union all select concat('page-', slide), 'no annotations' from f where slide % 7 = 2""")
 def rejected_annotations(fx):
     return xm.rejected_annotations(_mixed(fx))
 

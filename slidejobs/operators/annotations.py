@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from slidejobs.functions.components import connected_components
+from slidejobs.functions.components import connected_components, roots
 
 
 def slide_inventory(paths: DataFrame) -> DataFrame:
@@ -56,10 +59,49 @@ def overlap_pairs(boxes: DataFrame, cell: int = 4096) -> DataFrame:
     return pairs.select(F.col("p.slide").alias("slide"), F.col("p.region").alias("a"), F.col("q.region").alias("b"))
 
 
+def sweep(left: np.ndarray, top: np.ndarray, right: np.ndarray, bottom: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """Of each closed rectangle the first one that it is joined with, through any others. Rectangles are met in the order of their left sides, `most` pairs at a time."""
+    order = np.argsort(left, kind="stable")
+    x, end, t, b = left[order], right[order], top[order], bottom[order]
+    after = np.searchsorted(x, end, side="right") - np.arange(len(x)) - 1  # those that begin before it ends
+    total = np.cumsum(after)
+    root, done = np.arange(len(x)), 0
+    while done < len(x):
+        stop = max(int(np.searchsorted(total, (total[done - 1] if done else 0) + most, side="right")), done + 1)
+        for lo in range(0, int(after[done:stop].max(initial=0)) if stop == done + 1 else 1, most):  # one that meets more than `most` is taken in parts
+            n = np.clip(after[done:stop] - lo, 0, most if stop == done + 1 else None)
+            p = np.repeat(np.arange(done, stop), n)
+            q = p + 1 + lo + np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n)
+            met = (t[p] <= b[q]) & (t[q] <= b[p])
+            root = roots(root[p[met]], root[q[met]], len(x))[root]
+        done = stop
+    first = np.full(len(x), len(x))
+    np.minimum.at(first, root, order)
+    out = np.empty(len(x), np.int64)
+    out[order] = first[root]
+    return out
+
+
 def overlap_groups(boxes: DataFrame, cell: int = 4096) -> DataFrame:
-    """slide, region, group_id: connected components of overlap_pairs, named by their smallest region."""
+    """slide, region, group_id: connected components of overlap_pairs, named by their smallest region.
+
+    Boxes are dealt to the grid cells that they reach. A cell sweeps its own, which gives each group there as a star about one region, however many pairs overlap;
+    stars of different cells that share a region are joined by contraction. So a slide with very many regions is the work of many tasks.
+    """
+    r = boxes.select("slide", "region", F.col("x").alias("l"), F.col("y").alias("t"), (F.col("x") + F.col("w")).alias("r"), (F.col("y") + F.col("h")).alias("b"))
+    dealt = r.withColumn("cx", _cells(F.col("l"), F.col("r"), cell)).withColumn("cy", _cells(F.col("t"), F.col("b"), cell))
+    types = {f.name: f.dataType for f in r.schema}
+
+    def stars(t: pa.Table) -> pa.Table:
+        first = sweep(*(t.column(c).to_numpy() for c in "ltrb"))
+        joined = np.flatnonzero(first != np.arange(len(first)))
+        slide, region = t.column("slide"), t.column("region")
+        return pa.table([slide.take(pa.array(joined)), region.take(pa.array(first[joined])), region.take(pa.array(joined))], ["slide", "a", "b"])
+
+    schema = StructType([StructField("slide", types["slide"]), StructField("a", types["region"]), StructField("b", types["region"])])
+    edges = dealt.groupBy("slide", "cx", "cy").applyInArrow(stars, schema)
     node = lambda c: F.struct("slide", F.col(c).alias("region"))
-    comp = connected_components(overlap_pairs(boxes, cell).select(node("a").alias("a"), node("b").alias("b")), near=[F.col("a.slide")])
+    comp = connected_components(edges.select(node("a").alias("a"), node("b").alias("b")))
     comp = comp.select("node.slide", "node.region", F.col("comp.region").alias("group_id"))
     return boxes.select("slide", "region").join(comp, ["slide", "region"], "left").withColumn("group_id", F.coalesce("group_id", "region"))
 
@@ -86,20 +128,29 @@ def merge_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
 def polygon_fill(vertices: DataFrame, keys: list[str]) -> DataFrame:
     """Spans (keys, y, x0, x1) of the pixels whose centre is inside a polygon by the even-odd rule, or on an edge.
 
-    vertices: keys, seq, x, y (ints), one closed outline per key.
+    vertices: keys, seq, x, y (ints), one closed outline per key. An outline is gathered once, as an array of edges; edges are cut by the rows that they
+    reach, and the cuts of a row are paired and joined to spans as arrays, where the outline already is.
     """
-    ring = W.partitionBy(*keys).orderBy("seq")
-    all_ = ring.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    edge = vertices.select(*keys, F.col("x").alias("ax"), F.col("y").alias("ay"), F.coalesce(F.lead("x").over(ring), F.first("x").over(all_)).alias("bx"), F.coalesce(F.lead("y").over(ring), F.first("y").over(all_)).alias("by"))
-    flat = edge.filter("ay = by").select(*keys, F.col("ay").alias("y"), F.least("ax", "bx").alias("x0"), F.greatest("ax", "bx").alias("x1"))
-    up = edge.filter("ay <> by").select(
-        *keys, F.least("ay", "by").alias("lo"), F.greatest("ay", "by").alias("hi"),
-        F.when(F.col("ay") < F.col("by"), F.col("ax")).otherwise(F.col("bx")).alias("x_lo"), F.when(F.col("ay") < F.col("by"), F.col("bx")).otherwise(F.col("ax")).alias("x_hi"),
+    rings = vertices.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y")))).alias("ring"))
+    turned = F.concat(F.slice("ring", F.lit(2), F.size("ring")), F.slice("ring", 1, 1))
+    # from the upper end to the lower one
+    edge = lambda p, q: F.struct(p.x.alias("ax"), p.y.alias("ay"), q.x.alias("bx"), q.y.alias("by"))
+    edges = F.zip_with("ring", turned, lambda p, q: F.when(p.y <= q.y, edge(p, q)).otherwise(edge(q, p)))
+    cut = rings.select(*keys, F.explode(edges).alias("e")).select(*keys, "e.*", F.explode(F.sequence("e.ay", "e.by")).alias("y"))
+    flat, high = F.col("ay") == F.col("by"), (F.col("by") - F.col("ay")).cast("long")
+    num = F.col("ax").cast("long") * high + (F.col("y") - F.col("ay")) * (F.col("bx") - F.col("ax"))
+    on = F.when(~flat & (F.try_mod(num, high) == 0), F.try_divide(num, high).cast("int"))
+    piece = F.struct(
+        F.when(~flat & (F.col("y") < F.col("by")), F.try_divide(num, high)).alias("at"),
+        F.when(flat, F.least("ax", "bx")).otherwise(on).alias("x0"), F.when(flat, F.greatest("ax", "bx")).otherwise(on).alias("x1"),
     )
-    cut = up.select("*", F.explode(F.sequence("lo", "hi")).alias("y")).withColumn("num", (F.col("x_lo").cast("long") * (F.col("hi") - F.col("lo")) + (F.col("y") - F.col("lo")) * (F.col("x_hi") - F.col("x_lo"))))
-    cut = cut.withColumn("den", (F.col("hi") - F.col("lo")).cast("long")).withColumn("at", F.col("num") / F.col("den"))
-    on = cut.filter("num % den = 0").select(*keys, "y", F.col("at").cast("int").alias("x0"), F.col("at").cast("int").alias("x1"))
-    line = W.partitionBy(*keys, "y").orderBy("at")
-    cross = cut.filter("y < hi").withColumn("i", F.row_number().over(line)).withColumn("to", F.lead("at").over(line)).filter("i % 2 = 1")
-    inside = cross.select(*keys, "y", F.ceil("at").cast("int").alias("x0"), F.floor("to").cast("int").alias("x1")).filter("x0 <= x1")
-    return merge_spans(flat.unionByName(on).unionByName(inside), keys)
+    rows = cut.groupBy(*keys, "y").agg(F.collect_list(piece).alias("pieces"))
+    rows = rows.select(*keys, "y", "pieces", F.array_sort(F.transform(F.filter("pieces", lambda p: p.at.isNotNull()), lambda p: p.at)).alias("cuts"))
+    span = lambda x0, x1: F.struct(x0.cast("int").alias("x0"), x1.cast("int").alias("x1"))
+    inside = F.filter(F.transform("cuts", lambda v, i: F.when(i % 2 == 0, span(F.ceil(v), F.floor(F.get("cuts", i + 1))))), lambda s: s.x0 <= s.x1)
+    edge_px = F.transform(F.filter("pieces", lambda p: p.x0.isNotNull()), lambda p: span(p.x0, p.x1))
+    rows = rows.select(*keys, "y", F.array_sort(F.concat(inside, edge_px)).alias("spans"))
+    last = lambda done: F.get(done, F.size(done) - 1)
+    grown = lambda done, s: F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(span(last(done).x0, F.greatest(last(done).x1, s.x1))))
+    merged = F.aggregate("spans", F.slice("spans", 1, 1), lambda done, s: F.when(s.x0 <= last(done).x1 + 1, grown(done, s)).otherwise(F.concat(done, F.array(s))))
+    return rows.select(*keys, "y", F.explode(merged).alias("s")).select(*keys, "y", "s.x0", "s.x1")

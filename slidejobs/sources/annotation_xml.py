@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from slidejobs.functions.storage import small
 
-_POINTS = "array<struct<_X: string, _Y: string>>"
-_REGIONS = f"struct<Region: array<struct<Vertices: struct<Vertex: {_POINTS}>>>>"
-IMAGESCOPE = f"Annotation array<struct<_Id: int, Regions: {_REGIONS}>>"
-ASAP = f"Annotations struct<Annotation: array<struct<Coordinates: struct<Coordinate: {_POINTS}>>>>"
-
-
 def read_files(spark, folder: str) -> DataFrame:
     """path, content (text) of the .xml files in a folder."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").option("recursiveFileLookup", "true").load(folder)
@@ -26,53 +23,80 @@ def list_files(spark, folder: str, extensions: tuple[str, ...] = ("svs", "xml"))
     return found.select("path")
 
 
-def _numbered(regions: DataFrame) -> DataFrame:
-    """Regions of a file are numbered 0.. in document order."""
-    return regions.withColumn("region", F.row_number().over(W.partitionBy("path").orderBy("i", "j")) - 1)
+def _elements(content: str) -> tuple[str, list[tuple]]:
+    """Flavour and vertices (layer, region, seq, x, y; as written) of a document, or why it has none.
+
+    A child Annotation of the root makes it 'imagescope': each Region within is a region, each Vertex within that a vertex. Else Coordinates anywhere
+    make it 'asap': each is a region, its children are vertices. The root's own name plays no part. Regions are numbered 0.. in document order.
+    """
+    try:
+        root = ElementTree.fromstring(content)
+    except ElementTree.ParseError:
+        return ("malformed" if content.strip() else "empty"), []
+    notes = root.findall("Annotation")
+    if notes:
+        regions = [(note.get("Id"), list(r.iter("Vertex"))) for note in notes for r in note.iter("Region")]
+        return "imagescope", [(layer, i, j, v.get("X"), v.get("Y")) for i, (layer, points) in enumerate(regions) for j, v in enumerate(points)]
+    regions = list(root.iter("Coordinates"))
+    if not regions:
+        return "no annotations", []
+    return "asap", [(None, i, j, v.get("X"), v.get("Y")) for i, r in enumerate(regions) for j, v in enumerate(r)]
+
+
+def elements(files: DataFrame) -> DataFrame:
+    """path, kind (a flavour, or why a file has no annotations), layer, region, seq, x, y as they are written; a file without vertices has one row of nulls."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                kind, found = _elements(content)
+                rows = [(path, kind, *f) for f in found or [(None,) * 5]]
+                for i in range(0, len(rows), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 100_000], strict=True), types, strict=True)], names)
+
+    names = ["path", "kind", "layer", "region", "seq", "x", "y"]
+    types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+    text = files.select(F.col("path").cast("string").alias("path"), F.coalesce("content", F.lit("")).alias("content"))
+    return text.mapInArrow(run, "path string, kind string, layer string, region int, seq int, x string, y string")
+
+
+def _imagescope(rows: DataFrame, level: int) -> DataFrame:
+    number = lambda c: F.expr(f"try_cast({c} as double)")
+    read = rows.filter("kind = 'imagescope' and region is not null").withColumns({"x": number("x"), "y": number("y")})
+    whole = read.filter(f"abs(x) < {2.0**31} and abs(y) < {2.0**31}")  # neither is null, infinite or no number
+    return whole.select("path", F.expr("try_cast(layer as int)").alias("layer_id"), "region", "seq", *[(F.col(c) / (1 << level)).cast("int").alias(c) for c in "xy"])
+
+
+def _asap(rows: DataFrame, level: int) -> DataFrame:
+    read = rows.filter("kind = 'asap' and region is not null")
+    bad = lambda c: F.raise_error(F.concat(F.lit(f"a vertex without {c} in "), "path")).cast("int")
+    return read.select("path", "region", "seq", *[F.coalesce((F.col(c).cast("double") / (1 << level)).cast("int"), bad(c)).alias(c) for c in "xy"])
 
 
 def read_imagescope(files: DataFrame, level: int = 0) -> DataFrame:
-    """path, layer_id, region, seq, x, y. A vertex that can't be read is left out, its region stays.
+    """path, layer_id, region, seq, x, y. A vertex that can't be read is left out, its region keeps its number.
 
     Files whose root has an Annotation child; numbers are divided by 2 ** level and cut towards zero.
     """
-    doc = files.select("path", F.from_xml("content", IMAGESCOPE).alias("d"))
-    notes = doc.select("path", F.posexplode("d.Annotation").alias("i", "a"))
-    regions = _numbered(notes.select("path", "i", F.col("a._Id").alias("layer_id"), F.posexplode("a.Regions.Region").alias("j", "r")))
-    points = regions.select("path", "layer_id", "region", F.posexplode("r.Vertices.Vertex").alias("seq", "v"))
-    number = lambda c: (F.expr(f"try_cast(v.{c} as double)") / (1 << level)).cast("int")
-    return points.select("path", "layer_id", "region", "seq", number("_X").alias("x"), number("_Y").alias("y")).filter("x is not null and y is not null")
+    return _imagescope(elements(files), level)
 
 
 def read_asap(files: DataFrame, level: int = 0) -> DataFrame:
     """path, region, seq, x, y of files whose regions are Coordinates elements. A value that can't be read is an error."""
-    doc = files.select("path", F.from_xml("content", ASAP).alias("d"))
-    regions = _numbered(doc.select("path", F.lit(0).alias("i"), F.posexplode("d.Annotations.Annotation").alias("j", "r")))
-    points = regions.select("path", "region", F.posexplode("r.Coordinates.Coordinate").alias("seq", "v"))
-    number = lambda c: (F.expr(f"cast(v.{c} as double)") / (1 << level)).cast("int")
-    return points.select("path", "region", "seq", number("_X").alias("x"), number("_Y").alias("y"))
-
-
-def by_flavour(files: DataFrame) -> DataFrame:
-    """path, content, flavour: 'asap' by the root tag ASAP_Annotations, 'imagescope' for any other root, null where the text isn't a whole XML document."""
-    root = F.regexp_extract("content", r"^(?s)\uFEFF?(?:\s|<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*>)*<([\w.:-]+)", 1)
-    bad = F.from_xml("content", "_bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})["_bad"].isNotNull()
-    flavour = F.when(root == "ASAP_Annotations", "asap").when(root != "", "imagescope")
-    return files.select("path", "content", F.when(~F.coalesce(bad, F.lit(False)), flavour).alias("flavour"))
+    return _asap(elements(files), level)
 
 
 def read_annotations(files: DataFrame, level: int = 0) -> DataFrame:
     """path, flavour, layer_id (null where the flavour has no layers), region, seq, x, y of files of both flavours; rejected_annotations names the rest."""
-    known = by_flavour(files)
-    layered = read_imagescope(known.filter("flavour = 'imagescope'"), level).withColumn("flavour", F.lit("imagescope"))
-    plain = read_asap(known.filter("flavour = 'asap'"), level).withColumns({"flavour": F.lit("asap"), "layer_id": F.lit(None).cast("int")})
+    rows = elements(files)
+    layered = _imagescope(rows, level).withColumn("flavour", F.lit("imagescope"))
+    plain = _asap(rows, level).withColumns({"flavour": F.lit("asap"), "layer_id": F.lit(None).cast("int")})
     return layered.unionByName(plain).select("path", "flavour", "layer_id", "region", "seq", "x", "y")
 
 
 def rejected_annotations(files: DataFrame) -> DataFrame:
-    """path, reason of files that hold no annotations: 'empty' or 'malformed'."""
-    reason = F.when(F.length(F.trim(F.coalesce("content", F.lit("")))) == 0, "empty").otherwise("malformed")
-    return by_flavour(files).filter("flavour is null").select("path", reason.alias("reason"))
+    """path, reason of files that hold no annotations: 'empty', 'malformed', or 'no annotations' for a document of another kind."""
+    return elements(files).filter("kind not in ('imagescope', 'asap')").select("path", F.col("kind").alias("reason"))
 
 
 def annotation_layers(vertices: DataFrame, layers: DataFrame) -> DataFrame:
