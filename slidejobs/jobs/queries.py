@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from slidejobs.fixtures import fixture, with_views
+from slidejobs.functions.storage import new_path
 from slidejobs.jobs import workflows as wf
 from slidejobs.operators import annotations as an
 from slidejobs.operators import blocks as bl
@@ -22,6 +23,8 @@ from slidejobs.operators import scores as sc
 from slidejobs.operators import tiles as ti
 from slidejobs.operators import training as tr
 from slidejobs.sources import annotation_xml as xm
+from slidejobs.sources import rasters as ra
+from slidejobs.sources import sinks as sk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -48,8 +51,11 @@ TYPES = {
     "mask_or": "place bigint",
     "size_limits": "max_roundness double",
     "til_mask": "y bigint, place bigint",
-    "label_pixels": "x bigint, y bigint, label integer",
-    "erode_overlaps": "x bigint, y bigint, label integer",
+    "label_pixels": "x integer, y integer, label integer",
+    "erode_overlaps": "x integer, y integer, label integer",
+    "read_patch_rasters": "position integer, r integer, g integer, b integer",
+    "read_patch_blocks": "position integer, r integer, g integer, b integer",
+    "write_scores": "index integer",
     "order_patches": "position integer, k integer",
     "align_patches": "position integer, k integer",
     "align_patches_by_rank": "position integer, k integer",
@@ -183,6 +189,53 @@ def rejected_annotations(fx):
     return xm.rejected_annotations(_mixed(fx))
 
 
+def _raw_files(fx) -> DataFrame:
+    """name, content: a raw raster of each slide below its folder; those divisible by 5 are empty, and those divisible by 7 come a second time with no position in their name."""
+    sizes = fx("fx_slides").select("slide", "width", "height")
+    image = bl.to_blocks(fx("fx_pixels"), sizes, ["slide"], 64).withColumn("content", F.concat(F.unhex(F.lit("2a" * ra.HEADER)), "rgb"))
+    folder = F.concat(F.lit("S"), "slide", F.lit(f"/{ra.KINDS['he']}/"))
+    named = image.select(F.concat(folder, F.lit("patch_position_"), "slide", F.lit(".tif")).alias("name"), F.when(F.col("slide") % 5 == 0, F.unhex(F.lit(""))).otherwise(F.col("content")).alias("content"))
+    return named.unionByName(image.filter("slide % 7 = 0").select(F.concat(folder, F.lit("cover.tif")).alias("name"), "content"))
+
+
+@query("select slide as position, x, y, r, g, b, concat('S', slide) as slide_folder from fx_pixels where slide % 5 <> 0")
+def read_patch_rasters(fx):
+    spark = fx("fx_slides").sparkSession
+    sk.write_files(_raw_files(fx), root := new_path(spark, "rasters"))
+    files = ra.patch_files_of_kind(spark, root, "he")
+    return ra.read_patch_rasters(files, (64, 64, 3)).join(files.select("position", F.col("slide").alias("slide_folder")), "position")
+
+
+@query("select concat('S', slide) as slide, slide as position, x, y, r, g, b from fx_pixels where slide % 5 <> 0")
+def read_patch_blocks(fx):
+    spark = fx("fx_slides").sparkSession
+    sk.write_files(_raw_files(fx), root := new_path(spark, "rasters"))
+    return bl.block_pixels(ra.read_patch_blocks(ra.patch_files_of_kind(spark, root, "he"), ["slide", "position"], (64, 64, 3), size=24), ["slide", "position"])
+
+
+_SUMS = "select slide, cls + 2 as area, ty % 2 as dist, count(*) as n, avg(tx) as mean_tx from fx_tiles group by 1, 2, 3"
+
+
+@query(f"with s as ({_SUMS}) select area, dist, row_number() over (partition by area, dist order by slide) - 1 as index, concat(slide, '.tif') as Directory, n, round(mean_tx, 6) as mean_tx from s")
+def write_scores(fx):
+    sums = fx("fx_tiles").groupBy("slide", (F.col("cls") + 2).alias("area"), (F.col("ty") % 2).alias("dist")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("tx"), 6).alias("mean_tx"))
+    spark = sums.sparkSession
+    keyed = sk.keyed_scores(sums, "Directory", ".tif", ["area", "dist"])
+    sk.write_scores(keyed, path := new_path(spark, "scores"), ["area", "dist"])
+    schema = ", ".join(f"`{c}` {dict(keyed.dtypes)[c]}" for c in ("index", "Directory", "n", "mean_tx", "area", "dist"))
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
+@query("select slide, region, case when slide % 3 = 0 then x0 + 1000 else x0 end as x0, y0, w, h from fx_regions where slide % 3 <> 0 or region % 2 = 0")
+def write_table(fx):
+    """Written for all slides; a rerun of every third replaces those and no others."""
+    rows = fx("fx_regions")
+    path = new_path(rows.sparkSession, "manifest")
+    sk.write_table(rows, path)
+    sk.write_table(rows.filter("slide % 3 = 0 and region % 2 = 0").withColumn("x0", (F.col("x0") + 1000).cast("int")), path, replace=True)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 @query("select slide, tx, ty from fx_tiles where not (tx % 3 = 0 and ty % 2 = 0)")
 def pending_work(fx):
     t = fx("fx_tiles").select("slide", "tx", "ty")
@@ -488,9 +541,9 @@ def mask_or(fx):
 
 
 @query("""with q as (select slide, quantile_cont(r, [0.01, 0.998]) as qr, quantile_cont(g, [0.01, 0.998]) as qg, quantile_cont(b, [0.01, 0.998]) as qb from fx_pixels group by 1)
-  select p.slide, round(sum((r - qr[1]) / (qr[2] - qr[1])), 4) as r, round(sum((g - qg[1]) / (qg[2] - qg[1])), 4) as g, round(sum((b - qb[1]) / (qb[2] - qb[1])), 4) as b from fx_pixels p join q using (slide) group by 1""")
+  select p.slide, p.x, p.y, round((r - qr[1]) / (qr[2] - qr[1]), 6) as r, round((g - qg[1]) / (qg[2] - qg[1]), 6) as g, round((b - qb[1]) / (qb[2] - qb[1]), 6) as b from fx_pixels p join q using (slide)""")
 def percentile_normalize(fx):
-    return nu.percentile_normalize(fx("fx_pixels"), ["slide"]).groupBy("slide").agg(*[F.round(F.sum(c), 4).alias(c) for c in "rgb"])
+    return nu.percentile_normalize(fx("fx_pixels"), ["slide"]).withColumns({c: F.round(c, 6) for c in "rgb"})
 
 
 def _contours(fx):

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from slidejobs.functions.storage import small, stored
 from slidejobs.operators.annotations import merge_spans
@@ -12,13 +16,30 @@ from slidejobs.operators.grid import gray
 from slidejobs.operators.masks import to_pixels
 
 
+def channel_counts(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, c, v, n: how many pixels have value v (0 to 255) in channel c. A task sends 256 counts per key and channel at most for a batch of pixels."""
+    rows = pixels.select(*keys, *[F.col(c).cast("int").alias(c) for c in "rgb"])
+    names = [*keys, "c", "v", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            for c in "rgb":
+                n = t.group_by([*keys, c], use_threads=False).aggregate([([], "count_all")]).combine_chunks()
+                cols = [n.column(k) for k in keys] + [pa.array([c] * len(n)), n.column(c), n.column("count_all").cast(pa.int64())]
+                yield from pa.table(cols, names).to_batches()
+
+    types = {f.name: f.dataType for f in rows.schema}
+    counts = rows.mapInArrow(run, StructType([*[StructField(k, types[k]) for k in keys], StructField("c", StringType()), StructField("v", IntegerType()), StructField("n", LongType())]))
+    return counts.groupBy(*keys, "c", "v").agg(F.sum("n").alias("n"))
+
+
 def percentile_normalize(pixels: DataFrame, keys: list[str], low: float = 0.01, high: float = 0.998) -> DataFrame:
     """keys, x, y, r, g, b as (v - p_low) / (p_high - p_low), per channel; null where both percentiles are equal.
 
-    Percentiles are exact: values are counted first (256 at most per key and channel), and the counts weigh in.
+    Percentiles are exact: values are counted first (256 at most per key and channel), and the counts weigh in. blocks.normalize_blocks does the same for rasters in blocks.
     """
-    long = pixels.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("int").alias("v")) for c in "rgb"])).alias("p"))
-    counts = long.groupBy(*keys, F.col("p.c").alias("c"), F.col("p.v").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    counts = channel_counts(pixels, keys)
     q = counts.groupBy(*keys).agg(*[F.expr(f"percentile(v, array({low}, {high}), n) filter (where c = '{c}')").alias(f"q{c}") for c in "rgb"])
     scaled = [F.try_divide(F.col(c) - F.col(f"q{c}")[0], F.col(f"q{c}")[1] - F.col(f"q{c}")[0]).alias(c) for c in "rgb"]
     q = small(stored(q, "percentiles"))  # one row for each key
