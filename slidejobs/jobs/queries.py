@@ -47,10 +47,10 @@ TYPES = {
     "blank_white": "place bigint",
     "stroma_mask": "place bigint",
     "stroma_pixels": "r bigint, g bigint, b bigint",
-    "mask_and": "y bigint, place bigint",
-    "mask_or": "place bigint",
+    "mask_and": "y integer, place bigint",
+    "mask_or": "y integer, place bigint",
     "size_limits": "max_roundness double",
-    "til_mask": "y bigint, place bigint",
+    "til_mask": "y integer, place bigint",
     "label_pixels": "x integer, y integer, label integer",
     "erode_overlaps": "x integer, y integer, label integer",
     "read_patch_rasters": "position integer, r integer, g integer, b integer",
@@ -60,15 +60,15 @@ TYPES = {
     "align_patches": "position integer, k integer",
     "align_patches_by_rank": "position integer, k integer",
     "place_patches": "k integer, place bigint, v bigint",
-    "external_components": "comp_y bigint, comp_x bigint",
-    "component_area": "comp_y bigint, comp_x bigint",
-    "component_filled_area": "comp_y bigint, comp_x bigint",
-    "component_centroids": "comp_y bigint, comp_x bigint",
+    "external_components": "comp_y integer, comp_x integer",
+    "component_area": "comp_y integer, comp_x integer",
+    "component_filled_area": "comp_y integer, comp_x integer",
+    "component_centroids": "comp_y integer, comp_x integer",
     "global_score": "til_area_filled bigint",
     "distance_to_clusters": "x integer, y integer, d2 bigint",
     "distance_mask": "y integer, x0 integer, x1 integer",
     "spatial_stroma": "y integer, x0 integer, x1 integer",
-    "centroid_in_stroma": "comp_y bigint, comp_x bigint",
+    "centroid_in_stroma": "comp_y integer, comp_x integer",
     "spatial_score": "til_area bigint",
     "spatial_sweep": "til_area bigint",
     "class_index": "idx integer",
