@@ -28,8 +28,8 @@ from slidejobs.llm.bpe import slices
 from slidejobs.llm.wordscan import SMALL, Blocks, byte_class, hashes, raw_bytes, words
 
 LEAST, MOST_WORDS, TOP, PERCENT = 10, 3, 2000, 50
-SHARD_BYTES = 4 << 20  # of text in a shard, about
-AT_ONCE = 1 << 16  # phrases in a batch
+SHARD_BYTES = 2 << 20  # of text in a shard, about
+AT_ONCE = 1 << 15  # phrases in a batch
 FILTER_BITS = 27  # the filter has 2 to the power of this many bits
 PIECE_BITS = 1 << 15  # in one row of the filter
 GAP, END = 1, 2
@@ -142,7 +142,7 @@ def slots(h: np.ndarray, size: int) -> np.ndarray:
 
 def over_shards(rows: DataFrame, count, shard_bytes: int) -> DataFrame:
     """key, n of count(shard) for shards of about that size of rows (text, lang)."""
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
