@@ -30,6 +30,7 @@ from slidejobs.llm.wordscan import SMALL, Blocks, byte_class, hashes, raw_bytes,
 LEAST, MOST_WORDS, TOP, PERCENT = 10, 3, 2000, 50
 SHARD_BYTES = 2 << 20  # of text in a shard, about
 AT_ONCE = 1 << 15  # phrases in a batch
+PARTS = 64  # of a language when its best are looked for
 FILTER_BITS = 27  # the filter has 2 to the power of this many bits
 PIECE_BITS = 1 << 15  # in one row of the filter
 GAP, END = 1, 2
@@ -222,8 +223,9 @@ def collocations(counts: DataFrame, top: int = TOP, percent: int = PERCENT) -> D
     parts = F.expr("flatten(transform(sequence(2, words - 1), m -> transform(sequence(1, words - m + 1), i -> array_join(slice(split(phrase, ' '), i, m), ' '))))")
     longer = candidates.filter("words > 2").select("lang", F.explode(parts).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
     kept = scored.join(longer, ["lang", "phrase"], "left").filter(f"100 * coalesce(longer, 0) < {percent} * a")
-    order = W.partitionBy("lang").orderBy(F.col("c.score").desc(), F.col("a").desc(), "phrase")
-    best = kept.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
+    ranked = lambda rows, *keys: rows.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.col("c.score").desc(), F.col("a").desc(), "phrase")).cast("long")).filter(F.col("rank") <= top)
+    # the best of a language are among the best of its parts, so that what meets in the end is bounded
+    best = ranked(ranked(kept.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))), "lang", "part"), "lang").drop("part")
     n = counts.filter("words = 0").select("lang", F.col("f").alias("n"))
     return best.join(n, "lang").select("lang", "rank", "phrase", "a", F.col("c.l").alias("l"), F.col("c.r").alias("r"), "n", F.col("c.score").alias("score"))
 
