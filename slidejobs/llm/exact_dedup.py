@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slidejobs.functions.storage import small, stored, table
+from slidejobs.llm.names import unused
 
 WHITESPACE = " \t\n\x0b\f\r"
 PREFIX_CHARS = 64
@@ -93,17 +94,20 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by a shuffle beyond.
     """
     groups, last = duplicate_groups(docs, id_col, text_col)
+    gid = unused(docs.columns, "_group_id")
+    sha = unused([*docs.columns, gid], "_group_sha")
     members = last.join(groups, "text_sha256").groupBy("doc_id", "keep_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"))
-    members = stored(members.select(F.col("doc_id").alias("_group_id"), "keep_id", F.col("text_sha256").alias("_group_sha"), "n"), "members")
-    stays = F.col("_group_id").eqNullSafe(F.col("keep_id"))
-    gone, again = members.filter(~stays).select("_group_id", "_group_sha"), members.filter(stays & (F.col("n") > 1)).select("_group_id", "_group_sha")
+    members = stored(members, "members")
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    keys = lambda which: members.filter(which).select(F.col("doc_id").alias(gid), F.col("text_sha256").alias(sha))
+    gone, again = keys(~stays), keys(stays & (F.col("n") > 1))
     # not an equality to Spark, so that the digest is taken of rows with a listed id only
-    same = F.col(id_col).eqNullSafe(F.col("_group_id")) & (F.position(F.col("_group_sha"), digest(F.col(text_col))) == 1)
+    same = F.col(id_col).eqNullSafe(F.col(gid)) & (F.position(F.col(sha), digest(F.col(text_col))) == 1)
     left = docs.join(small(gone), same, "left_anti")
     if (n := again.count()) == 0:
         return left
     again = small(again, count=n)
-    repeated = left.join(again, same, "left_semi").withColumn("_group_sha", digest(F.col(text_col))).dropDuplicates([id_col, "_group_sha"]).drop("_group_sha")
+    repeated = left.join(again, same, "left_semi").withColumn(sha, digest(F.col(text_col))).dropDuplicates([id_col, sha]).drop(sha)
     return left.join(again, same, "left_anti").unionByName(repeated)
 
 

@@ -22,7 +22,8 @@ Edge cases: a null or empty text, or one of white space, has an empty set and is
 words than a shingle is one shingle of all its words. Rows that repeat a doc_id with its text get one row each, with the same
 component; a doc_id that several texts share has a component for each text. A null doc_id is linked like any other, but never
 names a component unless no other id is in it: then component_id is null and the row is kept. An empty table gives no rows.
-Extra columns are ignored.
+Extra columns are ignored, whatever their names; where rows are
+returned they keep them.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ from pyspark.sql import functions as F
 from slidejobs.functions.components import connected_components
 from slidejobs.functions.storage import small, stored, table
 from slidejobs.llm.bpe import over_texts, slices
+from slidejobs.llm.names import unused
 
 COORDS, BITS = 64, 1024
 PAIRS = 16  # members of an open list up to which different components meet directly
@@ -111,20 +113,23 @@ def parity(s: np.ndarray) -> bytes:
     return np.packbits((np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
 
 
-def with_nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs and the column _node: the id, or for rows with a null or repeated id a number from id and text."""
+def with_nodes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """docs with one more column, and its name: the id, or for rows with a null or repeated id a number from id and text."""
     own, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
-    again = stored(docs.select(own.alias("_again")).filter("_again is not null").groupBy("_again").count().filter("count > 1").select("_again"), "repeated-ids")
+    node = unused(docs.columns, "_node")
+    again = unused([*docs.columns, node], "_again")
+    twice = stored(docs.select(own.alias(again)).filter(F.col(again).isNotNull()).groupBy(again).count().filter("count > 1").select(again), "repeated-ids")
     named = F.lit(NO_ID) + F.xxhash64(own, text).bitwiseAND(NO_ID // 2 - 1)
-    if (n := again.count()) == 0:
-        return docs.withColumn("_node", F.coalesce(own, named))
-    return docs.join(small(again, count=n), own == F.col("_again"), "left").withColumn("_node", F.when(own.isNull() | F.col("_again").isNotNull(), named).otherwise(own)).drop("_again")
+    if (n := twice.count()) == 0:
+        return docs.withColumn(node, F.coalesce(own, named)), node
+    both = docs.join(small(twice, count=n), own == F.col(again), "left")
+    return both.withColumn(node, F.when(own.isNull() | F.col(again).isNotNull(), named).otherwise(own)).drop(again), node
 
 
-def sketches(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, node, n, set_key, sig (COORDS ints), low (their last bytes), parity of rows with _node."""
+def sketches(docs: DataFrame, k: int, id_col: str, text_col: str, node_col: str) -> DataFrame:
+    """doc_id, node, n, set_key, sig (COORDS ints), low (their last bytes), parity of each row."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("_node").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(node_col).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     names = ["doc_id", "node", "n", "set_key", "sig", "low", "parity"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,9 +167,9 @@ class NearDuplicates:
 
     def __init__(self, docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"):
         self.k, self.percent, self.text_col = k, percent, text_col
-        self.docs = with_nodes(docs, id_col, text_col)
+        self.docs, self.node = with_nodes(docs, id_col, text_col)
         self.matches = match_threshold(COORDS, percent)
-        self.rows = stored(sketches(self.docs, k, id_col, text_col), "sketches")
+        self.rows = stored(sketches(self.docs, k, id_col, text_col, self.node), "sketches")
         self.reps = stored(self.rows.filter("n > 0").groupBy("set_key").agg(F.min("node").alias("rep"), F.min("doc_id").alias("first")), "classes")
         own = self.reps.select("set_key", F.col("rep").alias("node"))
         self.sketch = stored(self.rows.drop("doc_id").join(own, ["set_key", "node"], "left_semi").drop("set_key").dropDuplicates(["node"]), "representatives")
@@ -205,9 +210,9 @@ class NearDuplicates:
 
     def sets(self, nodes: DataFrame, name: str) -> DataFrame:
         """node, s: the shingle hashes, as bytes, of the documents of nodes (_id)."""
-        texts = self.docs.join(small(nodes), F.col("_node") == F.col("_id"), "left_semi")
+        texts = self.docs.select(F.col(self.node).alias("node"), F.col(self.text_col).alias("text")).join(small(nodes), F.col("node") == F.col("_id"), "left_semi")
         k = self.k
-        return stored(over_texts(texts, "node long, s binary", lambda i, t: [i, pa.array([s.tobytes() for s in shingle_sets(t, k)], pa.binary())], "_node", self.text_col).dropDuplicates(["node"]), name)
+        return stored(over_texts(texts, "node long, s binary", lambda i, t: [i, pa.array([s.tobytes() for s in shingle_sets(t, k)], pa.binary())], "node", "text").dropDuplicates(["node"]), name)
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Of pairs a, b those whose full sets are similar enough."""
@@ -307,8 +312,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, of which one document of each component stays: the one with the smallest id, null last."""
     search = NearDuplicates(docs, k, percent, id_col, text_col)
-    gone = stored(search.result().filter("not kept").select(F.col("node").alias("_node")).distinct(), "near-copies")
-    return search.docs.join(small(gone), "_node", "left_anti").drop("_node")
+    gone = stored(search.result().filter("not kept").select(F.col("node").alias(search.node)).distinct(), "near-copies")
+    return search.docs.join(small(gone), search.node, "left_anti").drop(search.node)
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

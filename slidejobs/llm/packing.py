@@ -9,8 +9,8 @@ next one is made. Pieces then find their place by their rank among the pieces of
 from counts by (length, hash bucket) and a window within a bucket, so a length that a third of all pieces
 share is spread over many tasks. Texts and ids are never shuffled.
 
-Edge cases: a null or empty text is a document of its end token alone. Repeated rows are packed each. An
-empty table gives no rows. Extra columns are ignored.
+Edge cases: a null or empty text is a document of its end token alone. Repeated rows and rows with a null doc_id are packed
+each. An empty table gives no rows. Extra columns are ignored by pack_documents; pack keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from slidejobs.functions.storage import stored, table
 from slidejobs.llm.bpe import Encoder, over_texts, word_bpe
+from slidejobs.llm.names import unused
 
 CAPACITY = 2048
 
@@ -134,16 +135,17 @@ def pack(rows: DataFrame, order: list[str], capacity: int = CAPACITY, length_col
     spark = rows.sparkSession
     n = rows.count()
     buckets = int(max(64, min(4096, n // 20_000)))
-    bucketed = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
-    sizes = bucketed.groupBy(F.col(length_col).alias("_length"), "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    bucket, within, rank, before = (unused(rows.columns, c) for c in ("_bucket", "_within", "_rank", "_before"))
+    bucketed = rows.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    sizes = bucketed.groupBy(F.col(length_col).alias("length"), F.col(bucket).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     sizes = stored(sizes, "lengths")
-    totals = {r[0]: r[1] for r in sizes.groupBy("_length").agg(F.sum("_n")).collect()}  # at most `capacity` rows
+    totals = {r[0]: r[1] for r in sizes.groupBy("length").agg(F.sum("n")).collect()}  # at most `capacity` rows
     places = spark.sparkContext.broadcast(Places(plan(totals, capacity)))
-    before = F.sum("_n").over(W.partitionBy("_length").orderBy("_bucket")) - F.col("_n")
-    sizes = sizes.select(F.col("_length").alias(length_col), "_bucket", before.alias("_before"))
-    within = F.row_number().over(W.partitionBy(length_col, "_bucket").orderBy(*order)) - 1
-    ranked = bucketed.withColumn("_within", within).join(sizes, [length_col, "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_within"))
-    ranked = ranked.select(*rows.columns, "_rank")
+    ahead = F.sum("n").over(W.partitionBy("length").orderBy("bucket")) - F.col("n")
+    sizes = sizes.select(F.col("length").alias(length_col), F.col("bucket").alias(bucket), ahead.alias(before))
+    own = F.row_number().over(W.partitionBy(length_col, bucket).orderBy(*order)) - 1
+    ranked = bucketed.withColumn(within, own).join(sizes, [length_col, bucket]).withColumn(rank, F.col(before) + F.col(within))
+    ranked = ranked.select(*rows.columns, rank)
     names = [*rows.columns, "sequence_id", "offset"]
     at = rows.columns.index(length_col)
 
