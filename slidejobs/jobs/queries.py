@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from slidejobs.fixtures import fixture, with_views
-from slidejobs.functions.storage import new_path
+from slidejobs.functions.storage import new_path, stored
 from slidejobs.jobs import workflows as wf
 from slidejobs.operators import annotations as an
 from slidejobs.operators import blocks as bl
@@ -76,6 +76,8 @@ TYPES = {
     "concat_fill": "place bigint",
     "out_of_canvas": "position integer",
     "stitched_global_score": "til_area_filled bigint",
+    "global_score_from_pixels": "til_area_filled bigint",
+    "spatial_sweep_from_pixels": "til_area bigint",
 }
 #: Scaled to slides of 64 x 64 pixels.
 PATCH, OVERLAP, PADDING, TILE = (24, 16), 4, 2, 8
@@ -879,6 +881,68 @@ def spatial_sweep(fx):
     return _sweep(fx, *_params(fx))
 
 
+# ---- from the pixels of patches to scores ----
+
+#: Four patches of 36 x 36 pixels on each slide, 8 pixels of each in a seam; some aren't coloured, some can't be read.
+_PATCHES = """pm as (select slide, cast(position as int) as position, cast(position % 2 * 28 as int) as x0, cast(position // 2 * 28 as int) as y0, 36 as w, 36 as h, (slide + position) % 5 <> 0 as colored
+    from fx_slides, (select range as position from range(4)) p),
+  pt as (select *, row_number() over (partition by slide order by position) as k from pm where colored and (slide + position * 3) % 7 <> 0),
+  pq as (select slide, position, k, p.x - x0 as x, p.y - y0 as y, r, g, b, least(r, g, b) > 230 as white, (299 * r + 587 * g + 114 * b + 500) // 1000 > 0 as lit from fx_pixels p join pt using (slide) where p.x between x0 and x0 + 35 and p.y between y0 and y0 + 35),
+  ts as (select slide, position, x // 8 as tx, y // 8 as ty, sum(r) as r, sum(g) as g, sum(b) as b, sum(case when white then 1 else 0 end) * 100 <= count(*) * 90 as good from pq where x < 32 and y < 32 group by 1, 2, 3, 4),
+  tc as (select slide, position, tx, ty, case when not good then -1 when r >= g and r >= b then 0 when g >= b then 1 else 2 end as cls from ts),
+  tv as (select t.slide, t.position, t.tx, t.ty, t.cls, n.cls as o from tc t join tc n on n.slide = t.slide and n.position = t.position and abs(n.tx - t.tx) <= 1 and abs(n.ty - t.ty) <= 1 and (n.tx, n.ty) <> (t.tx, t.ty)),
+  tn as (select slide, position, tx, ty, cls, o, count(*) as n, sum(count(*)) over (partition by slide, position, tx, ty) as of from tv group by 1, 2, 3, 4, 5, 6),
+  tj as (select slide, position, tx, ty, cls, max(of) as of, coalesce(max(n) filter (where o = cls), 0) as alike, arg_max(o, n * 10 + case o when 0 then 3 when 1 then 2 when 2 then 1 else 0 end) as win from tn group by 1, 2, 3, 4, 5),
+  tm as (select slide, position, tx, ty, case when (of = 3 and alike = 0) or (of <> 3 and alike < 3) then win else cls end as cls from tj),
+  cq as (select pq.*, cls from pq left join tm on tm.slide = pq.slide and tm.position = pq.position and tm.tx = least(x // 8, 3) and tm.ty = least(y // 8, 3) and x <= 32 and y <= 32),
+  po as (select o.slide, cast(contour % 4 as int) as position, contour, seq, cast(greatest(0, least(35, x - contour % 2 * 28)) as int) as x, cast(greatest(0, least(35, y - contour % 4 // 2 * 28)) as int) as y from fx_outlines o)"""
+
+
+def _po(text: str) -> str:
+    """SQL over all outlines, over those of patches."""
+    return text.replace("fx_outlines", "po").replace("slide, contour", "slide, position, contour").replace("group by 1, 2)", "group by 1, 2, 3)").replace(" s as (", " sums as (").replace("from s)", "from sums)")
+
+
+_PATCH_TIL = f"""{_po(_SHAPE)}, {_LIMITS}, shaped as (select slide, position, contour from sh join lim using (slide) where area > min_area and area < max_area and roundness < max_roundness and area <> 0 and perimeter <> 0),
+  {_fill("po", "slide, position, contour")}, nf as (select f.slide, f.position, f.contour from fill f join shaped using (slide, position, contour) join cq on cq.slide = f.slide and cq.position = f.position and cq.x = f.x and cq.y = f.y group by 1, 2, 3
+    having 2 * count(*) filter (where cls = 2 and not white and lit) >= count(*)),
+  lb as (select f.slide, f.position, f.x, f.y, max(label) as label from fill f join (select *, row_number() over (partition by slide, position order by contour) as label from nf) using (slide, position, contour) group by all),
+  er as (select * from lb l where not exists (select 1 from lb n where n.slide = l.slide and n.position = l.position and abs(n.x - l.x) <= 1 and abs(n.y - l.y) <= 1 and n.label <> l.label))"""
+_ON_CANVAS = f"""px_ext as (select slide, min(x0) as min_x, min(y0) as min_y from pm where colored group by 1),
+  onc as (select cq.slide, pt.x0 - min_x + cq.x as x, pt.y0 - min_y + cq.y as y, cq.k, case when cls = 2 and not white then 255 else 0 end as s, case when cls = 0 and not white then 255 else 0 end as e, case when er.slide is null then 0 else 255 end as t
+    from cq join pt on pt.slide = cq.slide and pt.position = cq.position join px_ext on px_ext.slide = cq.slide left join er on er.slide = cq.slide and er.position = cq.position and er.x = cq.x and er.y = cq.y),
+  src_s as (select slide, x, y, k, s as v from onc), src_t as (select slide, x, y, k, t as v from onc), src_e as (select slide, x, y, k, e as v from onc), {_named("bs", "src_s")}, {_named("bt", "src_t")}, {_named("be", "src_e")},
+  st as (select slide, x, y from bs where m = 255), til as (select slide, x, y from bt where m > 0), epi as (select slide, x, y from be where m = 255)"""
+
+
+def _from_pixels(fx, *params) -> DataFrame:
+    at = F.explode(F.sequence(F.lit(0), F.lit(3)))
+    manifest = fx("fx_slides").select("slide", at.alias("position")).select(
+        "slide", "position", (F.col("position") % 2 * 28).alias("x0"), (F.floor(F.col("position") / 2) * 28).cast("int").alias("y0"), F.lit(36).alias("w"), F.lit(36).alias("h"), ((F.col("slide") + F.col("position")) % 5 != 0).alias("colored"),
+    )
+    readable = manifest.filter("(slide + position * 3) % 7 <> 0").select("slide", "position")
+    px = fx("fx_pixels").join(manifest.join(readable, ["slide", "position"]), "slide").withColumns({"x": F.col("x") - F.col("x0"), "y": F.col("y") - F.col("y0")}).filter("x between 0 and 35 and y between 0 and 35")
+    blocks = bl.to_blocks(px.select("slide", "position", *"xyrgb"), manifest.select("slide", "position", F.col("w").alias("width"), F.col("h").alias("height")), wf.PATCH_KEYS, 2 * TILE)
+    o = fx("fx_outlines").withColumn("position", (F.col("contour") % 4).cast("int"))
+    local = lambda c, start: F.greatest(F.lit(0), F.least(F.lit(35), F.col(c) - start * 28)).cast("int").alias(c)
+    outlines = o.select("slide", "position", "contour", "seq", local("x", F.col("contour") % 2), local("y", F.floor(F.col("contour") % 4 / 2)))
+    outlines = outlines.join(manifest.filter("colored").join(readable, ["slide", "position"]).select("slide", "position"), ["slide", "position"], "left_semi")
+    return wf.pixels_to_scores(fx("fx_slides"), manifest, readable, stored(blocks, "blocks"), outlines, _brightest, TILE, *params)
+
+
+@query(f"with recursive {_PATCHES}, {_PATCH_TIL}, {_ON_CANVAS}, {_components('til')}, {_SCORE}")
+def global_score_from_pixels(fx):
+    return _from_pixels(fx).withColumns({c: F.round(c, 6) for c in ("til_score", "area_diff_percent")})
+
+
+_PIXEL_SWEEP = _SWEEP.replace(f"with recursive {_EPI}", f"with recursive {_PATCHES}, {_PATCH_TIL}, {_ON_CANVAS}").replace(f", {_STROMA}", "").replace(f"{_TIL}, ", "")
+
+
+@query(_PIXEL_SWEEP)
+def spatial_sweep_from_pixels(fx):
+    return _from_pixels(fx, *_params(fx)).withColumn("til_score", F.round("til_score", 6))
+
+
 # ---- training sets ----
 
 _SPLIT = """o as (select cls as class, item, row_number() over (partition by cls order by (item * 7919 + 5) % 10007, item) as rk, count(*) over (partition by cls) as n from fx_split),

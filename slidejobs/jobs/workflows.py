@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slidejobs.functions.stages import Stages
 from slidejobs.functions.storage import small, stored
 from slidejobs.operators import annotations as an
+from slidejobs.operators import blocks as bl
 from slidejobs.operators import grid as gr
 from slidejobs.operators import masks as ma
 from slidejobs.operators import mosaic as mo
@@ -66,3 +70,59 @@ def training_set(vertices: DataFrame, layers: DataFrame, slides: DataFrame, pixe
     kept = gr.number_training_patches(gr.patch_white(cut.filter("overlap >= 0.7"), pixels, 220).join(classes, ["slide", "region"]))
     keyed = kept.withColumn("item", F.xxhash64("slide", "class", "size", "number").bitwiseAND(F.lit(2**40 - 1)))
     return tr.split_dataset(keyed, seed).join(F.broadcast(tr.class_index(kept)), "class").drop("item")
+
+
+PATCH_KEYS = ["slide", "position"]
+
+
+def patch_masks(slides: DataFrame, patches: DataFrame, blocks: DataFrame, outlines: DataFrame, make_scorer: Callable, tile: int = ti.TILE) -> dict[str, DataFrame]:
+    """Pixels and nucleus outlines of patches to their masks, as spans (slide, position, y, x0, x1): epithelium, stroma and til.
+
+    patches: slide, position, width, height; blocks: rasters of the patches in blocks; outlines: slide, position, contour, seq, x, y within a patch.
+    Tiles are scored by the caller's model and smoothed within their patch; white pixels belong to no class. Outlines are kept by shape (the slide's limits)
+    and if half of their pixels at least are stroma that isn't black; touching nuclei are parted. Pixels leave their block only as runs.
+    """
+    tiles = stored(ti.tile_smooth(bl.classify_blocks(blocks, patches, PATCH_KEYS, make_scorer, tile, cut=None), PATCH_KEYS), "tiles")
+    white = stored(bl.block_runs(blocks, PATCH_KEYS, bl.is_white), "white")
+    of = lambda cls: ma.mask_minus(ti.class_spans(tiles, patches, PATCH_KEYS, cls, tile), white, PATCH_KEYS)
+    stroma = stored(of(2), "stroma")
+    key = [*PATCH_KEYS, "contour"]
+    pts = outlines.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))), lambda v: F.struct(v.x.alias("x"), v.y.alias("y"))).alias("pts"))
+    shaped = nu.shape_filter(nu.contour_features(pts), nu.size_limits(slides)).select(*key)
+    spans = stored(an.polygon_fill(outlines.join(shaped, key, "left_semi"), key), "outlines")
+    lit = ma.mask_minus(stroma, bl.block_runs(blocks, PATCH_KEYS, bl.is_black), PATCH_KEYS)
+    kept = spans.join(nu.stroma_filter_spans(spans, lit, key, PATCH_KEYS).select(*key), key, "left_semi")
+    til = ma.to_spans(nu.erode_overlaps(nu.label_pixels(kept, PATCH_KEYS), PATCH_KEYS), PATCH_KEYS)
+    return {"epithelium": of(0), "stroma": stroma, "til": til}
+
+
+def pixels_to_scores(
+    slides: DataFrame, manifest: DataFrame, readable: DataFrame, blocks: DataFrame, outlines: DataFrame, make_scorer: Callable, tile: int = ti.TILE,
+    areas: DataFrame | None = None, dists: DataFrame | None = None, stages: Stages | None = None,
+) -> DataFrame:
+    """Pixels of patches to the global score of each slide; with areas and dists to the scores of the sweep. Seams are those of the stitched masks:
+    where patches disagree a pixel is no stroma and no epithelium, but TIL.
+
+    manifest: slide, position, x0, y0, w, h, colored. stages: where finished slides of each step are kept, so a run that was stopped goes on from there.
+    """
+    patches = manifest.filter("colored").join(readable.select(*PATCH_KEYS), PATCH_KEYS).select(*PATCH_KEYS, F.col("w").alias("width"), F.col("h").alias("height"))
+    run = (lambda name, wanted, make: make(wanted)) if stages is None else stages.run
+
+    def masks(left: DataFrame) -> DataFrame:
+        of = lambda df: df.join(left.select("slide"), "slide", "left_semi")
+        found = patch_masks(left, of(patches), of(blocks), of(outlines), make_scorer, tile)
+        both = [df.select(*PATCH_KEYS, *[F.col(c).cast("int").alias(c) for c in ("y", "x0", "x1")], F.lit(kind).alias("kind")) for kind, df in found.items()]
+        return both[0].unionByName(both[1]).unionByName(both[2])
+
+    def mosaics(left: DataFrame) -> DataFrame:
+        of = lambda df: df.join(left.select("slide"), "slide", "left_semi")
+        spans = stored(of(run("masks", slides, masks)), "masks")
+        out = [mo.stitch_masks(spans.filter(F.col("kind") == kind).drop("kind"), of(manifest), of(readable)).withColumn("kind", F.lit(kind)) for kind in ("epithelium", "stroma", "til")]
+        return out[0].unionByName(out[1]).unionByName(out[2])
+
+    all_ = stored(run("mosaics", slides, mosaics), "mosaics")
+    pick = lambda kind, on: ma.union_spans(all_.filter(F.col("kind") == kind).filter(on), ["slide"])
+    til, stroma = stored(pick("til", "v > 0"), "til"), stored(pick("stroma", "v = 255"), "stroma")
+    if areas is None or dists is None:
+        return sc.global_score(slides, til, stroma)
+    return sc.spatial_scores(slides, pick("epithelium", "v = 255"), stroma, til, areas, dists)

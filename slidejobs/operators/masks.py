@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -56,5 +56,31 @@ def mask_or(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return merge_spans(a.select(*cols).unionByName(b.select(*cols)), keys)
 
 
+def spans_where(events: DataFrame, keys: list[str], sums: list[str], holds: str) -> DataFrame:
+    """Spans (keys, y, x0, x1) where `holds` is true of the running sums of events (keys, y, x and the columns of `sums`); it is false of zeros."""
+    line = W.partitionBy(*keys, "y").orderBy("x")
+    at = events.groupBy(*keys, "y", "x").agg(*[F.sum(c).alias(c) for c in sums])
+    run = at.select(*keys, "y", "x", *[F.sum(c).over(line.rowsBetween(W.unboundedPreceding, 0)).alias(c) for c in sums]).withColumn("on", F.expr(holds))
+    turns = run.withColumn("was", F.coalesce(F.lag("on").over(line), F.lit(False))).filter("on <> was")
+    return turns.select(*keys, "y", "on", F.col("x").alias("x0"), (F.lead("x").over(line) - 1).alias("x1")).filter("on").drop("on")
+
+
+def span_events(spans: DataFrame, keys: list[str], row: Column, marks: dict[str, int]) -> DataFrame:
+    """Each span as two events of its row: the marks where it begins, and less the marks after its end."""
+    ends = F.array(*[F.struct(x.cast("int").alias("x"), *[F.lit(sign * v).alias(c) for c, v in marks.items()]) for x, sign in ((F.col("x0"), 1), (F.col("x1") + 1, -1))])
+    return spans.select(*keys, row.cast("int").alias("y"), F.explode(ends).alias("e")).select(*keys, "y", "e.*")
+
+
+def union_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Spans (keys, y, x0, x1) that overlap or touch become one, by events that are summed before they are moved."""
+    return spans_where(span_events(spans, keys, F.col("y"), {"n": 1}), keys, ["n"], "n > 0")
+
+
+def mask_minus(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Spans (keys, y, x0, x1) of what the first has and the second hasn't. Both may overlap themselves."""
+    both = span_events(a, keys, F.col("y"), {"own": 1, "other": 0}).unionByName(span_events(b, keys, F.col("y"), {"own": 0, "other": 1}))
+    return spans_where(both, keys, ["own", "other"], "own > 0 and other = 0")
+
+
 def area(spans: DataFrame, keys: list[str], name: str = "area") -> DataFrame:
     return spans.groupBy(*keys).agg(F.sum(F.col("x1") - F.col("x0") + 1).cast("long").alias(name))

@@ -13,7 +13,7 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 from slidejobs.functions.storage import small, stored
 from slidejobs.operators.annotations import merge_spans
 from slidejobs.operators.grid import gray
-from slidejobs.operators.masks import to_pixels
+from slidejobs.operators.masks import area, mask_and, to_pixels
 
 
 def channel_counts(pixels: DataFrame, keys: list[str]) -> DataFrame:
@@ -96,6 +96,13 @@ def stroma_filter(spans: DataFrame, stroma: DataFrame, keys: list[str], least: f
     return sums.filter(F.col("inside") >= F.col("filled") * least)
 
 
+def stroma_filter_spans(spans: DataFrame, lit: DataFrame, keys: list[str], place: list[str], least: float = 0.5) -> DataFrame:
+    """The same of spans alone: lit has the disjoint spans (place, y, x0, x1) of stroma that isn't black; keys begin with place."""
+    filled = area(spans, keys, "filled")
+    inside = area(mask_and(spans, lit, place), keys, "inside")
+    return filled.join(inside, keys, "left").fillna(0, ["inside"]).filter(F.col("inside") >= F.col("filled") * least).select(*keys, "inside", "filled")
+
+
 def til_mask(spans: DataFrame, keys: list[str]) -> DataFrame:
     """The union of contours, as spans by `keys`."""
     return merge_spans(spans.select(*keys, "y", "x0", "x1"), keys)
