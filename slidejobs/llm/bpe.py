@@ -327,7 +327,7 @@ def slices(texts: pa.Array, most: int = 1 << 23) -> Iterator[slice]:
 
 def over_texts(docs: DataFrame, schema: str, make: Callable[[pa.Array, pa.Array], list[pa.Array]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """make(ids, texts) gives the columns of `schema` for a run of rows; the runs are bounded by bytes."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     names = StructType.fromDDL(schema).names
 

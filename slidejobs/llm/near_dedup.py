@@ -128,7 +128,7 @@ def with_nodes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
 
 def sketches(docs: DataFrame, k: int, id_col: str, text_col: str, node_col: str) -> DataFrame:
     """doc_id, node, n, set_key, sig (COORDS ints), low (their last bytes), parity of each row."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(node_col).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     names = ["doc_id", "node", "n", "set_key", "sig", "low", "parity"]
 
