@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (tests, one machine) a new temporary folder, which is then set."""
+    """spark.checkpoint.dir; where it is unset on one machine (tests) a new temporary folder, which is then set. On a cluster it must be set."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master := spark.sparkContext.master):
+            raise ValueError(f"spark.checkpoint.dir is unset, and executors of {master} share no temporary folder")
         at = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(at)
         at = spark.sparkContext.getCheckpointDir()
@@ -45,14 +48,6 @@ def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Delete what stored() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, count: int | None = None) -> DataFrame:
     """df with a broadcast hint if it has at most `rows` rows (counted, on a stored table); else as it is."""
     n = df.count() if count is None else count

@@ -43,14 +43,10 @@ TYPES = {
     "training_patches": "y0 integer, y1 integer, number integer",
     "classify_pixels": "cls integer",
     "block_histograms": "v integer",
-    "render_classes": "place bigint",
-    "blank_white": "place bigint",
-    "stroma_mask": "place bigint",
-    "stroma_pixels": "r bigint, g bigint, b bigint",
-    "mask_and": "y integer, place bigint",
-    "mask_or": "y integer, place bigint",
+    "mask_and": "y integer, x0 integer, x1 integer",
+    "mask_or": "y integer, x0 integer, x1 integer",
     "size_limits": "max_roundness double",
-    "til_mask": "y integer, place bigint",
+    "til_mask": "y integer, x0 integer, x1 integer",
     "label_pixels": "x integer, y integer, label integer",
     "erode_overlaps": "x integer, y integer, label integer",
     "read_patch_rasters": "position integer, r integer, g integer, b integer",
@@ -59,7 +55,7 @@ TYPES = {
     "order_patches": "position integer, k integer",
     "align_patches": "position integer, k integer",
     "align_patches_by_rank": "position integer, k integer",
-    "place_patches": "k integer, place bigint, v bigint",
+    "place_patches": "k integer, v integer",
     "external_components": "comp_y integer, comp_x integer",
     "component_area": "comp_y integer, comp_x integer",
     "component_filled_area": "comp_y integer, comp_x integer",
@@ -73,7 +69,6 @@ TYPES = {
     "spatial_sweep": "til_area bigint",
     "class_index": "idx integer",
     "read_annotations": "region integer",
-    "concat_fill": "place bigint",
     "out_of_canvas": "position integer",
     "stitched_global_score": "til_area_filled bigint",
     "global_score_from_pixels": "til_area_filled bigint",
@@ -338,10 +333,9 @@ def polygon_fill(fx):
 _CONCAT = f"{_GROUPS}, cat as (select slide, group_id, region * 10 + seq as seq, x, y from fx_vertices join grp using (slide, region)), {_fill('cat', 'slide, group_id')}"
 
 
-@query(f"with recursive {_CONCAT} select slide, group_id, y, count(*) as n, sum(x) as place from fill group by 1, 2, 3")
+@query(f"with recursive {_CONCAT} select * from {_runs('fill', 'slide, group_id')}")
 def concat_fill(fx):
-    spans = an.polygon_fill(an.concat_vertices(fx("fx_vertices"), _groups(fx)), ["slide", "group_id"])
-    return ma.to_pixels(spans).groupBy("slide", "group_id", "y").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("place"))
+    return an.polygon_fill(an.concat_vertices(fx("fx_vertices"), _groups(fx)), ["slide", "group_id"])
 
 
 @query(f"with recursive {_OVERLAP} select * replace (round(overlap, 6) as overlap) from ov")
@@ -465,7 +459,21 @@ def tile_smooth(fx):
     return ti.tile_smooth(fx("fx_tiles"), ["slide"])
 
 
-@query()
+#: Column by column, each with the new class of the one before; a class wins a tie before those that come later in 0, 1, 2, -1.
+_FIRST_ROW = """with recursive dim as (select slide, max(tx) as mx, max(ty) as my from fx_tiles group by 1),
+  cells as (select dim.slide, mx, my, x.v as x, y.v as y, coalesce(cls, 0) as cls from dim, unnest(range(mx + 1)) x(v), unnest(range(least(my, 1) + 1)) y(v) left join fx_tiles t on t.slide = dim.slide and t.tx = x.v and t.ty = y.v),
+  near as (select a.slide, a.x, a.mx, a.cls as own, list_filter([max(case when b.y = 0 and b.x = a.x + 1 then b.cls end), max(case when b.y = 1 and b.x = a.x - 1 then b.cls end), max(case when b.y = 1 and b.x = a.x then b.cls end),
+      max(case when b.y = 1 and b.x = a.x + 1 then b.cls end)], lambda c: c is not null) as others
+    from cells a join cells b on b.slide = a.slide and b.x between a.x - 1 and a.x + 1 where a.y = 0 group by 1, 2, 3, 4),
+  walk(slide, x, cls) as (select slide, cast(-1 as bigint), cast(null as int) from dim union all
+    select slide, x, case when len(l) > 0 and case when len(l) = 3 then same = 0 else same < 3 end then best else own end from (
+      select *, len(list_filter(l, lambda c: c = own)) as same, [0, 1, 2, -1][list_position(n, list_max(n))] as best from (
+        select *, [len(list_filter(l, lambda c: c = 0)), len(list_filter(l, lambda c: c = 1)), len(list_filter(l, lambda c: c = 2)), len(list_filter(l, lambda c: c = -1))] as n from (
+          select n.slide, n.x, n.own, case when w.cls is null then others else list_append(others, w.cls) end as l from walk w join near n on n.slide = w.slide and n.x = w.x + 1))))
+  select t.slide, t.tx, t.ty, cast(case when t.ty = 0 then w.cls else t.cls end as int) as cls from fx_tiles t left join walk w on w.slide = t.slide and w.x = t.tx"""
+
+
+@query(_FIRST_ROW)
 def tile_smooth_first_row(fx):
     return ti.tile_smooth_first_row(fx("fx_tiles"), ["slide"])
 
@@ -477,33 +485,30 @@ def _class_pixels(fx):
     return ti.render_classes(fx("fx_pixels"), fx("fx_tiles"), ["slide"], 60, 60, TILE)
 
 
-@query(f"with {_CLS} select slide, cls, count(*) as n, sum(x * 64 + y) as place from cp group by 1, 2")
+@query(f"with {_CLS} select slide, x, y, cls from cp")
 def render_classes(fx):
-    return _class_pixels(fx).groupBy("slide", "cls").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x") * 64 + F.col("y")).alias("place"))
+    return _class_pixels(fx).select("slide", "x", "y", "cls")
 
 
-@query(f"with {_CLS} select slide, case when least(r, g, b) > 230 then 3 else cls end as cls, count(*) as n, sum(x * 64 + y) as place from cp group by 1, 2")
+@query(f"with {_CLS} select slide, x, y, case when least(r, g, b) > 230 then 3 else cls end as cls from cp")
 def blank_white(fx):
-    return ti.blank_white(_class_pixels(fx)).groupBy("slide", "cls").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x") * 64 + F.col("y")).alias("place"))
+    return ti.blank_white(_class_pixels(fx)).select("slide", "x", "y", "cls")
 
 
 # ---- masks ----
 
 
-@query(f"with {_CLS} select slide, case when least(r, g, b) > 230 then 1 when cls = 2 then 255 else 0 end as mask, count(*) as n, sum(x * 64 + y) as place from cp group by 1, 2")
+@query(f"with {_CLS} select slide, x, y, case when least(r, g, b) > 230 then 1 when cls = 2 then 255 else 0 end as mask from cp")
 def stroma_mask(fx):
-    return ma.stroma_mask(ti.blank_white(_class_pixels(fx))).groupBy("slide", "mask").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x") * 64 + F.col("y")).alias("place"))
+    return ma.stroma_mask(ti.blank_white(_class_pixels(fx))).select("slide", "x", "y", "mask")
 
 
-@query("""select p.slide, sum(case when t.cls = 2 then r else 0 end) as r, sum(case when t.cls = 2 then g * 3 else 0 end) as g, sum(case when t.cls = 2 then b * 5 else 0 end) as b, count(*) as n
-  from fx_pixels p join fx_tiles t on t.slide = p.slide and t.tx = p.x // 8 and t.ty = p.y // 8 where p.slide % 9 <> 0 group by 1""")
+@query("""select p.slide, p.x, p.y, case when t.cls = 2 then r else 0 end as r, case when t.cls = 2 then g else 0 end as g, case when t.cls = 2 then b else 0 end as b
+  from fx_pixels p left join fx_tiles t on t.slide = p.slide and t.tx = p.x // 8 and t.ty = p.y // 8 where p.slide % 9 <> 0""")
 def stroma_pixels(fx):
     p = fx("fx_pixels")
     mask = ma.stroma_mask(ti.render_classes(p.select("slide", "x", "y"), fx("fx_tiles"), ["slide"], 64, 64, TILE))
-    out = ma.stroma_pixels(p, mask.filter("slide % 9 <> 0"), ["slide"])
-    there = fx("fx_tiles").select("slide", "tx", "ty")
-    out = out.withColumn("tx", F.floor(F.col("x") / 8).cast("int")).withColumn("ty", F.floor(F.col("y") / 8).cast("int")).join(there, ["slide", "tx", "ty"], "left_semi")
-    return out.groupBy("slide").agg(F.sum("r").alias("r"), F.sum(F.col("g") * 3).alias("g"), F.sum(F.col("b") * 5).alias("b"), F.count(F.lit(1)).alias("n"))
+    return ma.stroma_pixels(p, mask.filter("slide % 9 <> 0"), ["slide"])
 
 
 @query("select slide, tx * 8 + x as x, ty * 8 + y as y from fx_tiles, (select range as x from range(8)), (select range as y from range(8)) where cls = 0")
@@ -528,15 +533,15 @@ def _tile_spans(fx, cls):
     return ma.tile_spans(ma.class_mask(fx("fx_tiles"), cls), ["slide"], TILE)
 
 
-@query(f"with {_TIL} select til.slide, y, count(*) as n, sum(x) as place from til join fx_tiles t on t.slide = til.slide and t.tx = x // 8 and t.ty = y // 8 where cls = 2 group by 1, 2")
+@query(f"with {_TIL}, ab as (select til.slide, x, y from til join fx_tiles t on t.slide = til.slide and t.tx = x // 8 and t.ty = y // 8 where cls = 2) select * from {_runs('ab', 'slide')}")
 def mask_and(fx):
-    return ma.to_pixels(ma.mask_and(_til(fx), _tile_spans(fx, 2), ["slide"])).groupBy("slide", "y").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("place"))
+    return ma.mask_and(_til(fx), _tile_spans(fx, 2), ["slide"])
 
 
 @query(f"""with {_TIL}, u as (select slide, x, y from til union select slide, tx * 8 + a, ty * 8 + b from fx_tiles, (select range as a from range(8)), (select range as b from range(8)) where cls = 2)
-  select slide, y, count(*) as n, sum(x) as place from u group by 1, 2""")
+  select * from {_runs("u", "slide")}""")
 def mask_or(fx):
-    return ma.to_pixels(ma.mask_or(_til(fx), _tile_spans(fx, 2), ["slide"])).groupBy("slide", "y").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("place"))
+    return ma.mask_or(_til(fx), _tile_spans(fx, 2), ["slide"])
 
 
 # ---- nuclei ----
@@ -603,9 +608,9 @@ def stroma_filter(fx):
     return nu.stroma_filter(_outline_spans(fx), p, ["slide", "contour"])
 
 
-@query(f"with {_TIL} select slide, y, count(*) as n, sum(x) as place from til group by 1, 2")
+@query(f"with {_TIL} select * from {_runs('til', 'slide')}")
 def til_mask(fx):
-    return ma.to_pixels(_til(fx)).groupBy("slide", "y").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("place"))
+    return _til(fx)
 
 
 _LABEL = f"{_NUC}, lab as (select slide, x, y, max(label) as label from fill join (select slide, contour, row_number() over (partition by slide order by contour) as label from (select distinct slide, contour from fx_outlines)) using (slide, contour) group by 1, 2, 3)"
@@ -674,9 +679,9 @@ def _placed(fx):
     return mo.place_patches(_patch_pixels(fx), mo.align_patches(_manifest(fx), _readable(fx)), mo.canvas_extent(_manifest(fx)))
 
 
-@query(f"with {_PLACED} select slide, k, count(*) as n, sum(x * 100 + y) as place, sum(v) as v from placed group by 1, 2")
+@query(f"with {_PLACED} select slide, x, y, k, v from placed")
 def place_patches(fx):
-    return _placed(fx).groupBy("slide", "k").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x") * 100 + F.col("y")).alias("place"), F.sum("v").alias("v"))
+    return _placed(fx)
 
 
 def _blend(source: str, order: str) -> str:

@@ -69,7 +69,7 @@ def training_set(vertices: DataFrame, layers: DataFrame, slides: DataFrame, pixe
     cut = gr.training_patches(an.bounding_boxes(v, ["slide", "region"]), an.polygon_fill(v, ["slide", "region"]), slides, sizes)
     kept = gr.number_training_patches(gr.patch_white(cut.filter("overlap >= 0.7"), pixels, 220).join(classes, ["slide", "region"]))
     keyed = kept.withColumn("item", F.xxhash64("slide", "class", "size", "number").bitwiseAND(F.lit(2**40 - 1)))
-    return tr.split_dataset(keyed, seed).join(F.broadcast(tr.class_index(kept)), "class").drop("item")
+    return tr.split_dataset(keyed, seed).join(small(stored(tr.class_index(kept), "classes")), "class").drop("item")
 
 
 PATCH_KEYS = ["slide", "position"]
