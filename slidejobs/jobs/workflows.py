@@ -20,12 +20,26 @@ from slidejobs.operators import tiles as ti
 from slidejobs.operators import training as tr
 
 
-def patches_of(vertices: DataFrame, slides: DataFrame, pixels: DataFrame, size: tuple[int, int] = gr.PATCH, least_overlap: float = 0.7, most_white: float = 0.7) -> DataFrame:
-    """Annotated regions to numbered patches."""
-    groups = an.overlap_groups(an.bounding_boxes(vertices, ["slide", "region"]))
-    grid = gr.patch_grid(an.group_boxes(vertices, groups), slides, size)
-    spans = an.merge_spans(an.polygon_fill(vertices, ["slide", "region"]).join(groups, ["slide", "region"]), ["slide", "group_id"])
-    return gr.select_patches(gr.patch_white(gr.annotation_overlap(grid, spans, ["slide", "group_id"], size), pixels), least_overlap, most_white)
+def _kept(stages: Stages | None, name: str, slides: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """make(slides); with stages only for the slides that this step hasn't finished."""
+    return make(slides) if stages is None else stages.run(name, slides, make)
+
+
+def _of(rows: DataFrame, slides: DataFrame) -> DataFrame:
+    return rows.join(slides.select("slide"), "slide", "left_semi")
+
+
+def patches_of(vertices: DataFrame, slides: DataFrame, pixels: DataFrame, size: tuple[int, int] = gr.PATCH, least_overlap: float = 0.7, most_white: float = 0.7, stages: Stages | None = None) -> DataFrame:
+    """Annotated regions to numbered patches. stages: where the patches of finished slides are kept."""
+
+    def make(left: DataFrame) -> DataFrame:
+        v = _of(vertices, left)
+        groups = an.overlap_groups(an.bounding_boxes(v, ["slide", "region"]))
+        grid = gr.patch_grid(an.group_boxes(v, groups), left, size)
+        spans = an.merge_spans(an.polygon_fill(v, ["slide", "region"]).join(groups, ["slide", "region"]), ["slide", "group_id"])
+        return gr.select_patches(gr.patch_white(gr.annotation_overlap(grid, spans, ["slide", "group_id"], size), _of(pixels, left)), least_overlap, most_white)
+
+    return _kept(stages, "patches", slides, make)
 
 
 def global_scores(slides: DataFrame, tiles: DataFrame, outlines: DataFrame, stroma_px: DataFrame, tile: int = ti.TILE, done: DataFrame | None = None) -> DataFrame:
@@ -56,18 +70,26 @@ def stitched_global_scores(slides: DataFrame, manifest: DataFrame, readable: Dat
     return sc.global_score(slides, stored(spans(til_px, "v > 0"), "til"), spans(stroma_px, "v = 255"))
 
 
-def spatial_sweep(slides: DataFrame, tiles: DataFrame, til: DataFrame, areas: DataFrame, dists: DataFrame, tile: int = ti.TILE) -> DataFrame:
-    """Scores by cluster size and distance, of classified tiles and TIL spans."""
-    spans = lambda cls: ma.tile_spans(ma.class_mask(tiles, cls), ["slide"], tile)
-    return sc.spatial_scores(slides, spans(0), spans(2), til, areas, dists)
+def spatial_sweep(slides: DataFrame, tiles: DataFrame, til: DataFrame, areas: DataFrame, dists: DataFrame, tile: int = ti.TILE, stages: Stages | None = None) -> DataFrame:
+    """Scores by cluster size and distance, of classified tiles and TIL spans. stages: where the scores of finished slides are kept; other thresholds are another run."""
+
+    def make(left: DataFrame) -> DataFrame:
+        spans = lambda cls: ma.tile_spans(ma.class_mask(_of(tiles, left), cls), ["slide"], tile)
+        return sc.spatial_scores(left, spans(0), spans(2), _of(til, left), areas, dists)
+
+    return _kept(stages, "sweep", slides, make)
+
+
+def training_set(vertices: DataFrame, layers: DataFrame, slides: DataFrame, pixels: DataFrame, sizes: DataFrame, seed: int = 0, stages: Stages | None = None) -> DataFrame:
+    """Annotated layers to numbered patches of each size, with class index and split. stages: where the patches of finished slides are kept; indices and splits are made of all of them."""
 
+    def make(left: DataFrame) -> DataFrame:
+        v = _of(vertices, left).join(small(layers.filter("class <> 'skip'")), "layer_id")
+        classes = v.select("slide", "region", "class").distinct()
+        cut = gr.training_patches(an.bounding_boxes(v, ["slide", "region"]), an.polygon_fill(v, ["slide", "region"]), left, sizes)
+        return gr.number_training_patches(gr.patch_white(cut.filter("overlap >= 0.7"), _of(pixels, left), 220).join(classes, ["slide", "region"]))
 
-def training_set(vertices: DataFrame, layers: DataFrame, slides: DataFrame, pixels: DataFrame, sizes: DataFrame, seed: int = 0) -> DataFrame:
-    """Annotated layers to numbered patches of each size, with class index and split."""
-    v = vertices.join(small(layers.filter("class <> 'skip'")), "layer_id")
-    classes = v.select("slide", "region", "class").distinct()
-    cut = gr.training_patches(an.bounding_boxes(v, ["slide", "region"]), an.polygon_fill(v, ["slide", "region"]), slides, sizes)
-    kept = gr.number_training_patches(gr.patch_white(cut.filter("overlap >= 0.7"), pixels, 220).join(classes, ["slide", "region"]))
+    kept = _kept(stages, "training-patches", slides, make)
     keyed = kept.withColumn("item", F.xxhash64("slide", "class", "size", "number").bitwiseAND(F.lit(2**40 - 1)))
     return tr.split_dataset(keyed, seed).join(small(stored(tr.class_index(kept), "classes")), "class").drop("item")
 
@@ -106,21 +128,18 @@ def pixels_to_scores(
     manifest: slide, position, x0, y0, w, h, colored. stages: where finished slides of each step are kept, so a run that was stopped goes on from there.
     """
     patches = manifest.filter("colored").join(readable.select(*PATCH_KEYS), PATCH_KEYS).select(*PATCH_KEYS, F.col("w").alias("width"), F.col("h").alias("height"))
-    run = (lambda name, wanted, make: make(wanted)) if stages is None else stages.run
 
     def masks(left: DataFrame) -> DataFrame:
-        of = lambda df: df.join(left.select("slide"), "slide", "left_semi")
-        found = patch_masks(left, of(patches), of(blocks), of(outlines), make_scorer, tile)
+        found = patch_masks(left, _of(patches, left), _of(blocks, left), _of(outlines, left), make_scorer, tile)
         both = [df.select(*PATCH_KEYS, *[F.col(c).cast("int").alias(c) for c in ("y", "x0", "x1")], F.lit(kind).alias("kind")) for kind, df in found.items()]
         return both[0].unionByName(both[1]).unionByName(both[2])
 
     def mosaics(left: DataFrame) -> DataFrame:
-        of = lambda df: df.join(left.select("slide"), "slide", "left_semi")
-        spans = stored(of(run("masks", slides, masks)), "masks")
-        out = [mo.stitch_masks(spans.filter(F.col("kind") == kind).drop("kind"), of(manifest), of(readable)).withColumn("kind", F.lit(kind)) for kind in ("epithelium", "stroma", "til")]
+        spans = stored(_of(_kept(stages, "masks", slides, masks), left), "masks")
+        out = [mo.stitch_masks(spans.filter(F.col("kind") == kind).drop("kind"), _of(manifest, left), _of(readable, left)).withColumn("kind", F.lit(kind)) for kind in ("epithelium", "stroma", "til")]
         return out[0].unionByName(out[1]).unionByName(out[2])
 
-    all_ = stored(run("mosaics", slides, mosaics), "mosaics")
+    all_ = stored(_kept(stages, "mosaics", slides, mosaics), "mosaics")
     pick = lambda kind, on: ma.union_spans(all_.filter(F.col("kind") == kind).filter(on), ["slide"])
     til, stroma = stored(pick("til", "v > 0"), "til"), stored(pick("stroma", "v = 255"), "stroma")
     if areas is None or dists is None:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slidejobs.fixtures import fixture
+from slidejobs.functions.stages import Stages
 from slidejobs.jobs import workflows as wf
 from slidejobs.operators import annotations as an
 from slidejobs.operators import nuclei as nu
@@ -57,3 +58,20 @@ def test_patches_of(spark, fx):
     assert got and all(r.overlap > 0.2 for r in got)
     for slide in {r.slide for r in got}:
         assert sorted(r.position for r in got if r.slide == slide) == list(range(sum(r.slide == slide for r in got)))
+
+
+def test_finished_slides_are_not_made_again(spark, fx, tmp_path, monkeypatch):
+    stages = Stages(spark, f"file://{tmp_path}/kept", waves=2)
+    slides, args = fx("fx_slides"), (fx("fx_pixels"), (16, 12), 0.2, 0.7)
+    whole = wf.patches_of(fx("fx_vertices"), slides, *args)
+    first = wf.patches_of(fx("fx_vertices"), slides.filter("slide < 4"), *args, stages=stages)
+    assert first.select("slide").distinct().count() <= 4 and stages.pending("patches", slides).count() == slides.count() - stages.finished("patches", slides).count()
+    asked = []
+    monkeypatch.setattr(wf.an, "bounding_boxes", lambda v, keys, f=wf.an.bounding_boxes: asked.append({r.slide for r in v.select("slide").distinct().collect()}) or f(v, keys))
+    both = wf.patches_of(fx("fx_vertices"), slides, *args, stages=stages)
+    assert not set().union(*asked) & {r.slide for r in slides.filter("slide < 4").collect()}
+    rows = lambda df: sorted(map(str, df.select(*whole.columns).collect()))
+    assert rows(both) == rows(whole)
+    asked.clear()
+    assert rows(wf.patches_of(fx("fx_vertices"), slides, *args, stages=stages)) == rows(whole)
+    assert not asked
