@@ -333,7 +333,7 @@ def over_texts(docs: DataFrame, schema: str, make: Callable[[pa.Array, pa.Array]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in slices(b.column(1)):
+            for part in slices(b.column(1), 1 << 21):
                 yield pa.RecordBatch.from_arrays(make(b.column(0)[part], b.column(1)[part]), names)
 
     return rows.mapInArrow(run, schema)
