@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from slidejobs.llm import bpe, chat_tree, exact_dedup, lm_score, near_dedup, packing, quality, token_counts, url_filter, winnowing
 
@@ -271,15 +272,20 @@ def test_chat_tree(spark):
     } | {100 + i: [("system", "be brief"), ("user", f"q{i % 5}"), ("assistant", f"a{i % 9}")] for i in range(40)}
     rows = [(c, k, r, t, "extra") for c, turns in convs.items() for k, (r, t) in enumerate(turns)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, tree string").repartition(4)
-    nodes, members = chat_tree.build(df.drop("tree"))
-    got = {r.conv_id: r for r in chat_tree.read_back(nodes, members).collect()}
+    path = chat_tree.byte_bpe()
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    encode = lambda s: library.encode(s, add_special_tokens=False).ids
+    nodes, members = chat_tree.build(df, path)
+    got = {r.conv_id: r for r in chat_tree.read_back(nodes, members, path).collect()}
     for c, turns in convs.items():
         turns = [(r or "", t or "") for r, t in turns]
         loss = "".join(t for r, t in turns if r == "assistant")
         r = got[c]
         assert (r.n_turns, r.turns_sha256) == (len(turns), hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest())
         assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-        assert r.formatted_chars == sum(len(chat_tree.segment(a, b)[0]) for a, b in turns)
+        assert r.formatted_chars == sum(len("".join(chat_tree.segment(a, b))) for a, b in turns)
+        assert r.n_tokens == sum(len(encode(x)) for a, b in turns for x in chat_tree.segment(a, b))
     # each shared prefix once, depth-first, and every conversation's tokens are its attended intervals and the node itself
     prefixes = {tuple((r or "", t or "") for r, t in turns[:k]) for turns in convs.values() for k in range(1, len(turns) + 1)}
     nodes = nodes.collect()
@@ -291,7 +297,7 @@ def test_chat_tree(spark):
     for tree, ns in trees.items():
         ns.sort(key=lambda n: n.start)
         assert [n.start for n in ns] == [sum(m.length for m in ns[:i]) for i in range(len(ns))]
-        at[tree] = "".join(n.segment for n in ns)
+        at[tree] = [(x, y) for n in ns for x, y in zip(n.tokens, n.position_ids, strict=True)]
         for a, b in zip(ns, ns[1:], strict=False):
             assert b.depth <= a.depth + 1
     where = {(n.tree, n.start): n for n in nodes}
@@ -300,10 +306,30 @@ def test_chat_tree(spark):
         last[m.conv_id] = max(last.get(m.conv_id, (0, 0, 0)), (m.k, m.tree, m.start))
     for c, (_, tree, start) in last.items():
         n = where[tree, start]
-        seen = "".join(at[tree][i["from"] : i["to"]] for i in n.attend)
-        assert n.position == len(seen)
-        assert seen + n.segment == "".join(chat_tree.segment(a or "", b or "")[0] for a, b in convs[c])
-    assert chat_tree.read_back(*chat_tree.build(df.limit(0))).count() == 0
+        turns = [(a or "", b or "") for a, b in convs[c]]
+        seen = [x for i in n.attend for x in at[tree][i["from"] : i["to"]]] + list(zip(n.tokens, n.position_ids, strict=True))
+        assert n.position == len(seen) - n.length and [y for _, y in seen] == list(range(len(seen)))
+        assert [x for x, _ in seen] == [x for a, b in turns for part in chat_tree.segment(a, b) for x in encode(part)]
+        role, text = turns[-1]
+        assert library.decode(n.tokens[n.loss_from : n.loss_to], skip_special_tokens=False) == (chat_tree.escape(text) if role == "assistant" else "")
+    assert chat_tree.read_back(*chat_tree.build(df.limit(0), path), path).count() == 0
+
+
+def test_chat_query_by_brute_force(spark, tmp_path):
+    """op7 with its conversation of control strings; texts of many scripts, broken surrogates of escapes, long texts."""
+    texts = ["plain", "", None, "é 漢字 😀\x00\r\n", "\\n<|", "<|endoftext|>", " \t" * 50, "ab " * 200_000, "z" * 50_000]
+    rows = [(c, k, ("user", "assistant", "to\\ol")[k % 3], texts[(c * k + c) % len(texts)], "x") for c in range(12) for k in range(1 + c % 4)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, tokens string").write.parquet(f"file://{tmp_path}/conversations.parquet")
+    convs = defaultdict(list)
+    for c, _, role, text, _ in [*rows, (-1, 0, "user", chat_tree.HOSTILE, ""), (-1, 1, "assistant", chat_tree.HOSTILE, "")]:
+        convs[c].append((role, text or ""))
+    want = set()
+    for c, turns in convs.items():
+        loss = "".join(t for r, t in turns if r == "assistant")
+        digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        want.add((c, len(turns), digest("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), digest(loss), sum(len("".join(chat_tree.segment(r, t))) for r, t in turns)))
+    got = [tuple(r)[:6] for r in chat_tree.op7_chat_tree(spark, f"file://{tmp_path}").collect()]
+    assert len(got) == len(want) and set(got) == want
 
 
 @pytest.mark.parametrize("k,w", [(25, 76), (3, 4), (7, 5), (1, 1)])
@@ -562,5 +588,5 @@ def test_null_ids_keep_their_rows(spark, tmp_path):
     rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
     assert Counter((r.host, r.verdict) for r in url_filter.judge(pages, rules, pages.limit(0)).collect()) == Counter({("a.org", "allow"): 2, ("", "allow"): 1})
     turns = [(None, 0, "user", "hi"), (None, 1, "assistant", "there"), (4, 0, "user", "hi"), (4, None, "assistant", "all"), (4, None, "assistant", "all")]
-    chats = chat_tree.read_back(*chat_tree.build(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))).collect()
+    chats = chat_tree.read_back(*chat_tree.build(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), chat_tree.byte_bpe()), chat_tree.byte_bpe()).collect()
     assert {(r.conv_id, r.n_turns, r.loss_chars) for r in chats} == {(None, 2, 5), (4, 3, 6)}
