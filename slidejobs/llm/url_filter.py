@@ -2,24 +2,26 @@
 
 A list holds canonical URLs and host/path rules. Its keys set bits in a Bloom filter whose bits for one key all
 lie in one block of 512 bits. Pages whose candidate keys may be listed go on to an exact join with the list, which
-removes false positives; all other pages have their verdict without being moved. The filter has a fixed largest
+removes false positives; all other pages have their verdict without being moved. Which rule fits best is found once for
+each different host and path that may have one. The exact tables are counted: up to 200,000 rows they are broadcast, longer
+ones are hashed after a shuffle of the pages that the filter let through. The filter has a fixed largest
 size, so broadcasting it is safe: a longer list raises the share of false positives, never an error.
 
 Edge cases: a url that is null or has no "://" has an empty host and path, fits no rule and is not listed. Repeated
-page rows are judged each. Empty tables give no rows. Extra columns are ignored.
+page rows are judged each, rows with a null page_id too. Empty tables give no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from slidejobs.functions.storage import stored, table
+from slidejobs.functions.storage import BROADCAST_ROWS, stored, table
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 BLOCK_WORDS = 8  # of 64 bits
@@ -86,16 +88,6 @@ class BlockedBloom:
             hit &= (self.words[block, bits[:, j] >> 6] >> (bits[:, j] & 63).astype(np.uint64)) & np.uint64(1) == 1
         return hit
 
-    def test(self, spark: SparkSession):
-        """A pandas UDF of a long column: may the list hold this hash?"""
-        held = spark.sparkContext.broadcast(self.words)
-
-        @F.pandas_udf("boolean")
-        def may(h: pd.Series) -> pd.Series:
-            return pd.Series(BlockedBloom(held.value).may_hold(h.to_numpy(np.int64)))
-
-        return may
-
 
 def rule_keys(host: Column, path: Column, path_lengths: list[int]) -> Column:
     """Array of the keys host-suffix + path-prefix that a rule for this page can have, for the lengths of listed paths."""
@@ -105,35 +97,56 @@ def rule_keys(host: Column, path: Column, path_lengths: list[int]) -> Column:
     return F.array_distinct(F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p)))))
 
 
+def hashed(df: DataFrame) -> DataFrame:
+    """df, a stored table, as the build side of a hash join: broadcast if it is short."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("shuffle_hash")
+
+
+def sifted(rows: DataFrame, bloom: BlockedBloom, rule_hash: Callable[[Column], Column], url_hash: Callable[[Column], Column]) -> DataFrame:
+    """rows (page_id, host, path, key, keys) with maybe_listed, and of keys those that may be rules."""
+    held = rows.sparkSession.sparkContext.broadcast(bloom.words)
+    rows = rows.select("page_id", "host", "path", "key", "keys", url_hash(F.col("key")).alias("h"), F.transform("keys", rule_hash).alias("hs"))
+    names = ["page_id", "host", "path", "key", "keys", "maybe_listed"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bloom = BlockedBloom(held.value)
+        for b in batches:
+            keys, hs = b.column(4), b.column(6)
+            may = bloom.may_hold(hs.flatten().to_numpy(zero_copy_only=False))
+            at = np.r_[0, np.cumsum(may)][hs.offsets.to_numpy() - hs.offsets[0].as_py()]
+            kept = pa.ListArray.from_arrays(pa.array(at, pa.int32()), keys.flatten().filter(pa.array(may)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], kept, pa.array(bloom.may_hold(b.column(5).to_numpy(zero_copy_only=False)))], names)
+
+    return rows.mapInArrow(run, StructType([*[rows.schema[c] for c in names[:5]], StructField("maybe_listed", BooleanType())]))
+
+
 def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict, listed for each row of pages.
 
-    rules: host, path, verdict (path begins with "/"), a few; listed: url, canonical URLs to block where no rule fits.
+    rules: host, path, verdict (path begins with "/"); listed: url, canonical URLs to block where no rule fits.
     The longest fitting rule wins. Both lists stand in one Bloom filter, the rules' keys under another seed.
     """
-    spark = pages.sparkSession
     rule_rows = rules.select(F.concat("host", "path").alias("rule"), F.col("verdict").alias("rule_verdict"), F.char_length("path").alias("n"))
     lengths = sorted(r[0] for r in rule_rows.select("n").distinct().collect())  # at most the longest listed path
     rule_hash, url_hash = lambda c: F.xxhash64(F.lit("rule"), c), lambda c: F.xxhash64(F.lit("url"), c)
+    rule_rows = stored(rule_rows.drop("n"), "rules")
     exact = stored(listed.select(F.col("url").alias("key")).distinct(), "listed")
     bloom = BlockedBloom.of(exact.select(url_hash(F.col("key")).alias("h")).union(rule_rows.select(rule_hash(F.col("rule")))))
-    may = bloom.test(spark)
-
-    rows = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.expr("uuid()").alias("row"))
-    rows = rows.withColumn("key", canonical(F.col("host"), F.col("path")))
-    keys = rule_keys(F.col("host"), F.col("path"), lengths)
-    rows = stored(rows.withColumn("maybe_listed", may(url_hash(F.col("key")))).withColumn("keys", keys), "urls")
-
-    candidates = rows.select("row", F.explode("keys").alias("rule")).withColumn("maybe", may(rule_hash(F.col("rule")))).filter("maybe")
-    # rules are at most a few: Spark's own threshold decides on the broadcast
-    fits = candidates.join(rule_rows, "rule").groupBy("row").agg(F.max(F.struct(F.char_length("rule").alias("n"), "rule", "rule_verdict")).alias("best"))
-    on_list = rows.filter("maybe_listed").join(exact, "key", "left_semi").select("row", F.lit(True).alias("hit"))
-    out = rows.drop("keys").join(fits, "row", "left").join(on_list, "row", "left")
-    hit = F.coalesce("hit", F.lit(False))
-    return out.select(
-        "page_id", "host", "path", F.col("best.rule").alias("rule"),
-        F.coalesce(F.col("best.rule_verdict"), F.when(hit, "block").otherwise(default)).alias("verdict"), hit.alias("listed"),
-    )
+
+    rows = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    rows = rows.withColumn("key", canonical(F.col("host"), F.col("path"))).withColumn("keys", rule_keys(F.col("host"), F.col("path"), lengths))
+    rows = stored(sifted(rows, bloom, rule_hash, url_hash), "urls")
+
+    ruled, free = rows.filter(F.size("keys") > 0), rows.filter(F.size("keys") == 0)
+    longest = F.max(F.struct(F.char_length("rule").alias("n"), "rule", "rule_verdict")).alias("best")
+    fits = ruled.select("host", "path", F.explode("keys").alias("rule")).distinct().join(hashed(rule_rows), "rule").groupBy("host", "path").agg(longest)
+    fits = stored(fits.select("host", "path", "best.rule", "best.rule_verdict"), "fits")
+    none = F.lit(None).cast("string")
+    rows = ruled.join(hashed(fits), ["host", "path"], "left").unionByName(free.withColumn("rule", none).withColumn("rule_verdict", none)).drop("keys")
+    on_list = rows.filter("maybe_listed").join(hashed(exact.withColumn("listed", F.lit(True))), "key", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    out = on_list.unionByName(rows.filter("not maybe_listed").withColumn("listed", F.lit(False)))
+    verdict = F.coalesce("rule_verdict", F.when(F.col("listed"), "block").otherwise(default)).alias("verdict")
+    return out.select("page_id", "host", "path", "rule", verdict, "listed")
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from slidejobs.llm import collocations, filter_audit, pii, wordscan
+from slidejobs.llm import collocations, exact_dedup, filter_audit, pii, url_filter, wordscan
 
 SF = Path("/root/testdata/sf0.001")
 rng = np.random.default_rng(3)
@@ -220,7 +220,7 @@ def test_plan_has_no_python(spark):
 
 
 @pytest.mark.skipif(not SF.exists(), reason="no test tables here")
-@pytest.mark.parametrize(("module", "name"), [(filter_audit, "op11_filter_audit"), (collocations, "op12_collocations"), (pii, "op13_pii")])
+@pytest.mark.parametrize(("module", "name"), [(exact_dedup, "op2_exact_dedup"), (url_filter, "op9_url_filter"), (filter_audit, "op11_filter_audit"), (collocations, "op12_collocations"), (pii, "op13_pii")])
 def test_query_equals_its_sql(spark, module, name):
     duckdb = pytest.importorskip("duckdb")
     c = duckdb.connect()

@@ -417,6 +417,20 @@ def test_url_filter_takes_every_length_of_rule(spark):
     assert {r.page_id: (r.rule, r.verdict) for r in got} == {i: (f"h{i}.org{p}", "block") for i, p in enumerate(paths)}
 
 
+def test_url_filter_joins_of_any_size(spark, monkeypatch):
+    """Long lists of rules and URLs, hashed after a shuffle, judge like short ones that are broadcast; hot URLs and null ids besides."""
+    urls = [f"https://s{i % 7}.net/{'abc'[i % 3]}/{i % 40}.html?q={i}" for i in range(400)] + ["http://s1.net/a/1"] * 200 + [None]
+    pages = spark.createDataFrame([(None if i % 9 == 0 else i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    rules = spark.createDataFrame([(f"s{i}.net", f"/{'abc'[i % 3]}/1", "allow") for i in range(7)], "host string, path string, verdict string")
+    listed = spark.createDataFrame([(f"s{i % 7}.net/{'abc'[i % 3]}/{i}",) for i in range(0, 60, 2)], "url string")
+    found = []
+    for most in (url_filter.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(url_filter, "BROADCAST_ROWS", most)
+        found.append(Counter(tuple(r) for r in url_filter.judge(pages, rules, listed).collect()))
+    assert found[0] == found[1] and sum(found[0].values()) == len(urls)
+    assert len({(r[3], r[4], r[5]) for r in found[0]}) > 4
+
+
 def test_bloom_never_misses(spark):
     keys = spark.range(5000).select(F.xxhash64("id").alias("h"))
     bloom = url_filter.BlockedBloom.of(keys)
