@@ -13,7 +13,11 @@ and counts as one word. A negative score is nearer to the target.
 The counts never meet in one place. Documents are dealt to chunks of bounded size. A chunk asks for each of its different words and
 bigrams once, with its own counts; what it asks is dealt to buckets by ranges of the hash, so a word of every document costs a bucket one
 number a chunk. A bucket sums them up and answers with what the other chunks hold, in the order of the question. The chunk then has all counts that its
-documents need. Texts are moved once; nothing is broadcast, and no task holds more than a chunk or a bucket.
+documents need. Nothing is broadcast, and no task holds more than a chunk or a bucket.
+
+There is a bucket for every eight chunks, so if each chunk wrote to each bucket, messages would grow with the square of the input. A
+node writes to FAN ranges at most: beyond FAN buckets, chunks write in groups to nodes that hold a part of the hash range, sum up what a group asks, and ask
+on in finer ranges; answers come back the same way. Messages are then FAN a chunk and level, and levels grow with the logarithm of the input.
 
 Edge cases: a null or empty text, or one of white space, has no words, losses 0 and score 0, and is no part of a model.
 Repeated rows are counted and scored each; of a doc_id that stands among the target's, all rows are in the target; null ids never are.
@@ -31,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slidejobs.functions.storage import table
+from slidejobs.functions.storage import stored, table
 from slidejobs.llm.bpe import slices
 
 PRIOR = 4.0
@@ -39,8 +43,9 @@ CHUNK_BYTES = 3 << 20  # of text in a chunk, about
 BOUNDARY = np.int64(0x5DEECE66D1CE4E5B)  # stands for a document's start and end
 STEP = np.uint64(0x9E3779B97F4A7C15)
 ALL = np.array([0x2545F4914F6CDD1D], np.uint64)  # the key under which all words are counted
-ASKED = "bucket int, chunk int, keys binary, n binary, t binary"
-ANSWERED = "chunk int, bucket int, n binary, t binary"
+FAN = 1024  # ranges that a chunk or node writes to
+ASKED = "bucket long, chunk long, keys binary, n binary, t binary"  # chunk: who asks, a chunk or a node
+ANSWERED = "chunk long, bucket long, n binary, t binary"
 SCORED = "doc_id long, n_words long, loss_target double, loss_background double, score double"
 
 
@@ -135,7 +140,7 @@ def spread(docs: DataFrame, target_ids: DataFrame, chunks: int, id_col: str = "d
     """chunk, doc_id, text, target: the rows of docs (target false), and the ids of the target (true) in the chunk of their documents."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.lit(False).alias("target"))
     ids = target_ids.select(F.col(target_ids.columns[0]).cast("long").alias("doc_id"), F.lit("").alias("text"), F.lit(True).alias("target")).filter("doc_id is not null")
-    chunk = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(chunks)).cast("int")
+    chunk = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(chunks)).cast("long")
     return rows.unionByName(ids).select(chunk.alias("chunk"), "doc_id", "text", "target")
 
 
@@ -154,43 +159,87 @@ def sizes(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
     return different + 1, total or 0
 
 
-def scores(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def levels_of(chunks: int, fan: int = FAN) -> tuple[int, int]:
+    """Levels, and ranges that a node writes to on each: together as many buckets as there are chunks for, or a few more."""
+    buckets = max(min(chunks, 64), chunks // 8)
+    levels = 1
+    while fan**levels < buckets:
+        levels += 1
+    ways = 1
+    while ways**levels < buckets:
+        ways += 1
+    return levels, ways
+
+
+def questions(who: int, group: int, lane: int, level: int, levels: int, ways: int, keys: np.ndarray, n: np.ndarray, t: np.ndarray) -> pa.Table:
+    """What `who` asks on a level (1..): its sorted keys, all in range `lane` of the level before, dealt to finer ranges. On the last level all groups meet."""
+    lanes = ways**level
+    mine = np.arange(lane * ways, (lane + 1) * ways + 1, dtype=np.uint64)
+    ends = np.searchsorted((keys >> np.uint64(32)) * np.uint64(lanes) >> np.uint64(32), mine)
+    first = (0 if level == levels else group // ways) * lanes + lane * ways
+    parts = [(first + i, slice(a, b)) for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)) if a < b]
+    sent = [(i, who, planes(np.diff(keys[s], prepend=np.uint64(0)).view(np.int64)), planes(n[s]), planes(t[s])) for i, s in parts]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*sent, strict=True) if sent else [()] * 5, kinds, strict=True)], ["bucket", "chunk", "keys", "n", "t"])
+
+
+class Asked:
+    """The questions that reached one bucket or node, summed up by key."""
+
+    def __init__(self, asked: pa.Table):
+        self.asked = asked
+        keys = [np.cumsum(unplanes(x.as_buffer()).view(np.uint64)) for x in asked.column("keys")]
+        self.keys, self.place = np.unique(np.concatenate(keys), return_inverse=True)
+        self.cuts = np.cumsum([len(x) for x in keys])[:-1]
+        self.own = [np.concatenate([unplanes(x.as_buffer()) for x in asked.column(c)]) for c in ("n", "t")]
+        self.sums = [np.bincount(self.place, x, minlength=len(self.keys)).astype(np.int64) for x in self.own]
+
+    def answers(self, others: list[np.ndarray]) -> pa.Table:
+        """What each asker's keys count elsewhere, if all askers of this node together get `others`; mostly nothing."""
+        cols = [pa.array([planes(x) for x in np.split((s + o)[self.place] - own, self.cuts)], pa.binary()) for s, o, own in zip(self.sums, others, self.own, strict=True)]
+        return pa.table([self.asked.column("chunk"), self.asked.column("bucket"), *cols], ["chunk", "bucket", "n", "t"])
+
+
+def answered(answers: pa.Table) -> list[np.ndarray]:
+    """Counts n and t of a node's keys, in their order."""
+    answers = answers.sort_by("bucket")
+    return [np.concatenate([unplanes(x.as_buffer()) for x in answers.column(c)]) for c in ("n", "t")]
+
+
+def exchange(asked: DataFrame, level: int, levels: int, ways: int) -> DataFrame:
+    """Answers to the questions of a level."""
+    if level == levels:
+        return asked.groupBy("bucket").applyInArrow(lambda rows: Asked(rows).answers([0, 0]), ANSWERED)
+
+    def ask_on(rows: pa.Table) -> pa.Table:
+        node, a = rows.column("bucket")[0].as_py(), Asked(rows)
+        return questions(node, *divmod(node, ways**level), level + 1, levels, ways, a.keys, *a.sums)
+
+    asked = stored(asked, "questions")  # needed on the way there and back
+    answers = exchange(asked.groupBy("bucket").applyInArrow(ask_on, ASKED), level + 1, levels, ways)
+    return asked.groupBy("bucket").cogroup(answers.groupBy("chunk")).applyInArrow(lambda rows, answers: Asked(rows).answers(answered(answers)), ANSWERED)
+
+
+def scores(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, fan: int = FAN) -> DataFrame:
     """doc_id, n_words, loss_target, loss_background, score of each row of docs; target_ids: one column of ids."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
     size, total = sizes(docs, text_col)
     chunks = total // chunk_bytes + 1
-    buckets = max(min(chunks, 64), chunks // 8)
+    levels, ways = levels_of(chunks, fan)
     rows = spread(docs, target_ids, chunks, id_col, text_col)
 
     def ask(rows: pa.Table) -> pa.Table:
-        c = Chunk(rows)
-        n, t = c.counts()
-        ends = np.searchsorted((c.keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
-        parts = [(i, slice(a, b)) for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)) if a < b]
-        cols = [[i for i, _ in parts], [rows.column("chunk")[0].as_py()] * len(parts)]
-        cols = [pa.array(x, pa.int32()) for x in cols] + [pa.array(x, pa.binary()) for x in zip(*[(planes(np.diff(c.keys[s], prepend=np.uint64(0)).view(np.int64)), planes(n[s]), planes(t[s])) for _, s in parts], strict=True)]
-        return pa.table(cols, ["bucket", "chunk", "keys", "n", "t"])
-
-    def answer(asked: pa.Table) -> pa.Table:
-        keys = [np.cumsum(unplanes(x.as_buffer()).view(np.uint64)) for x in asked.column("keys")]
-        known, place = np.unique(np.concatenate(keys), return_inverse=True)
-        cuts = np.cumsum([len(x) for x in keys])[:-1]
-        sums = []
-        for col in ("n", "t"):
-            own = np.concatenate([unplanes(x.as_buffer()) for x in asked.column(col)])
-            sums.append(np.bincount(place, own, minlength=len(known)).astype(np.int64)[place] - own)  # what others hold, mostly nothing
-        cols = [pa.array([planes(x) for x in np.split(y, cuts)], pa.binary()) for y in sums]
-        return pa.table([asked.column("chunk"), asked.column("bucket"), *cols], ["chunk", "bucket", "n", "t"])
+        c, chunk = Chunk(rows), rows.column("chunk")[0].as_py()
+        return questions(chunk, chunk, 0, 1, levels, ways, c.keys, *c.counts())
 
     def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
         c = Chunk(rows)
-        answers = answers.sort_by("bucket")
-        n, t = (own + np.concatenate([unplanes(x.as_buffer()) for x in answers.column(col)]) for own, col in zip(c.counts(), ("n", "t"), strict=True))
+        n, t = (own + x for own, x in zip(c.counts(), answered(answers), strict=True))
         c.prepare()
         target, background = c.losses(t, c.target, size), c.losses(n, np.ones(len(c.target), bool), size)
         return pa.table([c.ids, pa.array(c.n_words), pa.array(target), pa.array(background), pa.array(target - background)], ["doc_id", "n_words", "loss_target", "loss_background", "score"])
 
-    answers = rows.groupBy("chunk").applyInArrow(ask, ASKED).groupBy("bucket").applyInArrow(answer, ANSWERED)
+    answers = exchange(rows.groupBy("chunk").applyInArrow(ask, ASKED), 1, levels, ways)
     return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, SCORED)
 
 

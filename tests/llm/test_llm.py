@@ -551,8 +551,8 @@ def brute_losses(texts, in_target, size):
     return [len(w) for w in split], *out
 
 
-@pytest.mark.parametrize("chunk_bytes", [2000, 1 << 22])
-def test_lm_score_keeps_every_word_and_bigram(spark, tmp_path, monkeypatch, chunk_bytes):
+@pytest.mark.parametrize(("chunk_bytes", "fan"), [(2000, lm_score.FAN), (2000, 8), (1000, 4), (1 << 22, lm_score.FAN)])
+def test_lm_score_keeps_every_word_and_bigram(spark, tmp_path, monkeypatch, chunk_bytes, fan):
     """The query against brute force, where most words and bigrams occur once; repeated rows and null ids are scored each."""
     texts = [(i, t) for i, t in enumerate(TEXTS)] + [(5, "Rare once only"), (5, "Rare once only"), (None, "lone words here"), (None, "long lone"), (None, "long lone")]
     rows = [(i, t, 0.5, 3, "n", True) for i, t in texts]
@@ -565,8 +565,9 @@ def test_lm_score_keeps_every_word_and_bigram(spark, tmp_path, monkeypatch, chun
     assert abs(size - len(words) - 1) <= 0.02 * size and total == sum(len((t or "").encode()) for _, t in texts)
     n, t, g = brute_losses([t for _, t in texts], [i is not None and i < len(TEXTS) and i % 2 == 0 for i, _ in texts], size)
     want = sorted((-1 if i is None else i, *x) for (i, _), *x in zip(texts, n, t, g, strict=True))
-    if chunk_bytes == 2000:
-        got = lm_score.scores(docs, spark.read.parquet(f"{tmp_path}/labels.parquet").filter("quality = 1").select("doc_id"), chunk_bytes=chunk_bytes).collect()
+    if chunk_bytes <= 2000:
+        assert lm_score.levels_of(total // chunk_bytes + 1, fan)[0] == (1 if fan == lm_score.FAN else 2 if fan == 8 else 3)
+        got = lm_score.scores(docs, spark.read.parquet(f"{tmp_path}/labels.parquet").filter("quality = 1").select("doc_id"), chunk_bytes=chunk_bytes, fan=fan).collect()
     else:
         got = lm_score.op1_lm_score(spark, str(tmp_path)).collect()
     rows = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.loss_target, r.loss_background) for r in got)
@@ -575,6 +576,21 @@ def test_lm_score_keeps_every_word_and_bigram(spark, tmp_path, monkeypatch, chun
     assert all(math.isclose(r.score, r.loss_target - r.loss_background, abs_tol=1e-12) for r in got)
 
 
+def test_lm_score_messages_grow_with_the_input():
+    """Messages a chunk stay bounded at any size, and so does what one bucket gets."""
+    for chunks in (1, 7, 64, 600, 8192, 10_000, 350_000, 10**6, 35 * 10**6):
+        levels, ways = lm_score.levels_of(chunks)
+        assert ways <= lm_score.FAN and levels <= 3
+        assert chunks / ways**levels <= 8  # a bucket gets what eight chunks ask at most
+        assert ways**levels <= max(chunks, 64) * 1.1
+    keys = np.unique(np.random.default_rng(5).integers(0, 2**64, 5000, np.uint64))
+    one = np.ones(len(keys), np.int64)
+    for chunks in (64, 512, 4096):  # each chunk asks for keys of every range
+        levels, ways = lm_score.levels_of(chunks, 8)
+        sent = [lm_score.questions(c, c, 0, 1, levels, ways, keys, one, one) for c in range(0, chunks, 37)]
+        assert {len(x) for x in sent} == {ways} and ways <= 8
+
+
 def test_lm_score_without_target_or_documents(docs, none):
     no_ids = none.select("doc_id")
     got = lm_score.scores(docs, no_ids).collect()
