@@ -24,8 +24,11 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from slidejobs.functions.storage import stored, table
-from slidejobs.llm.bpe import slices
+from slidejobs.llm.bpe import byte_letters, slices
 
 BEGIN, END = "<|im_start|>", "<|im_end|>"
 NO_ID = 2**63 - 1  # stands for a null conv_id
@@ -77,6 +80,17 @@ def tokenizer(path: str) -> Tokenizer:
     return t
 
 
+@lru_cache(2)
+def token_bytes(path: str) -> pa.Array:
+    """The bytes of each token id."""
+    letters = {c: b for b, c in byte_letters().items()}
+    vocabulary = tokenizer(path).get_vocab()
+    held = [b""] * (max(vocabulary.values()) + 1)
+    for token, i in vocabulary.items():
+        held[i] = bytes(letters[c] for c in token)
+    return pa.array(held, pa.binary())
+
+
 def turns_of(conversations: DataFrame) -> DataFrame:
     """conv_id, k (1..), role, text, p1, p2 (the turns up to here), tree (the first turn)."""
     rows = conversations.select(F.coalesce(F.col("conv_id").cast("long"), F.lit(NO_ID)).alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -114,11 +128,15 @@ def build(conversations: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
             for part in slices(b.column(1), 1 << 21):
                 roles, texts = (b.column(i)[part].to_pylist() for i in (0, 1))
                 made = [segment(r, t) for r, t in zip(roles, texts, strict=True)]
-                heads, bodies, ends = ([e.ids for e in encode([m[i] for m in made], add_special_tokens=False)] for i in range(3))
-                tokens = [[*x, *y, *z] for x, y, z in zip(heads, bodies, ends, strict=True)]
-                lo = [len(x) for x in heads]
-                hi = [n + len(y) * (r == "assistant") for n, y, r in zip(lo, bodies, roles, strict=True)]
-                cols = [pa.array(tokens, pa.list_(pa.int32())), *[pa.array(x, pa.int64()) for x in ([len(x) for x in tokens], lo, hi)]]
+                fixed = list({x for m in made for x in (m[0], m[2])})  # heads and ends: few
+                fixed = dict(zip(fixed, (e.ids for e in encode(fixed, add_special_tokens=False)), strict=True))
+                bodies = [e.ids for e in encode([m[1] for m in made], add_special_tokens=False)]
+                runs = [x for m, body in zip(made, bodies, strict=True) for x in (fixed[m[0]], body, fixed[m[2]])]
+                n = np.array([len(x) for x in runs]).reshape(-1, 3)
+                flat = np.fromiter(chain.from_iterable(runs), np.int32, n.sum())
+                tokens = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n.sum(axis=1))], pa.int32()), pa.array(flat))
+                hi = n[:, 0] + n[:, 1] * (np.array(roles, object) == "assistant")
+                cols = [tokens, *[pa.array(x, pa.int64()) for x in (n.sum(axis=1), n[:, 0], hi)]]
                 yield pa.RecordBatch.from_arrays([*[c[part] for c in b.columns[2:]], *cols], ["p1", "p2", "tree", "depth", "range", "ord", "tokens", "length", "loss_from", "loss_to"])
 
     emitted = own.join(owner, [*NODE, "ord"]).select("role", "text", *NODE, "tree", F.col("k").alias("depth"), "range", "ord")
@@ -159,13 +177,18 @@ def read_back(nodes: DataFrame, members: DataFrame, path: str) -> DataFrame:
     """conv_id and what its tokens on the tree say: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_tokens."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = tokenizer(path).decode_batch
+        held = token_bytes(path)
         for b in batches:
-            tokens, lo, hi = (c.to_pylist() for c in b.columns[2:])
-            whole = decode(tokens, skip_special_tokens=False)
-            masked = decode([t[x:y] for t, x, y in zip(tokens, lo, hi, strict=True)], skip_special_tokens=False)
-            turns = [f"{role}\n{text}\n" for role, text in map(read_segment, whole)]
-            cols = [pa.array(turns, pa.string()), pa.array([unescape(x) for x in masked], pa.string()), pa.array([len(x) for x in whole], pa.int64()), pa.array([len(x) for x in tokens], pa.int64())]
+            tokens, lo, hi = b.column(2), b.column(3).to_numpy(), b.column(4).to_numpy()
+            start = tokens.offsets.to_numpy()[:-1] - tokens.offsets[0].as_py()
+            n = tokens.value_lengths().to_numpy()
+            parts = held.take(tokens.flatten())
+            raw = b"".join(parts.to_pylist())  # the bytes of the batch, token after token
+            at = np.r_[0, np.cumsum(pc.binary_length(parts).to_numpy())]
+            text = lambda x, y: [raw[i:j].decode() for i, j in zip(at[x].tolist(), at[y].tolist(), strict=True)]  # noqa: B023, E731
+            whole, masked = text(start, start + n), text(start + lo, start + hi)
+            turns = [f"{role}\n{said}\n" for role, said in map(read_segment, whole)]
+            cols = [pa.array(turns, pa.string()), pa.array([unescape(x) for x in masked], pa.string()), pa.array([len(x) for x in whole], pa.int64()), pa.array(n, pa.int64())]
             yield pa.RecordBatch.from_arrays([*b.columns[:2], *cols], ["conv_id", "k", "turn", "loss", "n", "tokens"])
 
     rows = members.join(nodes, ["tree", "start"]).select("conv_id", "k", "tokens", "loss_from", "loss_to").mapInArrow(read, "conv_id long, k long, turn string, loss string, n long, tokens long")
