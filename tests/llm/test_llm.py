@@ -242,6 +242,61 @@ def test_quality_learns_preferences():
     assert ((m.score(x[400:]) >= 0.7) == good[400:]).mean() > 0.93
 
 
+def test_quality_learns_from_every_labelled_row(spark):
+    texts = [f"{'ab' * (i % 7)}, {i} {'Zq| ' * (i % 11)}" for i in range(34_000)]
+    good = [int(i % 9 != 4) for i in range(len(texts))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame(list(enumerate(good)), "doc_id long, quality int")
+    learnt = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert sum(good[i] for i in learnt) > 20_000
+    x, y = quality.features(pa.array([texts[i] for i in learnt])), np.array([good[i] for i in learnt])
+    model = quality.train(df, labels)
+    np.testing.assert_allclose(model.centre, x.mean(axis=0), rtol=1e-9, atol=1e-12)
+    np.testing.assert_allclose(model.scale, x.std(axis=0) + 1e-9, rtol=1e-9)
+    raw = np.sort(model.raw(x))
+    assert raw[(y == 0).sum() - 1] - 1e-9 <= model.cut <= raw[(y == 0).sum()] + 1e-9
+    again = quality.train(df.repartition(3, "text"), labels.repartition(2))
+    assert (again.weights == model.weights).all() and again.cut == model.cut
+
+
+@pytest.mark.parametrize("flip", [0, 1])
+@pytest.mark.parametrize("group, few", [(4, 2), (50, 1), (10**6, 2)])
+def test_quality_groups_miss_no_row(spark, monkeypatch, group, few, flip):
+    monkeypatch.setattr(quality, "GROUP", group)
+    monkeypatch.setattr(quality, "FEW", few)
+    monkeypatch.setattr(quality, "MOST", 20)
+    r = np.random.default_rng(5)
+    x = np.round(r.normal(size=(400, len(quality.NAMES))), 1)
+    y = (np.arange(400) % 8 == 0).astype(int) ^ flip
+    rows = spark.createDataFrame([(i, int(q), bytearray(v.tobytes())) for i, (q, v) in enumerate(zip(y, x, strict=True))], "doc_id long, quality int, features binary")
+    found = quality.grouped(rows).collect()
+    assert (len(found) > 1) == (group < 400)
+    met, own = [set(), set()], [Counter(), Counter()]
+    for g in found:
+        sides = [quality.matrix(g[side]) for side in ("bad", "good")]
+        assert len(sides[0]) and len(sides[1])
+        for q, side in enumerate(sides):
+            met[q] |= {v.tobytes() for v in side}
+        for q, side in zip((1, 0), quality.once(sides[1], sides[0], g["group"] < g["parts"], g["rarer"]), strict=True):
+            own[q].update(v.tobytes() for v in side)
+    for q in (0, 1):
+        want = Counter(v.tobytes() for v in x[y == q])
+        assert own[q] == want and met[q] == set(want)
+    labels = spark.createDataFrame([(i, int(q)) for i, q in enumerate(y)], "doc_id long, quality int")
+    model, learnt = quality.learn(rows.drop("quality"), labels), [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2]
+    raw = np.sort(model.raw(x[learnt]))
+    n = int((y[learnt] == 0).sum())
+    assert abs(model.cut - raw[n - 1 : n + 1].mean()) < 1e-9
+
+
+def test_place_of_a_value(spark, monkeypatch):
+    monkeypatch.setattr(quality, "MOST", 3)
+    v = [0.5] * 40 + [1e6, -1e6] + [i / 7 for i in range(300)] + [1e-9 * i for i in range(50)]
+    df = spark.createDataFrame([(x,) for x in v], "v double")
+    for k in (0, 1, 30, 52, 75, 120, len(v) - 1):
+        assert quality.nth(df, k) == sorted(v)[k]
+
+
 def test_token_counts(docs, none, spark, tmp_path):
     import sentencepiece
 
