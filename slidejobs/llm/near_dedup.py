@@ -47,6 +47,7 @@ from slidejobs.llm.names import unused
 COORDS, BITS = 64, 1024
 PAIRS = 16  # members of an open list up to which different components meet directly
 HEAVY, LONG = 100_000, 64  # lists that may be broadcast; the shortest that are
+BATCH = 1 << 22  # bytes of texts or sets that a task is given at once, or one row
 CELL = 1.1  # sizes in one cell differ by this factor at most
 NO_ID = 1 << 62  # nodes from here on stand for rows without an id of their own
 _rng = np.random.default_rng(20240229)
@@ -113,6 +114,12 @@ def parity(s: np.ndarray) -> bytes:
     return np.packbits((np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From here on a batch has 1,000 rows at most, and no more than BATCH bytes if it has several: sets of long texts are as large as the texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+
+
 def with_nodes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
     """docs with one more column, and its name: the id, or for rows with a null or repeated id a number from id and text."""
     own, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
@@ -128,13 +135,13 @@ def with_nodes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
 
 def sketches(docs: DataFrame, k: int, id_col: str, text_col: str, node_col: str) -> DataFrame:
     """doc_id, node, n, set_key, sig (COORDS ints), low (their last bytes), parity of each row."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(node_col).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     names = ["doc_id", "node", "n", "set_key", "sig", "low", "parity"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in slices(b.column(2)):
+            for part in slices(b.column(2), 1 << 21):
                 sets = shingle_sets(b.column(2)[part], k)
                 sigs = np.stack([signature(s) for s in sets]).view(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sigs.size + 1, COORDS), pa.int32()), pa.array(sigs.ravel()))
@@ -195,6 +202,7 @@ class NearDuplicates:
 
     def screened(self, pairs: DataFrame) -> DataFrame:
         """Of pairs a, b those that may be links."""
+        bound_batches(pairs.sparkSession)
         s = self.sketch
         side = lambda x: s.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "low", "parity")])
         both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "low_a", "low_b", "parity_a", "parity_b")
@@ -216,6 +224,7 @@ class NearDuplicates:
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Of pairs a, b those whose full sets are similar enough."""
+        bound_batches(pairs.sparkSession)
         pairs = stored(pairs, "candidates")
         ids = stored(pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("_id")), "involved")
         sets, percent = self.sets(ids, "sets"), self.percent
@@ -241,6 +250,7 @@ class NearDuplicates:
 
     def by_shingles(self, members: DataFrame) -> DataFrame:
         """Candidate pairs of different components among members (node, comp), by the rarest shingles of their full sets."""
+        bound_batches(members.sparkSession)
         q = self.percent
         sets = self.sets(members.select(F.col("node").alias("_id")), "member-sets")
 

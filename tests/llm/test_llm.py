@@ -546,6 +546,31 @@ def test_near_dedup_of_a_large_group(spark, monkeypatch, pairs, heavy):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_near(2, ids)
 
 
+def test_near_dedup_of_long_texts_goes_in_bounded_batches(spark, monkeypatch):
+    words = [f"w{i}" for i in range(30_000)]
+    texts = [" ".join(words[:j] + [f"x{j}"] + words[j + 1 :]) for j in range(0, 4000, 100)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    frame = type(df)
+    whole = frame.mapInArrow
+
+    def watched(self, func, schema, *rest):
+        def run(batches):
+            def each():
+                for b in batches:
+                    if b.num_rows > 1 and b.nbytes > 5_000_000:
+                        raise ValueError(f"a batch of {b.nbytes} bytes")
+                    yield b
+
+            yield from func(each())
+
+        return whole(self, run, schema, *rest)
+
+    monkeypatch.setattr(frame, "mapInArrow", watched)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    got = near_dedup.near_duplicates(df, k=5).collect()
+    assert {(r.component_id, r.kept) for r in got if r.doc_id} == {(0, False)} and len(got) == len(texts)
+
+
 def test_near_dedup_of_null_and_reused_ids(spark):
     other, third = prose(40), prose(40)
     rows = [(None, BASE), (None, BASE + " end"), (9, BASE + " tail"), (None, other), (None, other), (4, third), (4, BASE), (3, third + " x"), (None, None), (None, "")]
