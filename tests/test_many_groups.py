@@ -82,6 +82,17 @@ def far_of(images, area, i):
     return brute_d2(im)
 
 
+@pytest.mark.parametrize("pixels", [1 << 20, 300])
+def test_distances_of_many_blocks_at_once(clusters, monkeypatch, pixels):
+    images, spans, slides = clusters
+    monkeypatch.setattr(di, "_PIXELS", pixels)
+    df = di.distance_to_clusters(spans, slides, 4, ["slide", "area"], block=8)
+    assert "FlatMapGroups" not in plan(df)  # a call of Python for each block of 24 x 24 pixels took the time
+    got = {(r.slide, r.area, r.y, r.x): r.d2 for r in df.collect()}
+    want = {(i, a, int(y), int(x)): int(d[y, x]) for i in images for a in (1, 2) for d in [far_of(images, a, i)] for y, x in np.argwhere(d <= 16)}
+    assert got == want
+
+
 @pytest.mark.parametrize(("pieces", "band"), [(1 << 21, 256), (40, 8)])
 def test_distance_masks_by_bands(spark, clusters, monkeypatch, pieces, band):
     images, spans, slides = clusters
