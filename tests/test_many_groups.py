@@ -115,3 +115,16 @@ def test_outlines_side_by_side(spark, monkeypatch, cuts):
     for s in df.collect():
         got[s.id] += [(s.y, x) for x in range(s.x0, s.x1 + 1)]
     assert {i: sorted(v) for i, v in got.items()} == {i: sorted((y, x) for y in range(-7, 14) for x in range(-8, 17) if inside(ring, x, y)) for i, ring in rings.items()}
+
+
+
+
+def test_scores_are_not_broadcast(spark):
+    from slidejobs.operators import scores as sc
+
+    spans = spark.createDataFrame([(s, y, 0, 9) for s in (1, 2) for y in range(9)], "slide long, y int, x0 int, x1 int")
+    slides = spark.createDataFrame([(1, 64, 64), (2, 64, 64), (3, 64, 64)], "slide long, width int, height int")
+    few = lambda v, name: spark.createDataFrame([(v,)], f"{name} int")
+    df = sc.spatial_scores(slides, spans, spans, spans, few(40, "area"), few(3, "dist"))
+    assert "BroadcastHashJoin" not in plan(df)  # sizes of tables on the way are not known, and there may be millions of slides
+    assert sorted((r.slide, r.til_count, r.til_area, r.stroma_area) for r in df.collect()) == [(1, 1, 90, 90), (2, 1, 90, 90), (3, 0, 0, 0)]
