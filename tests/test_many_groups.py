@@ -117,6 +117,14 @@ def test_outlines_side_by_side(spark, monkeypatch, cuts):
     assert {i: sorted(v) for i, v in got.items()} == {i: sorted((y, x) for y in range(-7, 14) for x in range(-8, 17) if inside(ring, x, y)) for i, ring in rings.items()}
 
 
+def test_pixels_are_not_broadcast(spark):
+    """The planner judges by files: an explode doesn't count, and the other side of the join looks larger than it is."""
+    from slidejobs.fixtures import fixture
+    from slidejobs.jobs import queries as q
+
+    df = q._placed(lambda name: fixture(spark, "/root/testdata/sf0.01", name))
+    assert "BroadcastExchange" not in plan(df)
+
 
 def test_tables_of_many_slides_are_few_files(spark, tmp_path):
     from slidejobs.sources import sinks
