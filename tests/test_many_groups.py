@@ -148,3 +148,21 @@ def test_scores_are_not_broadcast(spark):
     df = sc.spatial_scores(slides, spans, spans, spans, few(40, "area"), few(3, "dist"))
     assert "BroadcastHashJoin" not in plan(df)  # sizes of tables on the way are not known, and there may be millions of slides
     assert sorted((r.slide, r.til_count, r.til_area, r.stroma_area) for r in df.collect()) == [(1, 1, 90, 90), (2, 1, 90, 90), (3, 0, 0, 0)]
+
+
+def test_groups_of_cells_side_by_side(spark):
+    """Edges are joined first by any columns that they have; regions of many cells and slides give the groups of all pairs."""
+    from slidejobs.functions.components import connected_components
+
+    edges = spark.createDataFrame([(1, 2, 0), (2, 3, 1), (5, 4, 1)], "a long, b long, cell int")
+    assert {r.node: r.comp for r in connected_components(edges, near=[F.col("cell")]).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
+    r = random.Random(8)
+    boxes = [(s, i, r.randint(-30, 90), r.randint(-30, 90), r.randint(1, 9), r.randint(1, 9)) for s in range(3) for i in range(60)]
+    up = {b[:2]: b[1] for b in boxes}
+    for _ in range(60):
+        for s, i, x, y, w, h in boxes:
+            for t, j, x2, y2, w2, h2 in boxes:
+                if s == t and x + w >= x2 and x <= x2 + w2 and y + h >= y2 and y <= y2 + h2:
+                    up[s, i] = up[s, j] = min(up[s, i], up[s, j])
+    got = an.overlap_groups(spark.createDataFrame(boxes, "slide long, region long, x int, y int, w int, h int"), cell=16)
+    assert {(g.slide, g.region): g.group_id for g in got.collect()} == up
